@@ -41,7 +41,10 @@ def cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributo-checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files go when the JVM finds that nothing refers to them; ask it to look now that they have done their work.
+    context._jvm.System.gc()
+    return out
 
 
 def doc_key(doc_id: Column) -> Column:

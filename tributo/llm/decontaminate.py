@@ -130,6 +130,14 @@ class Index:
         return out
 
 
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of about block_chars characters, one block on the driver at a time."""
+    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+    blocks = max(1, -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    for b in range(blocks):
+        yield sorted((r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), n_windows, reparameterised; one row for each row of docs.
 
@@ -139,14 +147,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     fewer than LITERALS tokens, null or empty ones never match, nor do windows with fewer literal words than that.
     Null and empty documents are clean. Items with one text are reported each; a null item_id is left out.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    chars = bench.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
     found = texts(docs).withColumn("items", F.array().cast("array<long>")).withColumn("n_windows", F.lit(0).cast("long")).withColumn("reparameterised", F.lit(False))
-    for b in range(blocks):
-        items = sorted((r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
-        sent = spark.sparkContext.broadcast(items)
+    for items in _blocks(benchmark, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Index(sent.value, window)
@@ -162,3 +165,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
         found = map_arrow(found, run, "doc_id long, text string, items array<long>, n_windows long, reparameterised boolean")
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "n_windows", "reparameterised")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, that contamination finds clean."""
+    for items in _blocks(benchmark, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, window)
+            for whole in batches:
+                hit: list[int] = []
+                at = 0
+                for part in pieces(pa.record_batch({"text": whole.column("text").fill_null("")})):
+                    hit += [at + row for row in index.matches(part.column("text"))]
+                    at += part.num_rows
+                keep = np.ones(whole.num_rows, bool)
+                keep[hit] = False
+                yield whole.filter(pa.array(keep))
+
+        docs = map_arrow(docs, run, docs.schema)
+    return docs

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, texts
@@ -326,3 +326,10 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
     out = found.signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
+    """One row, all columns, of each component of near_duplicates: that with the smallest doc_id. doc_id names a document."""
+    kept = near_duplicates(docs, k=k, threshold=threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    own = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
+    return own.dropDuplicates(["doc_id"]).select(docs.columns)

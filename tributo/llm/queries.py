@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_count import token_counts
 from .common import read
 from .decontaminate import contamination
+from .lm_score import lm_scores
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .quality import quality_scores
+from .repeats import remove_repeats
 from .secrets import scan_secrets
 from .top_k import embeddings_top_k
 from .toxicity import toxicity_scores
@@ -34,10 +37,22 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), length=200)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), k=2, threshold=80)
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -51,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op5_secrets, op8_token_counts, op9_top_k, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_repeats, op5_secrets, op6_near_duplicates, op7_lm_score, op8_token_counts, op9_top_k, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
