@@ -52,9 +52,10 @@ def _value(df: DataFrame, c: str) -> Column:
 
 
 def _swap(df: DataFrame) -> Column:
-    issuer, recipient = F.col("emitente_nome"), F.col("destinatario_nome")
-    no_issuer = F.coalesce(text.digits(F.col("emitente_cnpj")), F.lit("")) == ""
-    has_recipient = F.coalesce(text.digits(F.col("destinatario_cnpj")), F.lit("")) != ""
+    given = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    issuer, recipient = given("emitente_nome"), given("destinatario_nome")
+    no_issuer = F.coalesce(text.digits(given("emitente_cnpj")), F.lit("")) == ""
+    has_recipient = F.coalesce(text.digits(given("destinatario_cnpj")), F.lit("")) != ""
     legal = fiscal.looks_legal(recipient)
     return (fiscal.looks_natural(issuer) & legal) | (no_issuer & has_recipient & legal)
 
