@@ -99,9 +99,10 @@ def battery(token: str) -> float:
     vowels = [1.0 if c in "aeiouAEIOU" else 0.0 for c in token]
     mean = sum(vowels) / n
     var = sum((v - mean) ** 2 for v in vowels)
-    r = sum((a - mean) * (b - mean) for a, b in zip(vowels, vowels[1:], strict=False)) / var if var else 0.0
+    r = sum((a - mean) * (b - mean) for a, b in zip(vowels, vowels[1:], strict=False)) / var if var else VOWEL
     serial = 1 - _below((r - VOWEL) * math.sqrt(n))
-    z = [max(-3.0, _inverse(p)) for p in (uniform, runs, serial)]
+    # One test alone, however sure of a long token, doesn't outvote the other two.
+    z = [min(6.0, max(-3.0, _inverse(p))) for p in (uniform, runs, serial)]
     return 1 - _below(sum(z) / math.sqrt(5)) if sum(z) < 8 else 0.5 * math.erfc(sum(z) / math.sqrt(10))
 
 
