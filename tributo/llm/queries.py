@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe_count import token_counts
 from .common import read
@@ -30,7 +31,9 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    match = F.when(~F.col("contaminated"), "none").when(F.col("reparameterised"), "reparameterised").otherwise("exact")
+    return found.select("doc_id", "contaminated", "n_windows", F.array_join(F.col("items").cast("array<string>"), ",").alias("item_ids"), match.alias("match"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
