@@ -27,7 +27,7 @@ def quantised(vec: Column, scale: float) -> Column:
 
 def valid(vec: Column) -> Column:
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return vec.isNotNull() & ~F.coalesce(bad, F.lit(True))
+    return vec.isNotNull() & (F.size(vec) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -146,7 +146,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
 
 
 def embeddings_top_k(embeddings: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20) -> DataFrame:
-    """exact_top_k over floor(scale * x); every n-th id is a query. Vectors that hold null or non-finite parts are left out."""
+    """exact_top_k over floor(scale * x); every n-th id is a query. Null and empty vectors and such as hold null or non-finite parts are left out."""
     usable = embeddings.select("vec_id", "embedding").where(valid(F.col("embedding")))
     whole = usable.select("vec_id", quantised(F.col("embedding"), scale).alias("v"))
     return exact_top_k(whole, whole.where(F.col("vec_id") % every == 0), k)
