@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from .tables import Catalog
 
 
+# Columns of the driver tables. With them no job has to look at the files before a query starts.
+_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(_SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +67,25 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("event_id").alias("id"), F.col("event_type").alias("tipo_documento"), F.col("value").alias("acuracia_media"), flag("view").alias("taxa_revisao"), flag("error").alias("taxa_erro"), (F.col("value") / 10).alias("tempo_medio"), F.col("ts").alias("registrado_em"))
 
 
+class _Views(dict):
+    """The views by name, each made when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__(documentos=documents, itens=items, impostos=taxes, documentos_detalhes=details, metricas=metrics)
+        self.made: dict[str, DataFrame] = {}
+        self.of = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            self.made[name] = super().__getitem__(name)(*self.of)
+        return self.made[name]
+
+    def items(self):
+        return [(name, self[name]) for name in self]
+
+    def values(self):
+        return [self[name] for name in self]
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return Catalog({"documentos": documents(spark, sf_dir), "itens": items(spark, sf_dir), "impostos": taxes(spark, sf_dir), "documentos_detalhes": details(spark, sf_dir), "metricas": metrics(spark, sf_dir)})
+    return Catalog(_Views(spark, sf_dir))
