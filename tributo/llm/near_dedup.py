@@ -149,7 +149,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig = np.frombuffer(b"".join(column.take(pa.array(has)).to_pylist()), np.uint16).reshape(len(has), BANDS, ROWS)
                 key = mix((sig.astype(np.uint64) * weight).sum(2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x51ED2701) + np.uint64(kind << 62))
                 node = np.asarray(batch.column("node").take(pa.array(has)))
-                yield pa.record_batch({"key": key.view(np.int64).ravel(), "node": np.repeat(node, BANDS)})
+                yield pa.record_batch({"key": key.view(np.int64).ravel(), "band": np.tile(np.arange(BANDS, dtype=np.int32) + kind * BANDS, len(has)), "node": np.repeat(node, BANDS)})
 
 
 def _agreement(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -193,20 +193,17 @@ class NearDuplicates:
         self.signed = cut(map_arrow(self.docs, _signed(k), "doc_id long, n long, node long, small binary, large binary"))
         # Copies with one set are one node; partial aggregation settles large groups where they lie.
         self.nodes = cut(self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large")))
-        keyed = map_arrow(self.nodes.select("node", "small", "large"), _bands, "key long, node long")
+        keyed = map_arrow(self.nodes.select("node", "small", "large"), _bands, "key long, band int, node long")
         shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
         self.buckets = cut(keyed.join(shared, "key"))
-        self.sets: DataFrame | None = None
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         a = self.nodes.select(F.col("node").alias("a"), "n", "small", "large")
         b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("small").alias("small_b"), F.col("large").alias("large_b"))
         return map_arrow(pairs.distinct().join(a, "a").join(b, "b"), _likely(self.threshold / 100), "a long, b long")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that the full sets confirm. Sets are read again from the texts of the nodes in pairs alone."""
-        pairs = cut(pairs)
-        ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """node and its full set, read again from the texts of the nodes in ids alone."""
         wanted = self.nodes.select("node", "doc_id").join(ids, "node")
         sent = self.docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.select("doc_id")))
         k = self.k
@@ -221,7 +218,12 @@ class NearDuplicates:
                     yield pa.record_batch({"node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
         found = map_arrow(self.docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"), "text"), run, "node long, s array<long>")
-        sets = cut(found.join(ids, "node").groupBy("node").agg(F.first("s").alias("s")))
+        return cut(found.join(ids, "node").groupBy("node").agg(F.first("s").alias("s")))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that the full sets confirm."""
+        pairs = cut(pairs)
+        sets = self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return cut(both.where(100 * common >= self.threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
@@ -232,7 +234,7 @@ class NearDuplicates:
 
     def split(self, state: DataFrame) -> DataFrame:
         """The buckets that hold several components as yet, with each node's."""
-        placed = self.buckets.select("key", "node", "size").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = self.buckets.select("key", "band", "node", "size").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
         return cut(placed.join(several, "key"))
 
@@ -243,33 +245,52 @@ class NearDuplicates:
         return split.join(largest.select("key", "top.component", "top.pivot").withColumnRenamed("component", "main"), "key").where("component <> main").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
     def rest(self, split: DataFrame) -> DataFrame:
-        """All pairs across components of a bucket that come near the threshold, compared block by block, once for a pair."""
+        """All links across components of a bucket, compared block by block, a pair in the first band that it shares.
+
+        A bucket's rows carry registers and 16-bit prints of their shingles. The prints two sets share are never fewer
+        than their shingles, so no link is missed, and a task gives out hardly more than what verification confirms:
+        nodes that resemble many others without being linked cost comparisons in a task, but no rows.
+        """
+        prints = map_arrow(self.sets(split.select("node").distinct()), _prints, "node long, prints binary")
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node"), blocks)
-        dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "node", "component", own.alias("own"), "other")
-        dealt = dealt.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        full = dealt.join(self.nodes.select("node", "n", "small", "large"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return map_arrow(full.select("key", "i", "j", "node", "component", "n", "small", "large"), _across(self.threshold / 100), "a long, b long")
+        dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "band", "node", "component", own.alias("own"), "other")
+        dealt = dealt.select("key", "band", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        signature = F.when(F.col("band") < BANDS, F.col("small")).otherwise(F.col("large")).alias("signature")
+        full = dealt.join(self.nodes.select("node", "n", "small", "large").join(prints, "node"), "node").select("key", "i", "j", "band", "node", "component", "n", signature, "prints")
+        return map_arrow(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _across(self.threshold / 100), "a long, b long")
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.array(s, np.int64).astype(np.uint16).tobytes() for s in batch.column("s").to_pylist()]
+        yield pa.record_batch({"node": batch.column("node"), "prints": pa.array(rows, pa.binary())})
 
 
 def _across(threshold: float):
     def group(rows: pa.Table) -> pa.RecordBatch:
         node, part, n = (np.asarray(rows[c]) for c in ("node", "component", "n"))
+        band = rows["band"][0].as_py()
+        sig = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(len(node), REGISTERS)
+        prints = [np.frombuffer(p, np.uint16) for p in rows["prints"].to_pylist()]
+        values, sizes = np.unique(part, return_counts=True)
+        main = part == values[sizes.argmax()]
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for name, buckets in (("small", 1), ("large", BUCKETS)):
-            column = rows[name].combine_chunks()
-            has = np.flatnonzero(np.asarray(column.is_valid()))
-            if not len(has):
+        has = np.zeros(1 << 16, bool)
+        for x in np.flatnonzero(~main):
+            at = np.flatnonzero((part != part[x]) & (main | (node > node[x])) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9))
+            same = sig[at] == sig[x]
+            at = at[(same.sum(1) >= REGISTERS * (threshold - MARGIN)) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band % BANDS)]
+            if not len(at):
                 continue
-            sig = np.frombuffer(b"".join(column.take(pa.array(has)).to_pylist()), np.uint16).reshape(len(has), REGISTERS)
-            for x, at in enumerate(has):
-                after = np.flatnonzero((part[has] != part[at]) & (node[has] > node[at]))
-                if len(after):
-                    near = estimate((sig[after] == sig[x]).sum(1), np.full(len(after), n[at]), n[has[after]], buckets) >= threshold - MARGIN
-                    b_out.append(node[has[after[near]]])
-                    a_out.append(np.full(near.sum(), node[at]))
-        pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], axis=1), axis=0)
-        return pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
+            has[prints[x]] = True
+            shared = np.add.reduceat(has[np.concatenate([prints[y] for y in at])], np.cumsum([0] + [len(prints[y]) for y in at[:-1]]), dtype=np.int64)
+            has[prints[x]] = False
+            at = at[shared >= threshold * (n[at] + n[x] - shared) - 1e-9]
+            a_out.append(np.full(len(at), node[x]))
+            b_out.append(node[at])
+        a, b = np.concatenate(a_out), np.concatenate(b_out)
+        return pa.record_batch({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -318,7 +339,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
         state = components(links)
         split = found.split(state)
         if split.limit(1).count():
-            state = components(cut(links.unionByName(found.verified(found.rest(split)))))
+            state = components(cut(links.unionByName(found.verified(found.rest(split).distinct()))))
     named = found.nodes.select("node", "doc_id").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # The smallest id of each component; partial sums keep a large component from meeting in one task.
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
