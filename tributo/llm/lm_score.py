@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, map_arrow
+from .common import cut, fold, gathered, map_arrow
 from .tokens import SPACED, mix, pieces, powers, words
 
 #: Most frequent words whose statistics are broadcast, 24 bytes each; all others are joined.
@@ -19,8 +19,9 @@ HOT_WORDS = 200_000
 ROUNDS = 2
 #: Weight of the vocabulary's own scores against the corpus, in tokens.
 PRIOR = 1_000.0
-#: Words of one length taken together.
+#: Words of one length taken together, and words of any length sorted by it at once.
 ROWS = 4_096
+AT_ONCE = 32_768
 _FILTER = 1 << 20
 _LN10 = float(np.log(10))
 
@@ -199,7 +200,7 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             recursion, sums = Recursion(sent.value), np.zeros(len(sent.value.log_p))
-            for batch in batches:
+            for batch in gathered(batches, AT_ONCE):
                 sums += recursion.expected(batch.column("w").to_pylist(), np.asarray(batch.column("c"), np.float64))
             used = np.flatnonzero(sums)
             yield pa.record_batch({"piece": used, "n": sums[used]})
@@ -214,7 +215,7 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recursion = Recursion(sent.value)
-        for batch in batches:
+        for batch in gathered(batches, AT_ONCE):
             log_p = recursion.log_marginals(batch.column("w").to_pylist())
             log_p = np.log(pieces_share) + log_p
             seen = np.asarray(batch.column("c"), np.float64)
