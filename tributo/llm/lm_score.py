@@ -225,7 +225,12 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
             yield pa.record_batch({"h": batch.column("h"), "c": batch.column("c"), "t": batch.column("t"), "log_p": log_p})
 
     weighed = cut(map_arrow(table, weigh, "h long, c long, t long, log_p double"))
-    top = weighed.orderBy(F.desc("t"), "h").limit(hot_words).toPandas().sort_values("h", kind="stable")
+    # The words from the lowest frequency band on at which there are hot_words at most: a row a band comes back to find
+    # it, then only these words; a sort with a limit would send so many from every task.
+    band = F.floor(F.log2("t") * 8).cast("int")
+    bands = weighed.groupBy(band.alias("band")).agg(F.count("*").alias("n")).toPandas().sort_values("band", ascending=False)
+    fits = bands["band"][bands["n"].cumsum() <= hot_words]
+    top = weighed.where(band >= int(fits.min()) if len(fits) else F.lit(False)).toPandas().sort_values("h", kind="stable")
     hot = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["log_p"].to_numpy(np.float64)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
