@@ -146,6 +146,21 @@ def test_templates(spark, prose):
     assert short[1].contaminated
 
 
+def test_windows_are_judged_alone(spark, prose):
+    twisted = ITEM.replace("30 euros", "14 euros")
+    pair = "they bought 14 apples and sold 30 pears at the old market by the river"
+    rows = [(1, twisted), (2, pair.replace("14", "20").replace("30", "20")), (3, pair.replace("14", "7")), (4, prose(60)), (5, "we saw 5 red and 8 red birds over there")]
+    items = [(10, ITEM), (11, pair), (12, "we saw 5 red and 5 red birds")]
+    got = _hits(spark, rows, items, by_window=True)
+    assert [got[i].items for i in (1, 2, 3, 4, 5)] == [[10], [11], [11], [], []]
+    assert got[1].reparameterised and got[2].reparameterised and got[3].reparameterised
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench, by_window=True).collect()) == [4, 5]
+    # Windows of one value each stay though the item's equal values differ in another window.
+    far = "the 5 boxes came by the early boat and later all of the 5 crates came by road"
+    assert _hits(spark, [(1, far.replace("5 crates", "6 crates"))], [(1, far)], by_window=True)[1].contaminated
+
+
 def test_benchmark_in_blocks(spark, prose):
     items = [(i, prose(20)) for i in range(12)]
     rows = [(i, prose(10) + " " + items[i][1] + " " + prose(10)) for i in range(12)] + [(50, prose(40))]

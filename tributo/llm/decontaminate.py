@@ -85,7 +85,8 @@ def _windows(t: Template, n: int) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Template windows of benchmark items, by hash."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, by_window: bool = False):
+        self.by_window = by_window
         self.raw: list[np.ndarray] = []
         self.slot: list[np.ndarray] = []
         self.ids = [i for i, _ in items]
@@ -107,7 +108,7 @@ class Index:
             self.filter[n][np.array(list(x), np.uint64) % np.uint64(_FILTER)] = True
 
     def matches(self, column: pa.Array) -> dict[int, dict[int, tuple[int, bool]]]:
-        """By row: item -> windows matched in consistent alignments, and whether a slot's value differs anywhere."""
+        """By row: item -> windows matched with consistent slots, and whether a slot's value differs in one of them."""
         t = canonicalise(column)
         aligned: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, table in self.at.items():
@@ -117,16 +118,17 @@ class Index:
                     aligned[int(t.row[place]), k, int(place) - own].append((own, n))
         out: dict[int, dict[int, tuple[int, bool]]] = defaultdict(dict)
         for (row, k, shift), spans in aligned.items():
-            places = sorted({p for own, n in spans for p in range(own, own + n) if self.slot[k][p]})
-            there, back, changed = {}, {}, False
-            for p in places:
-                ours, theirs = int(self.raw[k][p]), int(t.raw[p + shift])
-                if there.setdefault(ours, theirs) != theirs or back.setdefault(theirs, ours) != ours:
-                    break
-                changed |= ours != theirs
-            else:
-                had, differed = out[row].get(k, (0, False))
-                out[row][k] = had + len(spans), differed or changed
+            for held in [[x] for x in spans] if self.by_window else [spans]:
+                places = sorted({p for own, n in held for p in range(own, own + n) if self.slot[k][p]})
+                there, back, changed = {}, {}, False
+                for p in places:
+                    ours, theirs = int(self.raw[k][p]), int(t.raw[p + shift])
+                    if there.setdefault(ours, theirs) != theirs or not self.by_window and back.setdefault(theirs, ours) != ours:
+                        break
+                    changed |= ours != theirs
+                else:
+                    had, differed = out[row].get(k, (0, False))
+                    out[row][k] = had + len(held), differed or changed
         return out
 
 
@@ -138,11 +140,13 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int,
         yield sorted((r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS, by_window: bool = False) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), n_windows, reparameterised; one row for each row of docs.
 
     A document is contaminated if a window of template tokens is also one of a benchmark item and its slots can be
-    filled consistently: the same value on one side is the same value on the other, over all windows of an alignment.
+    filled consistently. By default the same value on one side is the same value on the other, over all windows of an
+    alignment, and one slot that isn't drops the alignment. by_window judges each window by itself: an item's value must
+    be one value in the document's window, different ones may become equal, and other windows don't matter.
     reparameterised says that some value then differs. Items of fewer tokens than a window are one window; items of
     fewer than LITERALS tokens, null or empty ones never match, nor do windows with fewer literal words than that.
     Null and empty documents are clean. Items with one text are reported each; a null item_id is left out.
@@ -152,7 +156,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, window)
+            index = Index(sent.value, window, by_window)
             for whole in batches:
                 for batch in pieces(whole):
                     hits = index.matches(batch.column("text"))
@@ -167,13 +171,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "n_windows", "reparameterised")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns, that contamination finds clean."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS, by_window: bool = False) -> DataFrame:
+    """The rows of docs, all columns, that contamination with the same by_window finds clean."""
     for items in _blocks(benchmark, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, window)
+            index = Index(sent.value, window, by_window)
             for whole in batches:
                 hit: list[int] = []
                 at = 0

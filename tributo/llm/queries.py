@@ -31,7 +31,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    found = contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), by_window=True)
     match = F.when(~F.col("contaminated"), "none").when(F.col("reparameterised"), "reparameterised").otherwise("exact")
     return found.select("doc_id", "contaminated", "n_windows", F.array_join(F.col("items").cast("array<string>"), ",").alias("item_ids"), match.alias("match"))
 
