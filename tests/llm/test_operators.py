@@ -293,6 +293,18 @@ def test_near_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 6] and kept.columns == docs(spark, []).columns
 
 
+def test_one_row_of_each_component_stays(spark, prose):
+    one, two, three, four = (prose(30) for _ in range(4))
+    rows = [(None, one), (None, two), (None, two + " end"), (None, three), (1, three), (7, four), (7, one + " " + four), (7, one + " " + four), (None, ""), (None, " "), (8, None), (8, None)]
+    for df in (docs(spark, rows), docs(spark, rows).repartition(3)):
+        got = [(r.doc_id, r.text) for r in near_dedup.keep_one(df, k=2).collect()]
+        assert sum(d is None and t in (two, two + " end") for d, t in got) == 1
+        assert sorted((x for x in got if two not in (x[1] or "")), key=repr) == sorted([(None, one), (1, three), (7, four), (7, one + " " + four), (None, ""), (None, " "), (8, None)], key=repr)
+    # Rows of one id and text that differ elsewhere: the same one stays however they are dealt.
+    some = docs(spark, [(3, one)]).drop("source").crossJoin(spark.createDataFrame([("x",), ("y",), ("z",)], "source string"))
+    assert len({tuple(r.source for r in near_dedup.keep_one(some.repartition(n), k=2).collect()) for n in (1, 2, 3)}) == 1
+
+
 def test_estimate_corrects_collisions():
     rng = np.random.default_rng(1)
     for kind, buckets, n in ((near_dedup.small_signature, 1, 50), (near_dedup.large_signature, near_dedup.BUCKETS, 400)):

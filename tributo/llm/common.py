@@ -69,9 +69,9 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_key(doc_id)) % folds
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, whatever other columns there are; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text alone, and more, whatever other columns there are; a null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
 def utf8(column: pa.Array) -> tuple:

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, texts
@@ -30,6 +30,8 @@ MARGIN = 0.15
 BLOCK = 1_024
 #: Bits of the filter that keeps texts without candidates from being sent; of fixed size, it only saves work.
 FILTER_BITS = 1 << 24
+#: Type of a row's name: two 64-bit hashes of its columns.
+ROW = "struct<a:bigint,b:bigint>"
 
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -129,6 +131,7 @@ def _signed(k: int):
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id"),
+                        "row": batch.column("row"),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
                         "small": pa.array([small_signature(s) if 0 < len(s) <= SMALL_MOST else None for s in sets], pa.binary()),
@@ -186,11 +189,12 @@ def _filter_words(ids: DataFrame) -> np.ndarray:
 
 
 class NearDuplicates:
-    """Finds the links of one corpus step by step; see near_duplicates."""
+    """Finds the links of one corpus step by step; see near_duplicates. signed carries row, a name of each row of docs."""
 
-    def __init__(self, docs: DataFrame, k: int, threshold: int):
+    def __init__(self, docs: DataFrame, k: int, threshold: int, row: Column | None = None):
         self.docs, self.k, self.threshold = texts(docs), k, threshold
-        self.signed = cut(map_arrow(self.docs, _signed(k), "doc_id long, n long, node long, small binary, large binary"))
+        row = F.lit(None).cast(ROW) if row is None else row
+        self.signed = cut(map_arrow(texts(docs, row.alias("row")), _signed(k), f"doc_id long, row {ROW}, n long, node long, small binary, large binary"))
         # Copies with one set are one node; partial aggregation settles large groups where they lie.
         self.nodes = cut(self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large")))
         keyed = map_arrow(self.nodes.select("node", "small", "large"), _bands, "key long, band int, node long")
@@ -316,6 +320,21 @@ def _across(threshold: float):
     return run
 
 
+def _placed(docs: DataFrame, k: int, threshold: int, row: Column | None = None) -> tuple[NearDuplicates, DataFrame]:
+    """What was found, and node, doc_id, component of every node."""
+    found = NearDuplicates(docs, k, threshold, row)
+    links = found.verified(found.likely(found.stars()))
+    state = components(links)
+    split = found.split(state)
+    if split.limit(1).count():
+        links = cut(links.unionByName(found.verified(found.likely(found.spread(split)))))
+        state = components(links)
+        split = found.split(state)
+        if split.limit(1).count():
+            state = components(cut(links.unionByName(found.verified(found.rest(split).distinct()))))
+    return found, found.nodes.select("node", "doc_id").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
@@ -330,17 +349,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
     components. So a group of near copies costs a few pairs a copy and no link is left out that could join two components.
     Candidates whose estimate is near the threshold are confirmed on the full sets.
     """
-    found = NearDuplicates(docs, k, threshold)
-    links = found.verified(found.likely(found.stars()))
-    state = components(links)
-    split = found.split(state)
-    if split.limit(1).count():
-        links = cut(links.unionByName(found.verified(found.likely(found.spread(split)))))
-        state = components(links)
-        split = found.split(state)
-        if split.limit(1).count():
-            state = components(cut(links.unionByName(found.verified(found.rest(split).distinct()))))
-    named = found.nodes.select("node", "doc_id").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found, named = _placed(docs, k, threshold)
     # The smallest id of each component; partial sums keep a large component from meeting in one task.
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.select("node", "component").join(least, "component").select("node", "component_id")
@@ -350,7 +359,18 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> Data
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, threshold: int = 80) -> DataFrame:
-    """One row, all columns, of each component of near_duplicates: that with the smallest doc_id. doc_id names a document."""
-    kept = near_duplicates(docs, k=k, threshold=threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    own = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return own.dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row, all columns, of each component of near_duplicates: that with the smallest doc_id, one without only if no
+    row has any; between rows of one id that with the least hash of its columns.
+
+    Rows are told apart by all their columns, not by doc_id: different texts under one id or none are each their own
+    component's. Null, empty and blank texts are linked with nothing, so all stay but repeats of a whole row.
+    """
+    # A hash passes over nulls, so what is null is hashed as well.
+    hashed = [x for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant")) for x in (F.col(f"`{f.name}`"), F.col(f"`{f.name}`").isNull())]
+    row = F.struct(F.xxhash64(*hashed).alias("a"), F.xxhash64(F.lit(1), *hashed).alias("b"))
+    found, named = _placed(docs, k, threshold, row)
+    rows = found.signed.select("doc_id", "row", "node").join(named.select("node", "component"), "node", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    best = rows.where("component is not null").groupBy("component").agg(first).select(F.col("first.row").alias("_row"))
+    kept = best.unionByName(rows.where("component is null").select(F.col("row").alias("_row"))).distinct()
+    return docs.withColumn("_row", row).join(kept, "_row").dropDuplicates(["_row"]).select(docs.columns)
