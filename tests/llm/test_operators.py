@@ -248,6 +248,19 @@ def test_battery(prose):
     assert secrets.discoveries([], []) == [] and secrets.discoveries([1e-9, 0.5], [40, 20]) == [True, False]
 
 
+def test_battery_by_encoding(prose):
+    alphabets = {"base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "hex": "0123456789ABCDEF", "base62": string.ascii_letters + string.digits, "lower": string.ascii_lowercase}
+    least = {"base32": (25, 45, 65, 85), "base36": (45, 60, 78, 92), "hex": (35, 65, 80, 92), "base62": (85, 90, 95, 95), "lower": (5, 15, 25, 50)}
+    rng = random.Random(6)
+    for name, alphabet in alphabets.items():
+        for n, share in zip((16, 20, 24, 32), least[name], strict=True):
+            codes = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(200)]
+            found = sum(any(k == "random" for _, _, k in secrets.all_spans(f"{prose(5)} {c}.")) for c in codes)
+            assert found >= 2 * share, (name, n, found)
+    ordinary = ["/usr/share/doc/python3/examples/readme", "state-of-the-art-methods-for-everyone", "internationalization", "getElementsByClassName", "CONFIGURATION_DIRECTORY_PATH", "4000123412341234", "Donaudampfschifffahrtsgesellschaft", "desafortunadamente", "2024-01-15-release-notes", "x" * 3000, "zq" * 20, "abcdefghijklmnopqrstuvwxyz"]
+    assert [w for w in ordinary if secrets.all_spans(w)] == []
+
+
 def test_redaction(spark):
     rows = docs(spark, [(1, "a password=abcdefgh z"), (2, None), (3, "clean")])
     got = secrets.redact_documents(rows).orderBy("doc_id").collect()
