@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections import Counter, defaultdict
+from datetime import timedelta
 from decimal import Decimal
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tributo.plans import registry
+from tributo.sources import canonical
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -47,6 +51,27 @@ def test_query(spark, sf_dir, duck, name):
     assert got == _rows(columns, want.fetchall())
 
 
+def test_band_links_of_all_documents(spark, sf_dir):
+    """Every document is linked, to the least id within both bands."""
+    docs = canonical.documents(spark, sf_dir).select("id", "valor_total", F.to_date(F.substring("data_emissao", 1, 10)).alias("dia")).collect()
+    by_day = defaultdict(list)
+    for r in docs:
+        by_day[r.dia].append(r)
+    near = lambda r: [x.id for d in (-1, 0, 1) for x in by_day[r.dia + timedelta(d)] if abs(x.valor_total - r.valor_total) <= 5]
+    got = {r.id: r.alvo_id for r in registry.queries()["link_value_date_band_all"](spark, sf_dir).collect()}
+    assert got == {r.id + 1: min(near(r)) for r in docs} and len(got) == len(docs)
+
+
+def test_text_blocks_of_all_sources(spark, sf_dir):
+    got = Counter()
+    for r in registry.queries()["text_blocks_all"](spark, sf_dir).collect():
+        got[r.source, r.documento_id] += len(r.texto.split("\n"))
+    want = Counter()
+    for source, rows in (("detalhes", canonical.details), ("itens", canonical.items), ("impostos", canonical.taxes)):
+        want.update((source, r.documento_id) for r in rows(spark, sf_dir).select("documento_id").collect())
+    assert got == want and {s for s, _ in got} == {"detalhes", "itens", "impostos"}
+
+
 def test_entry(spark):
     assert len(entry.entry(spark).collect()) == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -274,6 +274,14 @@ def link_value_date_band(spark, sf_dir):
     return link.by_value_and_date(partial, docs.withColumn("tipo", F.lit("NFe")), value_band=5)
 
 
+@query(None)
+def link_value_date_band_all(spark, sf_dir):
+    """The band linkage with every document as a partial record; without SQL, checked by brute force."""
+    docs = canonical.documents(spark, sf_dir)
+    partial = docs.select((F.col("id") + 1).alias("id"), "valor_total", "data_emissao")
+    return link.by_value_and_date(partial, docs.withColumn("tipo", F.lit("NFe")), value_band=5)
+
+
 @query("SELECT doc_id AS id, min(item_id) AS alvo_id FROM (SELECT doc_id, md5(CAST(doc_id % 60 AS VARCHAR)) AS k FROM documents) JOIN (SELECT item_id, md5(CAST(item_id % 45 AS VARCHAR)) AS k FROM benchmark) USING (k) GROUP BY 1", views=False)
 def link_exact(spark, sf_dir):
     # A key of 44 digits from each id's residue, so that several documents share one.
@@ -369,6 +377,14 @@ def text_blocks(spark, sf_dir):
     return blocks.select("documento_id", F.size(lines).cast("long").alias("linhas"), F.aggregate(value, F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + x).cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+@query(None)
+def text_blocks_all(spark, sf_dir):
+    """The blocks of details, items and taxes; without SQL, checked by brute force."""
+    taxes = canonical.taxes(spark, sf_dir).drop("documento_id").withColumns({"id": F.xxhash64("item_id", "tipo_imposto"), "origem": F.lit(None).cast("string")})
+    items = canonical.items(spark, sf_dir).withColumn("codigo_produto", F.lit(None).cast("string"))
+    return retrieval.text_blocks(canonical.details(spark, sf_dir), items, taxes)
+
+
 # Analytic families.
 
 
