@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: with texts of some kilobytes a worker holds a few megabytes at once.
-BATCH_ROWS = 1024
+#: Bytes that a worker's function is given at once, but for a single longer row.
 BATCH_BYTES = 8 << 20
 
 #: ASCII white space that separates words in every contract of this package.
@@ -21,16 +20,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that go to Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches cut to BATCH_BYTES, whatever size the session's settings give them; no setting is changed."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(part for batch in batches for part in bounded(batch))
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    tuned(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def bounded(batch: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes each, judged by its mean row; a row is never split."""
+    rows = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
+    if batch.num_rows <= rows:
+        yield batch
+    else:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -46,18 +52,35 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise and cut the lineage in the shared folder that the session names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see, ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset, as in tests on one machine, a temporary folder stands in.
+    A temporary one stands in only where a single machine does all the work; a cluster without the setting is refused,
+    as others would not see what one machine writes to its own disk.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tributo-shared-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise and cut the lineage in the shared folder that the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributo-checkpoints-"))
-    out = df.checkpoint(eager=True)
-    # Shuffle files go when the JVM finds that nothing refers to them; ask it to look now that they have done their work.
-    context._jvm.System.gc()
-    return out
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Between phases that shuffle much: let Spark delete the shuffle files that nothing refers to any more.
+
+    Spark deletes them when the driver's JVM finds their handles dead, which by itself it looks for every half hour;
+    without this a run's disk is the sum of its phases instead of their maximum.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def doc_key(doc_id: Column) -> Column:
@@ -87,19 +110,30 @@ def utf8(column: pa.Array) -> tuple:
     return body, offsets
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int, most: int) -> DataFrame:
-    """text, lang and label of at most ``most`` rows that a classifier may learn from; those with the smallest hashed ids.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, folds: int, held: int, most: int, most_chars: int = 128 << 20) -> DataFrame:
+    """doc_id, text, lang and label of ``most`` rows or a little less that a classifier may learn from.
 
-    Rows of the held-out fold never get in. The bound keeps what the driver fits on in proportion to nothing but itself.
+    Rows of the held-out fold never get in. Labels are counted, then those below a hash threshold that leaves about 0.95
+    of ``most`` are taken, or fewer if their texts have over ``most_chars`` characters in all: no sort, and what the
+    driver fits on is bounded whatever the tables hold. Of rows with one doc_id that with the least text is used; ids
+    with contradicting labels count as the higher.
     """
-    chosen = (
+    usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
+    place = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 20))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
-    return own.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "label")
+
+    def below(share: float) -> DataFrame:
+        # most rows of two numbers each are far below any limit of a broadcast.
+        chosen = F.broadcast(usable.where(place < int((1 << 20) * share)))
+        return own.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "label")).alias("row")).select("doc_id", "row.*")
+
+    count = usable.count()
+    share = 1.0 if count <= most else 0.95 * most / count
+    chars = below(share).agg(F.sum(F.length("text"))).first()[0] or 0
+    return below(share if chars <= most_chars else share * 0.9 * most_chars / chars)

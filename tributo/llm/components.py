@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -18,12 +18,28 @@ def components(edges: DataFrame) -> DataFrame:
     links = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = cut(links.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("component")))
     while True:
-        heard = links.join(state.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("low"))
-        lower = state.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
-        own = state.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        jumped = lower.join(own, "component", "left").select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component"))
-        step = cut(jumped)
-        changed = step.where("old <> component").limit(1).count()
-        state = step.select("node", "component")
-        if not changed:
+        # The own label comes in as one more thing heard, so one aggregation settles a round before the jump.
+        heard = links.join(state.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.lit(None).cast("long").alias("old"), "component")
+        own = state.select("node", F.col("component").alias("old"), "component")
+        lower = heard.unionByName(own).groupBy("node").agg(F.max("old").alias("old"), F.min("component").alias("component"))
+        label = state.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        jumped = lower.join(label, "component", "left").select("node", "old", F.least("component", F.coalesce("next", "component")).alias("component"))
+        round_ = Observation()
+        state = cut(jumped.observe(round_, F.count_if(F.col("old") != F.col("component")).alias("changed"))).select("node", "component")
+        if not round_.get.get("changed"):
             return state
+
+
+def joined(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, component of all links so far: those that gave state, and edges (a, b) that came after.
+
+    Only edges between two components count, and only components take part in the rounds, so what is settled isn't
+    gone through again. Nodes of edges that state lacks are components of their own before.
+    """
+    named = lambda c: state.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    across = edges.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    over = components(across.where("a <> b").distinct())
+    merged = state.join(over.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    # A node that had no links before is its own component's name, so it stands in over.
+    alone = over.join(state.select("component").distinct().withColumnRenamed("component", "node"), "node", "left_anti")
+    return cut(merged.unionByName(alone.select("node", "component")))

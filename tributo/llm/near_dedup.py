@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, texts
-from .components import components
+from .common import cut, map_arrow, release, texts
+from .components import components, joined
 from .tokens import SPACED, bounds, mix, pieces, powers, words
 
 #: A signature has BANDS * ROWS registers. Two sets that are 0.8 alike agree in none of the bands with a chance of 1e-7.
@@ -72,8 +72,9 @@ def collision(a: int, b: int) -> float:
 
 def estimate(agree: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, buckets: int) -> np.ndarray:
     """Jaccard similarity from the share of registers that agree, less what agrees by collision."""
-    near = lambda n: 1 << max(0, int(math.log2(max(1.0, n / buckets)) + 0.5))
-    chance = np.array([collision(near(a), near(b)) for a, b in zip(sizes_a, sizes_b, strict=True)])
+    near = lambda n: np.maximum(0, np.log2(np.maximum(1.0, np.asarray(n) / buckets)) + 0.5).astype(np.int64)
+    pair, at = np.unique(near(sizes_a) * 64 + near(sizes_b), return_inverse=True)
+    chance = np.array([collision(1 << (p // 64), 1 << (p % 64)) for p in pair.tolist()])[at]
     return (agree / REGISTERS - chance) / (1 - chance)
 
 
@@ -199,7 +200,8 @@ class NearDuplicates:
         self.nodes = cut(self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large")))
         keyed = map_arrow(self.nodes.select("node", "small", "large"), _bands, "key long, band int, node long")
         shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
-        self.buckets = cut(keyed.join(shared, "key"))
+        self.buckets = cut(keyed.join(shared.select("key", "first"), "key"))
+        release(docs.sparkSession)
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         a = self.nodes.select(F.col("node").alias("a"), "n", "small", "large")
@@ -222,7 +224,10 @@ class NearDuplicates:
                     yield pa.record_batch({"node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
         found = map_arrow(self.docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"), "text"), run, "node long, s array<long>")
-        return cut(found.join(ids, "node").groupBy("node").agg(F.first("s").alias("s")))
+        out = cut(found.join(ids, "node").groupBy("node").agg(F.first("s").alias("s")))
+        # The result is a checkpoint, which needs the filter no more.
+        sent.destroy()
+        return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the full sets confirm."""
@@ -230,38 +235,48 @@ class NearDuplicates:
         sets = self.sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
-        return cut(both.where(100 * common >= self.threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        out = cut(both.where(100 * common >= self.threshold * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        release(self.docs.sparkSession)
+        return out
 
     def stars(self) -> DataFrame:
         """Every node of a bucket with the bucket's first node."""
         return self.buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
 
     def split(self, state: DataFrame) -> DataFrame:
-        """The buckets that hold several components as yet, with each node's."""
-        placed = self.buckets.select("key", "band", "node", "size").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        """The buckets that hold several components as yet, with each node's.
+
+        main is the component with most nodes in the bucket and pivot one of them, another one in each bucket; mains and
+        strays count the nodes inside and outside it.
+        """
+        placed = self.buckets.select("key", "band", "node").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        each = placed.groupBy("key", "component").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("one"))
+        several = each.groupBy("key").agg(F.count("*").alias("parts"), F.sum("many").alias("size"), F.max(F.struct("many", "component", F.col("one.node").alias("pivot"))).alias("top")).where("parts > 1")
+        several = several.select("key", F.col("top.component").alias("main"), "top.pivot", F.col("top.many").alias("mains"), (F.col("size") - F.col("top.many")).alias("strays"))
         return cut(placed.join(several, "key"))
 
     def spread(self, split: DataFrame) -> DataFrame:
-        """Nodes outside their bucket's largest component, each with a node of that, another one in each bucket."""
-        each = split.groupBy("key", "component").agg(F.count("*").alias("many"), F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("one"))
-        largest = each.groupBy("key").agg(F.max(F.struct("many", "component", F.col("one.node").alias("pivot"))).alias("top"))
-        return split.join(largest.select("key", "top.component", "top.pivot").withColumnRenamed("component", "main"), "key").where("component <> main").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        """Nodes outside their bucket's largest component, each with a node of that."""
+        return split.where("component <> main").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
 
     def rest(self, split: DataFrame) -> DataFrame:
         """All links across components of a bucket, compared block by block, a pair in the first band that it shares.
 
-        A bucket's rows carry registers and 16-bit prints of their shingles. The prints two sets share are never fewer
-        than their shingles, so no link is missed, and a task gives out hardly more than what verification confirms:
-        nodes that resemble many others without being linked cost comparisons in a task, but no rows.
+        Nodes of the largest component are compared with strays alone, and strays with all: blocks of strays meet each
+        other and blocks of the largest component, so a node is sent as often as there are blocks of strays, a stray as
+        often as there are blocks. A bucket's rows carry registers and 16-bit prints of their shingles. The prints two
+        sets share are never fewer than their shingles, so no link is missed, and a task gives out hardly more than what
+        verification confirms: nodes that resemble many others without being linked cost comparisons in a task, but no rows.
         """
         prints = map_arrow(self.sets(split.select("node").distinct()), _prints, "node long, prints binary")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("node"), blocks)
-        dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "band", "node", "component", own.alias("own"), "other")
-        dealt = dealt.select("key", "band", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        n_strays, n_mains = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("strays", "mains"))
+        stray = F.col("component") != F.col("main")
+        own = F.when(stray, F.pmod(F.xxhash64("node"), n_strays)).otherwise(n_strays + F.pmod(F.xxhash64("node"), n_mains)).cast("int")
+        met = F.sequence(F.lit(0), F.when(stray, n_strays + n_mains).otherwise(n_strays) - 1)
+        dealt = split.select("key", "band", "node", "component", stray.alias("stray"), own.alias("own"), F.explode(met).alias("other"))
+        dealt = dealt.select("key", "band", "node", "component", "stray", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         signature = F.when(F.col("band") < BANDS, F.col("small")).otherwise(F.col("large")).alias("signature")
-        full = dealt.join(self.nodes.select("node", "n", "small", "large").join(prints, "node"), "node").select("key", "i", "j", "band", "node", "component", "n", signature, "prints")
+        full = dealt.join(self.nodes.select("node", "n", "small", "large").join(prints, "node"), "node").select("key", "i", "j", "band", "node", "component", "stray", "own", "n", signature, "prints")
         return map_arrow(full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), _across(self.threshold / 100), "a long, b long")
 
 
@@ -273,18 +288,20 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(threshold: float):
     def group(rows: pa.Table) -> pa.RecordBatch:
-        node, part, n = (np.asarray(rows[c]) for c in ("node", "component", "n"))
-        band = rows["band"][0].as_py()
+        node, part, n, own, stray = (np.asarray(rows[c]) for c in ("node", "component", "n", "own", "stray"))
+        band, within = rows["band"][0].as_py(), rows["i"][0].as_py() == rows["j"][0].as_py()
+        buckets = 1 if band < BANDS else BUCKETS
         sig = np.frombuffer(b"".join(rows["signature"].to_pylist()), np.uint16).reshape(len(node), REGISTERS)
         prints = [np.frombuffer(p, np.uint16) for p in rows["prints"].to_pylist()]
-        values, sizes = np.unique(part, return_counts=True)
-        main = part == values[sizes.argmax()]
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         has = np.zeros(1 << 16, bool)
-        for x in np.flatnonzero(~main):
-            at = np.flatnonzero((part != part[x]) & (main | (node > node[x])) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9))
+        for x in np.flatnonzero(stray):
+            # Within a block each pair once; across blocks those of the other one, once if both are strays.
+            facing = node > node[x] if within else (own != own[x]) & (~stray | (own > own[x]))
+            at = np.flatnonzero(facing & (part != part[x]) & (np.minimum(n, n[x]) >= threshold * np.maximum(n, n[x]) - 1e-9))
             same = sig[at] == sig[x]
-            at = at[(same.sum(1) >= REGISTERS * (threshold - MARGIN)) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band % BANDS)]
+            close = estimate(same.sum(1), n[at], np.full(len(at), n[x]), buckets) >= threshold - MARGIN
+            at = at[close & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band % BANDS)]
             if not len(at):
                 continue
             has[prints[x]] = True
@@ -323,15 +340,14 @@ def _across(threshold: float):
 def _placed(docs: DataFrame, k: int, threshold: int, row: Column | None = None) -> tuple[NearDuplicates, DataFrame]:
     """What was found, and node, doc_id, component of every node."""
     found = NearDuplicates(docs, k, threshold, row)
-    links = found.verified(found.likely(found.stars()))
-    state = components(links)
+    state = components(found.verified(found.likely(found.stars())))
     split = found.split(state)
     if split.limit(1).count():
-        links = cut(links.unionByName(found.verified(found.likely(found.spread(split)))))
-        state = components(links)
+        state = joined(state, found.verified(found.likely(found.spread(split))))
         split = found.split(state)
         if split.limit(1).count():
-            state = components(cut(links.unionByName(found.verified(found.rest(split).distinct()))))
+            state = joined(state, found.verified(found.rest(split).distinct()))
+    release(docs.sparkSession)
     return found, found.nodes.select("node", "doc_id").join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
