@@ -97,3 +97,52 @@ def top_k(rows: list[tuple[int, list[float] | None]], k: int = 20) -> list[tuple
 def drawn(rows: list[tuple], weights: dict, budget: float) -> dict:
     """Tokens of each source that a mixture should draw."""
     return {s: w * budget for s, w in weights.items()}
+
+
+UNIT_WORDS = set("kg g mg km m cm mm l ml s h min hour hours minute minutes second seconds day days week weeks month months year years mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees watt watts volt volts".split())
+
+
+def units(x: str, opening_names: bool = False) -> list[tuple[str, str, bool]]:
+    """(template form, own words, is a slot) of each unit of a text."""
+    found = list(re.finditer("[\u3000-\u9fff\u0e00-\u0eff]|[0-9A-Za-z\u0080-\u0dff\u0f00-\u2fff\ua000-\U0010ffff]+", x))
+    out: list[list] = []
+    for i, m in enumerate(found):
+        w, gap = m[0], x[found[i - 1].end() : m.start()] if i else None
+        opens = not opening_names if gap is None else any(c in ".!?:;|\n" for c in gap)
+        if any(c in "0123456789" for c in w):
+            kind = "#number"
+        elif len(w) > 1 and "A" <= w[0] <= "Z" and w[1] >= "a" and not opens:
+            kind = "#name"
+        elif i and lower(w) in UNIT_WORDS and any(c in "0123456789" for c in found[i - 1][0]):
+            kind = "#unit"
+        else:
+            kind = None
+        if out and kind == out[-1][3] and (kind == "#name" and gap == " " or kind == "#number" and gap in (",", ".")):
+            out[-1][1] += "+" + lower(w)
+        else:
+            out.append([kind or lower(w), lower(w), kind is not None, kind])
+    return [(a, b, c) for a, b, c, _ in out]
+
+
+def contamination(x: str | None, items: list[tuple[int, str]], window: int = 8, literals: int = 5, whole: int = 3) -> tuple:
+    own = units(x or "")
+    hits: dict[int, dict[int, bool]] = {}
+    for item, text in items:
+        for opening in (False, True):
+            theirs = units(text, opening)
+            n = min(window, len(theirs))
+            if not n or n < whole and len(own) != n:
+                continue
+            for p in range(len(theirs) - n + 1):
+                a = theirs[p : p + n]
+                for q in range(len(own) - n + 1):
+                    b = own[q : q + n]
+                    forms = [sum(not u[2] for u in w) >= min(literals, n) for w in (a, b)]
+                    if forms[0] != forms[1] or any(u[0] != v[0] if forms[0] else u[1] != v[1] for u, v in zip(a, b, strict=True)):
+                        continue
+                    there: dict[str, str] = {}
+                    if all(there.setdefault(u[1], v[1]) == v[1] for u, v in zip(a, b, strict=True)):
+                        changed = any(u[1] != v[1] for u, v in zip(a, b, strict=True))
+                        places = hits.setdefault(item, {})
+                        places[q] = places.get(q, True) and changed
+    return bool(hits), sorted(hits), sum(map(len, hits.values())), any(any(p.values()) for p in hits.values())

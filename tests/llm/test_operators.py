@@ -136,38 +136,51 @@ def _hits(spark, rows, items, **options):
 
 
 def test_templates(spark, prose):
-    other = ITEM.replace("Paris", "Madrid").replace("Berlin", "Lisbon").replace("14", "9").replace("30", "75")
-    twisted = ITEM.replace("14 hours", "14 hours").replace("30 euros", "14 euros")
-    rows = [(1, prose(30) + " " + ITEM + " " + prose(9)), (2, prose(20) + ". " + other), (3, prose(60)), (4, twisted), (5, " ".join(ITEM.split()[3:13])), (6, None), (7, "")]
+    other = ITEM.replace("Paris", "Madrid").replace("Berlin", "New York").replace("14", "9").replace("30", "1,275.50")
+    rows = [(1, prose(30) + " " + ITEM + " " + prose(9)), (2, prose(20) + ". " + other), (3, prose(60)), (5, " ".join(ITEM.split()[3:13])), (6, None), (7, "")]
     got = _hits(spark, rows, [(10, ITEM), (11, ITEM), (12, None), (13, ""), (14, "only four words here"), (None, ITEM)])
     assert got[1].items == [10, 11] and not got[1].reparameterised and got[2].items == [10, 11] and got[2].reparameterised
-    assert not any(got[i].contaminated for i in (3, 4, 6, 7)) and got[5].contaminated
+    assert not any(got[i].contaminated for i in (3, 6, 7)) and got[5].contaminated
     short = _hits(spark, [(1, "x alpha beta gamma delta omega y")], [(1, "Alpha beta gamma delta omega")])
     assert short[1].contaminated
 
 
+def test_items_of_few_literals_match_word_for_word(spark, prose):
+    items = ["Solve 3 x + 5 = 20 , 4 y - 7 = 9 and 2 z + 8 = 16", "Maria Silva met John Smith and Anna Jones in New York City near Central Park", "Compute 12 + 30", "东京到大阪的距离是多少公里", "Yes"]
+    inside = [(i, f"{prose(12)}. {x} {prose(12)}") for i, x in enumerate(items)]
+    rows = inside + [(10, "they said Maria Silva met John Smith and Anna Jones in New York City near Central Park"), (11, "Compute 13 + 30"), (12, "yes"), (13, "东京到大阪的火车需要多长时间")]
+    got = _hits(spark, rows, list(enumerate(items)))
+    assert [got[i].items for i in range(4)] == [[0], [1], [2], [3]]
+    assert not got[4].contaminated and got[10].items == [1] and not got[11].contaminated and got[12].items == [4] and not got[13].contaminated
+
+
 def test_windows_are_judged_alone(spark, prose):
     twisted = ITEM.replace("30 euros", "14 euros")
     pair = "they bought 14 apples and sold 30 pears at the old market by the river"
     rows = [(1, twisted), (2, pair.replace("14", "20").replace("30", "20")), (3, pair.replace("14", "7")), (4, prose(60)), (5, "we saw 5 red and 8 red birds over there")]
     items = [(10, ITEM), (11, pair), (12, "we saw 5 red and 5 red birds")]
-    got = _hits(spark, rows, items, by_window=True)
+    got = _hits(spark, rows, items)
     assert [got[i].items for i in (1, 2, 3, 4, 5)] == [[10], [11], [11], [], []]
     assert got[1].reparameterised and got[2].reparameterised and got[3].reparameterised
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench, by_window=True).collect()) == [4, 5]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), bench).collect()) == [4, 5]
     # Windows of one value each stay though the item's equal values differ in another window.
     far = "the 5 boxes came by the early boat and later all of the 5 crates came by road"
-    assert _hits(spark, [(1, far.replace("5 crates", "6 crates"))], [(1, far)], by_window=True)[1].contaminated
-
-
-def test_benchmark_in_blocks(spark, prose):
-    items = [(i, prose(20)) for i in range(12)]
-    rows = [(i, prose(10) + " " + items[i][1] + " " + prose(10)) for i in range(12)] + [(50, prose(40))]
-    one, many = _hits(spark, rows, items), _hits(spark, rows, items, block_chars=100)
-    assert {d: r.items for d, r in one.items()} == {d: r.items for d, r in many.items()} == {i: [i] for i in range(12)} | {50: []}
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    assert [r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows + ODD[:1]), bench, block_chars=100).collect()] == [50, 1]
+    assert _hits(spark, [(1, far.replace("5 crates", "6 crates"))], [(1, far)])[1].contaminated
+
+
+def test_contamination_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    bits = ["red", "blue", "the", "of", "Paris", "New York", "Bob", "7", "8", "1,200", "3.5", "kg", "hours", ".", ",", "?", "x2", "中", "国", "Ünder"]
+    text = lambda n: " ".join(rng.choice(bits) for _ in range(n))
+    items = [(i, text(rng.randint(1, 14))) for i in range(40)]
+    rows = [(i, text(rng.randint(0, 25)) + " " + (rng.choice(items)[1] if i % 3 == 0 else "") + text(rng.randint(0, 9))) for i in range(150)] + ODD + [(9, "word " * 5_000)]
+    got = sorted(((r.doc_id, r.contaminated, r.items, r.n_windows, r.reparameterised) for r in decontaminate.contamination(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
+    assert got == sorted(((d, *brute.contamination(x, items)) for d, x in rows), key=repr)
+    kept = sorted((r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
+    assert kept == sorted((g[0] for g in got if not g[1]), key=repr)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert kept == sorted((r.doc_id for r in decontaminate.drop_contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()), key=repr)
 
 
 def test_decontamination_edges(spark):

@@ -83,6 +83,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of a filter over hashes; of fixed size, 2 MB, and full at some ten million of them: it only saves work.
+FILTER_BITS = 1 << 24
+
+
+def bit_filter(rows: DataFrame, h: Column):
+    """A bit for each hash h of rows, as an array of 64-bit words; the driver gets FILTER_BITS bits at most."""
+    import numpy as np
+
+    place = F.pmod(h, F.lit(FILTER_BITS))
+    got = rows.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[got["w"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def passes(bits, h):
+    """Which of the hashes may be in the filter. h: 64 bits each, or places below FILTER_BITS."""
+    import numpy as np
+
+    place = h.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def doc_key(doc_id: Column) -> Column:
     """The text whose crc32 decides a row's fold; a null id counts as the empty text."""
     return F.coalesce(doc_id.cast("string"), F.lit(""))

@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, texts
-from .tokens import LETTERED, Words, hash_of, mix, pieces, powers, words
+from .common import bit_filter, cut, map_arrow, passes
+from .tokens import LETTERED, hash_of, mix, pieces, powers, words
 
-#: Template tokens in a window, and the least number of them that must be literal words.
+#: Units of a window, and the least number of literal ones with which its template alone is compared.
 WINDOW = 8
 LITERALS = 5
-#: Characters of benchmark text that are broadcast at once; a larger benchmark goes through in several passes.
-BLOCK_CHARS = 4 << 20
-#: Entries of the table that turns away most windows before they are looked up.
-_FILTER = 1 << 20
+#: Names of contaminated rows that are broadcast at most, some 30 MB.
+BROADCAST_ROWS = 500_000
+#: Items of fewer units than this match only texts that hold nothing else.
+WHOLE = 3
 
 # Units that, after a number, are a slot.
-UNITS = "kg g mg km m cm mm l ml s h min hour hours minute minutes second seconds day days week weeks month months year years mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees watt watts volt volts".split()
+UNITS = (
+    "kg g mg km m cm mm l ml s h min hour hours minute minutes second seconds day days week weeks month months year years "
+    "mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees watt watts volt volts"
+).split()
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".!?:;|\n"]] = True
+_JOINS = np.zeros(256, bool)
+_JOINS[[ord(","), ord(".")]] = True
 
 
 @dataclass
 class Template:
-    """Canonical and raw hash of each token, whether it is a slot, and its row."""
+    """One entry a unit: its canonical and raw hash, whether it is a slot, and its row."""
 
     canonical: np.ndarray
     raw: np.ndarray
@@ -40,153 +44,166 @@ class Template:
     row: np.ndarray
 
 
-def canonicalise(column: pa.Array) -> Template:
-    """Numbers, units after a number, and capitalised words inside a sentence become typed placeholders."""
-    found, body, offsets = words(column, LETTERED)
-    return _typed(found, body, offsets)
+def canonicalise(column: pa.Array, opening_names: bool = False) -> Template:
+    """Numbers, units after a number, and capitalised words inside a sentence become typed placeholders.
 
-
-def _typed(found: Words, body: np.ndarray, offsets: np.ndarray) -> Template:
+    A number with marks inside (1,200 or 3.50) is one unit, and so is a name of several words. With opening_names a
+    text's first word is a name too if it is capitalised, as it would be inside a sentence.
+    """
+    found, body, offsets = words(column, LETTERED, letters=True)
+    size = len(found.start)
+    if not size:
+        return Template(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64))
     base = int(offsets[0])
     own = body[base : int(offsets[-1])]
     start, end = found.start - base, found.end - base
     digits = np.concatenate([[0], np.cumsum((own >= 48) & (own < 58))])
     breaks = np.concatenate([[0], np.cumsum(_BREAKS[own])])
     number = digits[end] > digits[start]
-    before = np.concatenate([[0], end[:-1]])
-    opens = np.concatenate([[True], found.row[1:] != found.row[:-1]]) if len(start) else np.zeros(0, bool)
-    opens |= breaks[start] > breaks[np.minimum(before, start)]
-    capital = (own[start] >= 65) & (own[start] < 91) if len(start) else np.zeros(0, bool)
-    inner = np.minimum(start + 1, max(len(own) - 1, 0))
-    capital &= (end - start > 1) & (own[inner] >= 97) if len(start) else capital
+    follows = np.concatenate([[False], found.row[1:] == found.row[:-1]])
+    before = np.concatenate([start[:1], end[:-1]])
+    opens = follows & (breaks[start] > breaks[np.minimum(before, start)])
+    if not opening_names:
+        opens |= ~follows
+    capital = (own[start] >= 65) & (own[start] < 91) & (end - start > 1) & (own[np.minimum(start + 1, len(own) - 1)] >= 97)
     name = capital & ~opens & ~number
-    units = np.array(sorted(hash_of(u) for u in UNITS), np.uint64)
-    unit = np.zeros(len(start), bool)
-    unit[1:] = number[:-1] & (found.row[1:] == found.row[:-1])
-    unit &= np.isin(found.hash, units) & ~number
+    unit = np.zeros(size, bool)
+    unit[1:] = number[:-1]
+    unit &= follows & np.isin(found.hash, np.array(sorted(hash_of(u) for u in UNITS), np.uint64)) & ~number
     canonical = found.hash.copy()
     canonical[number], canonical[unit], canonical[name] = NUMBER, UNIT, NAME
-    return Template(canonical, found.hash, number | unit | name, found.row)
+    near = follows & (start - before == 1)
+    gap = own[np.minimum(before, len(own) - 1)]
+    continues = near & (np.concatenate([[False], name[:-1]]) & name & (gap == 32) | np.concatenate([[False], number[:-1]]) & number & _JOINS[gap])
+    first = np.flatnonzero(~continues)
+    place = np.arange(size) - np.repeat(first, np.diff(np.append(first, size)))
+    raw = mix(np.add.reduceat(found.hash * powers(int(place.max()) + 1, 0x9FB21C651E98DF25)[place], first))
+    return Template(canonical[first], raw, (number | unit | name)[first], found.row[first])
+
 
+def windows(t: Template, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the n units from each place on, and which of these windows lie in one text.
 
-def _windows(t: Template, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the n tokens from each place on, and whether they lie in one text and have enough literals."""
+    A window with LITERALS literal units (or none but such) goes by its template, one with fewer by its raw words, as
+    placeholders alone would say too little. Windows of fewer than WHOLE units must be the whole text.
+    """
     size = len(t.raw) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    h = np.zeros(size, np.uint64)
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    template = n - (slots[n:] - slots[:size]) >= min(LITERALS, n)
+    h, exact = np.full(size, n, np.uint64), np.full(size, n, np.uint64)
     for i, p in enumerate(powers(n, 0xD6E8FEB86659FD93)):
         h += t.canonical[i : size + i] * p
-    slots = np.concatenate([[0], np.cumsum(t.slot)])
-    fits = (t.row[:size] == t.row[n - 1 :]) & (slots[n:] - slots[:size] <= n - min(LITERALS, n))
-    return mix(h), fits
+        exact += t.raw[i : size + i] * p
+    inside = t.row[:size] == t.row[n - 1 :]
+    if n < WHOLE:
+        counts = np.bincount(t.row)
+        inside &= counts[t.row[:size]] == n
+    return np.where(template, mix(h), mix(exact ^ np.uint64(0xE7037ED1A0B428DB))), inside
+
+
+def _of_items(window: int):
+    """The windows of benchmark items, one row each: h, n, item_id, raw (its units' raw hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole):
+                ids = np.asarray(batch.column("item_id"))
+                for opening in (False, True):
+                    t = canonicalise(batch.column("text"), opening)
+                    size = np.bincount(t.row, minlength=batch.num_rows)
+                    for n in range(1, window + 1):
+                        h, inside = windows(t, n)
+                        # Shorter items are one window.
+                        at = np.flatnonzero(inside & ((size[t.row[: len(h)]] == n) if n < window else True))
+                        raw = [t.raw[i : i + n].view(np.int64) for i in at]
+                        yield pa.record_batch({"h": h[at].view(np.int64), "n": np.full(len(at), n, np.int32), "item_id": ids[t.row[at]], "raw": pa.array(raw, pa.list_(pa.int64()))})
+
+    return run
 
 
 class Index:
-    """Template windows of benchmark items, by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, by_window: bool = False):
-        self.by_window = by_window
-        self.raw: list[np.ndarray] = []
-        self.slot: list[np.ndarray] = []
-        self.ids = [i for i, _ in items]
-        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (_, text) in enumerate(items):
-            t = canonicalise(pa.array([text], pa.string()))
-            self.raw.append(t.raw)
-            self.slot.append(t.slot)
-            n = min(window, len(t.raw))
-            if n < LITERALS:
-                continue
-            h, fits = _windows(t, n)
-            for place in np.flatnonzero(fits):
-                self.at[n][int(h[place])].append((k, int(place)))
-        self.at = {n: dict(x) for n, x in self.at.items()}
-        self.filter = {}
-        for n, x in self.at.items():
-            self.filter[n] = np.zeros(_FILTER, bool)
-            self.filter[n][np.array(list(x), np.uint64) % np.uint64(_FILTER)] = True
-
-    def matches(self, column: pa.Array) -> dict[int, dict[int, tuple[int, bool]]]:
-        """By row: item -> windows matched with consistent slots, and whether a slot's value differs in one of them."""
-        t = canonicalise(column)
-        aligned: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, table in self.at.items():
-            h, fits = _windows(t, n)
-            for place in np.flatnonzero(fits & self.filter[n][h % np.uint64(_FILTER)]):
-                for k, own in table.get(int(h[place]), ()):
-                    aligned[int(t.row[place]), k, int(place) - own].append((own, n))
-        out: dict[int, dict[int, tuple[int, bool]]] = defaultdict(dict)
-        for (row, k, shift), spans in aligned.items():
-            for held in [[x] for x in spans] if self.by_window else [spans]:
-                places = sorted({p for own, n in held for p in range(own, own + n) if self.slot[k][p]})
-                there, back, changed = {}, {}, False
-                for p in places:
-                    ours, theirs = int(self.raw[k][p]), int(t.raw[p + shift])
-                    if there.setdefault(ours, theirs) != theirs or not self.by_window and back.setdefault(theirs, ours) != ours:
-                        break
-                    changed |= ours != theirs
-                else:
-                    had, differed = out[row].get(k, (0, False))
-                    out[row][k] = had + len(held), differed or changed
-        return out
-
-
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of about block_chars characters, one block on the driver at a time."""
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    blocks = max(1, -(-(bench.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    for b in range(blocks):
-        yield sorted((r.item_id, r.text) for r in bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect())
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS, by_window: bool = False) -> DataFrame:
+    """The benchmark's windows as a table, a filter of fixed size over their hashes, and the window lengths that occur."""
+
+    def __init__(self, benchmark: DataFrame, window: int):
+        items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
+        # The two readings of an item's first word give most windows twice.
+        self.table = cut(map_arrow(items, _of_items(window), "h long, n int, item_id long, raw array<long>").distinct())
+        self.lengths = sorted(r.n for r in self.table.select("n").distinct().collect())
+        self.sent = benchmark.sparkSession.sparkContext.broadcast(bit_filter(self.table, F.col("h")))
+
+
+def _row(docs: DataFrame) -> list[Column]:
+    """Two hashes that name a row by doc_id and text; rows alike in both have the same windows."""
+    return [F.xxhash64(F.lit(s), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(c) for s, c in ((1, "_a"), (2, "_b"))]
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """_a, _b, item_id, at, changed: windows of texts, by name and place, that are one of an item's with consistent slots."""
+    index = Index(benchmark, window)
+    sent, lengths = index.sent, index.lengths
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for whole in batches:
+            for batch in pieces(whole):
+                t = canonicalise(batch.column("text"))
+                for n in lengths:
+                    h, inside = windows(t, n)
+                    at = np.flatnonzero(inside & passes(bits, h))
+                    if len(at):
+                        row = pa.array(t.row[at])
+                        raw = [t.raw[i : i + n].view(np.int64) for i in at]
+                        yield pa.record_batch({"_a": batch.column("_a").take(row), "_b": batch.column("_b").take(row), "at": at.astype(np.int64) - np.searchsorted(t.row, t.row[at]), "h": h[at].view(np.int64), "own": pa.array(raw, pa.list_(pa.int64()))})
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    met = map_arrow(docs.select(*_row(docs), text), run, "_a long, _b long, at long, h long, own array<long>")
+    # An item's value must be one value of the text: each unit equals that at its first place in the item's window.
+    consistent = F.expr("size(raw) = size(own) and forall(sequence(0, size(raw) - 1), i -> own[i] = own[array_position(raw, raw[i]) - 1])")
+    hits = met.join(index.table, "h").where(consistent).select("_a", "_b", "item_id", "at", (F.col("raw") != F.col("own")).alias("changed"))
+    # Repeated rows give one window several times; a window with the item's own values in one place isn't changed.
+    return hits.groupBy("_a", "_b", "item_id", "at").agg(F.min("changed").alias("changed"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, contaminated, items (sorted item_ids), n_windows, reparameterised; one row for each row of docs.
 
-    A document is contaminated if a window of template tokens is also one of a benchmark item and its slots can be
-    filled consistently. By default the same value on one side is the same value on the other, over all windows of an
-    alignment, and one slot that isn't drops the alignment. by_window judges each window by itself: an item's value must
-    be one value in the document's window, different ones may become equal, and other windows don't matter.
-    reparameterised says that some value then differs. Items of fewer tokens than a window are one window; items of
-    fewer than LITERALS tokens, null or empty ones never match, nor do windows with fewer literal words than that.
-    Null and empty documents are clean. Items with one text are reported each; a null item_id is left out.
+    A document is contaminated if a window of template units is also one of a benchmark item and the slots fit: a value
+    of the item must be one value in the document's window; different ones may become equal, and each window is judged
+    by itself. reparameterised says that some value then differs. Windows with few literals must have the item's own
+    words. An item of fewer units than a window is one window; one of fewer than WHOLE units is too common to be told
+    from other text and matches only texts of these units alone. Letters of scripts without blanks are units each.
+
+    Null and empty documents are clean, null and empty items never match, items with one text are reported each, and a
+    null item_id is left out. Repeated rows get the same values each. Very long texts are split between words.
+
+    Windows that pass a filter of fixed size are joined by hash with the table of all items' windows, so the benchmark
+    may be of any size.
+    """
+    hits = _hits(docs, benchmark, window)
+    each = hits.groupBy("_a", "_b", "item_id").agg(F.count("*").alias("n"), F.max("changed").alias("changed"))
+    found = each.groupBy("_a", "_b").agg(F.sort_array(F.collect_list("item_id")).alias("items"), F.sum("n").alias("n_windows"), F.max("changed").alias("changed"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row(docs))
+    out = named.join(found, ["_a", "_b"], "left")
+    return out.select(
+        "doc_id",
+        F.col("items").isNotNull().alias("contaminated"),
+        F.coalesce("items", F.array().cast("array<long>")).alias("items"),
+        F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"),
+        F.coalesce("changed", F.lit(False)).alias("reparameterised"),
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns whatever their names, that contamination finds clean; nulls and empty texts are.
+
+    The contaminated rows' names, 16 bytes each, are broadcast if they are BROADCAST_ROWS at most, so that texts aren't
+    shuffled; more of them are joined.
     """
-    found = texts(docs).withColumn("items", F.array().cast("array<long>")).withColumn("n_windows", F.lit(0).cast("long")).withColumn("reparameterised", F.lit(False))
-    for items in _blocks(benchmark, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, window, by_window)
-            for whole in batches:
-                for batch in pieces(whole):
-                    hits = index.matches(batch.column("text"))
-                    lists, n, changed = batch.column("items").to_pylist(), batch.column("n_windows").to_pylist(), batch.column("reparameterised").to_pylist()
-                    for row, own in hits.items():
-                        lists[row] = sorted({*lists[row], *(index.ids[k] for k in own)})
-                        n[row] += sum(x for x, _ in own.values())
-                        changed[row] |= any(x for _, x in own.values())
-                    yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": batch.column("text"), "items": pa.array(lists, pa.list_(pa.int64())), "n_windows": pa.array(n, pa.int64()), "reparameterised": pa.array(changed, pa.bool_())})
-
-        found = map_arrow(found, run, "doc_id long, text string, items array<long>, n_windows long, reparameterised boolean")
-    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "n_windows", "reparameterised")
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_chars: int = BLOCK_CHARS, by_window: bool = False) -> DataFrame:
-    """The rows of docs, all columns, that contamination with the same by_window finds clean."""
-    for items in _blocks(benchmark, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, window, by_window)
-            for whole in batches:
-                hit: list[int] = []
-                at = 0
-                for part in pieces(pa.record_batch({"text": whole.column("text").fill_null("")})):
-                    hit += [at + row for row in index.matches(part.column("text"))]
-                    at += part.num_rows
-                keep = np.ones(whole.num_rows, bool)
-                keep[hit] = False
-                yield whole.filter(pa.array(keep))
-
-        docs = map_arrow(docs, run, docs.schema)
-    return docs
+    bad = cut(_hits(docs, benchmark, window).select("_a", "_b").distinct())
+    names = [f"_{c}_{len(docs.columns)}" for c in ("first", "second")]
+    bad = bad.select(F.col("_a").alias(names[0]), F.col("_b").alias(names[1]))
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    named = docs.select("*", *(c.alias(n) for c, n in zip(_row(docs), names, strict=True)))
+    return named.join(bad, names, "left_anti").select(docs.columns)

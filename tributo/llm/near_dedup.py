@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, release, texts
+from .common import bit_filter, cut, map_arrow, passes, release, texts
 from .components import components, joined
 from .tokens import SPACED, bounds, mix, pieces, powers, words
 
@@ -28,8 +28,6 @@ MANTISSA = 10
 MARGIN = 0.15
 #: Rows of one bucket compared in one task; larger buckets are split into pairs of such blocks.
 BLOCK = 1_024
-#: Bits of the filter that keeps texts without candidates from being sent; of fixed size, it only saves work.
-FILTER_BITS = 1 << 24
 #: Type of a row's name: two 64-bit hashes of its columns.
 ROW = "struct<a:bigint,b:bigint>"
 
@@ -180,15 +178,6 @@ def _likely(threshold: float):
     return run
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A bit for each hashed id. The driver gets FILTER_BITS bits at most, however many ids there are."""
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    rows = ids.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["w"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 class NearDuplicates:
     """Finds the links of one corpus step by step; see near_duplicates. signed carries row, a name of each row of docs."""
 
@@ -211,19 +200,17 @@ class NearDuplicates:
     def sets(self, ids: DataFrame) -> DataFrame:
         """node and its full set, read again from the texts of the nodes in ids alone."""
         wanted = self.nodes.select("node", "doc_id").join(ids, "node")
-        sent = self.docs.sparkSession.sparkContext.broadcast(_filter_words(wanted.select("doc_id")))
+        sent = self.docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.xxhash64("doc_id")))
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits = sent.value
             for whole in batches:
-                h = np.asarray(whole.column("h"))
-                keep = (bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1
-                for batch in pieces(whole.filter(pa.array(keep))):
+                for batch in pieces(whole.filter(pa.array(passes(bits, np.asarray(whole.column("h")))))):
                     sets = shingle_sets(batch.column("text"), k)
                     yield pa.record_batch({"node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()), "s": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-        found = map_arrow(self.docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"), "text"), run, "node long, s array<long>")
+        found = map_arrow(self.docs.select(F.xxhash64("doc_id").alias("h"), "text"), run, "node long, s array<long>")
         out = cut(found.join(ids, "node").groupBy("node").agg(F.first("s").alias("s")))
         # The result is a checkpoint, which needs the filter no more.
         sent.destroy()

@@ -67,14 +67,24 @@ class Words:
     end: np.ndarray
 
 
-def _slice(body: np.ndarray, breaks: np.ndarray, values: np.ndarray, head: int) -> tuple:
-    """breaks: places, within body, where a text starts."""
+def _unspaced(body: np.ndarray) -> np.ndarray:
+    """Where letters of scripts written without blanks start: kana and Han (U+3000 to U+9FFF), Thai and Lao; three bytes each."""
+    after = np.append(body[1:], np.uint8(0))
+    return np.flatnonzero((body >= 0xE3) & (body <= 0xE9) | (body == 0xE0) & (after >= 0xB8) & (after <= 0xBB))
+
+
+def _slice(body: np.ndarray, breaks: np.ndarray, values: np.ndarray, head: int, letters: bool = False) -> tuple:
+    """breaks: places, within body, where a text starts. letters: a letter of an unspaced script is a word by itself."""
     value = values[body]
     inside = value != 0
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = np.zeros(len(body) + 1, bool)
     cut[breaks] = True
+    if letters:
+        at = _unspaced(body)
+        cut[at] = True
+        cut[np.minimum(at + 3, len(body))] = True
     first |= cut[:-1] & inside
     last = inside.copy()
     last[:-1] &= ~inside[1:]
@@ -95,8 +105,8 @@ def _slice(body: np.ndarray, breaks: np.ndarray, values: np.ndarray, head: int)
     return whole, lead, start, end
 
 
-def words(column: pa.Array, values: np.ndarray = SPACED, head: int = 0) -> tuple[Words, np.ndarray, np.ndarray]:
-    """The words of each text, with the bytes and offsets of the column."""
+def words(column: pa.Array, values: np.ndarray = SPACED, head: int = 0, letters: bool = False) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of each text, with the bytes and offsets of the column. letters: see _slice."""
     body, offsets = utf8(column)
     at, stop, parts = int(offsets[0]), int(offsets[-1]), []
     while at < stop:
@@ -108,7 +118,7 @@ def words(column: pa.Array, values: np.ndarray = SPACED, head: int = 0) -> tuple
                 break
             to = min(stop, to + SLICE)
         a, b = np.searchsorted(offsets, (at, to))
-        whole, lead, start, end = _slice(body[at:to], offsets[a:b] - at, values, head)
+        whole, lead, start, end = _slice(body[at:to], offsets[a:b] - at, values, head, letters)
         parts.append((whole, lead, start + at, end + at))
         at = to
     whole, lead, start, end = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
