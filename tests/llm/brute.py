@@ -94,7 +94,28 @@ def top_k(rows: list[tuple[int, list[float] | None]], k: int = 20) -> list[tuple
     return sorted(out)
 
 
-def drawn(rows: list[tuple], weights: dict, budget: float) -> dict:
+def mixed(tokens: dict, budget_share: float, share_of_entropy: float, repeats: float) -> dict:
+    """Weights of sources by plain halving of the exponent."""
+    used = {s: t for s, t in tokens.items() if t}
+    budget = budget_share * sum(used.values())
+
+    def at(a: float) -> dict:
+        z = sum((t / max(used.values())) ** a for t in used.values())
+        return {s: (t / max(used.values())) ** a / z if t else 0.0 for s, t in tokens.items()}
+
+    def search(fits) -> float:
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if fits(at(mid)) else (low, mid)
+        return low
+
+    a = search(lambda w: -sum(x * math.log(x) for x in w.values() if x) >= share_of_entropy * math.log(len(used)))
+    b = search(lambda w: max(w[s] * budget / t for s, t in used.items()) > repeats)
+    return at(max(a, b))
+
+
+def drawn(weights: dict, budget: float) -> dict:
     """Tokens of each source that a mixture should draw."""
     return {s: w * budget for s, w in weights.items()}
 

@@ -457,32 +457,60 @@ def test_top_k_edges(spark):
 # 10: mixing.
 
 
-def test_exponents():
+def test_exponents(spark):
+    of = lambda tokens_: mixing.Shares(spark.createDataFrame([(t,) for t in tokens_], "tokens long"))
     tokens_ = [1000, 100, 10]
-    shares = [t / 1110 for t in tokens_]
-    a = mixing.bisect_exponent(tokens_, 1110, target_entropy=0.9)
-    assert mixing.entropy(mixing.tempered(shares, a)) == pytest.approx(0.9 * np.log(3), abs=1e-9)
-    b = mixing.bisect_exponent(tokens_, 1110, most_repeats=4)
-    assert mixing.repetition(mixing.tempered(shares, b), tokens_, 1110) == pytest.approx(4, rel=1e-9)
-    assert mixing.bisect_exponent(tokens_, 1110, target_entropy=0.0) == 1.0 and mixing.bisect_exponent([], 0) == 0.0
-    assert mixing.tempered([0.5, 0.0], 0.0) == [1.0, 0.0]
+    weights = lambda a: [t**a / sum(u**a for u in tokens_) for t in tokens_]
+    a = of(tokens_).exponent(1110, target_entropy=0.9)
+    assert -sum(w * np.log(w) for w in weights(a)) == pytest.approx(0.9 * np.log(3), abs=1e-7)
+    b = of(tokens_).exponent(1110, most_repeats=4)
+    assert max(w * 1110 / t for w, t in zip(weights(b), tokens_, strict=True)) == pytest.approx(4, rel=1e-7)
+    assert of(tokens_).exponent(1110, target_entropy=0.0) == 1.0 and of([]).exponent(0) == 0.0 and of([5, 5]).exponent(10, most_repeats=1) == 0.0
+    assert of([1000, 1]).exponent(1001, most_repeats=0.5) == 1.0
 
 
-def test_mixture_is_realised(spark, prose):
+@pytest.fixture(scope="module")
+def sourced(spark, prose):
     sizes = {"a": 300, "b": 60, "c": 15, None: 10}
-    rows = [(i, prose(20), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(9000, None, "a"), (9001, "", "d")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"weight": F.lit(1), "copies": F.lit(1)})
-    out = mixing.mix_sources(df, target_entropy=0.9, most_repeats=3.0).collect()
+    rows = [(i, prose(20), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))] + [(9000, None, "a"), (9001, "", "d"), (9002, "word " * 40_000, "e")]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"weight": F.lit(1), "copies": F.lit(1), "place": F.lit(1)})
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_mixture_is_realised(sourced, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", broadcast)
+    rows, df = sourced
+    options = {"target_entropy": 0.6, "most_repeats": 3.0}
+    out = mixing.mix_sources(df, **options).collect()
     assert len(out) == len(rows)
-    assert [tuple(r) for r in sorted(out, key=lambda r: r.doc_id)] == [tuple(r) for r in sorted(mixing.mix_sources(df.repartition(7), target_entropy=0.9, most_repeats=3.0).collect(), key=lambda r: r.doc_id)]
-    own, total = {}, sum(r.n_tokens for r in out)
+    assert [tuple(r) for r in sorted(out, key=lambda r: r.doc_id)] == [tuple(r) for r in sorted(mixing.mix_sources(df.repartition(7), **options).collect(), key=lambda r: r.doc_id)]
+    own = {}
     for r in out:
         t = own.setdefault(r.source, [0, 0, r.weight])
         t[0] += r.n_tokens
         t[1] += r.n_tokens * r.copies
-    for tokens_, drawn, weight in own.values():
-        assert abs(drawn - weight * total) <= 100 if tokens_ else drawn == 0
-        assert weight * total <= 3.0 * tokens_ + 1e-6
-    assert sum(w for _, _, w in own.values()) == pytest.approx(1)
+    weights = brute.mixed({s: t for s, (t, _, _) in own.items()}, 1.0, 0.6, 3.0)
+    total = sum(r.n_tokens for r in out)
+    for s, (tokens_, drawn, weight) in own.items():
+        assert weight == pytest.approx(weights[s], abs=1e-6)
+        assert abs(drawn - brute.drawn(weights, total)[s]) <= (100 if s != "e" else tokens_) if tokens_ else drawn == 0
     assert all(r.n_tokens == len(brute.words(t)) for r, (_, t, _) in zip(sorted(out, key=lambda r: r.doc_id), rows, strict=True))
     assert mixing.mix_sources(df.limit(0)).count() == 0
+    # The mixture has each document as often, block after block.
+    drawn = mixing.mixture(df, **options).collect()
+    copies = {r.doc_id: r.copies for r in out}
+    assert {d: n for d, n in copies.items() if n} == {r.doc_id: sum(x.doc_id == r.doc_id for x in drawn) for r in drawn}
+    assert {r.doc_id: r.text for r in drawn} == {d: t for d, t, _ in rows if copies[d]}
+    last = {}
+    for r in drawn:
+        if r.draw == copies[r.doc_id]:
+            last.setdefault((r.source, r.draw), []).append(r.place)
+    # The blocks of the last, partial pass come before those that it doesn't reach.
+    for (s, draw), places in last.items():
+        assert all(p > max(places) for p in last.get((s, draw - 1), []))
+
+
+def test_very_many_sources(spark):
+    df = spark.range(120_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.col("id").cast("string").alias("source"))
+    out = mixing.mix_sources(df).agg(F.sum("copies"), F.sum("weight"), F.count("*")).first()
+    assert out[0] == 120_000 and out[1] == pytest.approx(1) and out[2] == 120_000

@@ -7,61 +7,103 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Blocks that each source is dealt into; a source's order is settled on these alone.
 BLOCKS = 4_096
-#: Sources whose shares the driver weighs; beyond that, the smallest are weighed together in proportion.
-SOURCES = 100_000
+#: Exponents tried at once in a round of the search, and rounds: the interval ends below 1e-10.
+TRIED, ROUNDS = 32, 7
+#: Blocks whose plan is broadcast at most, some 40 bytes each; more of them are joined.
+BROADCAST_ROWS = 500_000
 
 
 def n_words(text: Column) -> Column:
-    return F.when(F.trim(text) == "", F.lit(0)).otherwise(F.coalesce(F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0))).cast("long")
-
-
-def tempered(shares: list[float], exponent: float) -> list[float]:
-    top = max(shares, default=1.0)
-    powers = [(s / top) ** exponent if s > 0 else 0.0 for s in shares]
-    total = sum(powers) or 1.0
-    return [p / total for p in powers]
-
-
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
-
-
-def repetition(weights: list[float], tokens: list[int], budget: float) -> float:
-    """How often the most repeated source is seen when budget tokens are drawn by these weights."""
-    return max((w * budget / t for w, t in zip(weights, tokens, strict=True) if t), default=0.0)
-
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+class Shares:
+    """What the search for an exponent needs of the sources' token counts: sums over all of them, whatever their number."""
+
+    def __init__(self, sources: DataFrame):
+        self.sources = sources.where("tokens > 0")
+        self.used, self.total, self.least, self.most = self.sources.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0)), F.min("tokens"), F.max("tokens")).first()
+
+    def sums(self, exponents: list[float]) -> list[tuple[float, float]]:
+        """For each exponent a the sums of x**a and of x**a * ln(x), x being a source's tokens over the largest's."""
+        x = F.col("tokens") / F.lit(float(self.most))
+        terms = [t for a in exponents for t in (F.sum(F.pow(x, F.lit(a))), F.sum(F.pow(x, F.lit(a)) * F.log(x)))]
+        row = self.sources.agg(*terms).first()
+        return list(zip(row[::2], row[1::2], strict=True))
+
+    def entropy(self, a: float, sums: tuple[float, float]) -> float:
+        z, l = sums
+        return math.log(z) - a * l / z
+
+    def repetition(self, a: float, sums: tuple[float, float], budget: float) -> float:
+        """How often the most repeated source is seen when budget tokens are drawn; for exponents up to 1 the smallest one."""
+        return budget * (self.least / self.most) ** a / sums[0] / self.least
+
+    def exponent(self, budget: float, *, target_entropy: float | None = None, most_repeats: float | None = None) -> float:
+        """The exponent between 0 (even weights) and 1 (the sources' own shares).
+
+        With target_entropy the largest that reaches this share of the greatest entropy, with most_repeats the smallest
+        under which no source is repeated more often; with both, the larger of the two, as the limit binds. Entropy and
+        repetition fall as the exponent rises, so the interval in which each crosses its mark is narrowed, TRIED
+        exponents a round. Unreachable: the nearer end. Rounded up to 1e-9, so that it doesn't hang on the order of sums.
+        """
+        out = 0.0
+        if not self.used:
+            return out
+        if target_entropy is not None and self.used > 1:
+            wanted = target_entropy * math.log(self.used)
+            out = self._last(lambda a, s: self.entropy(a, s) >= wanted)
+        if most_repeats is not None:
+            above = self._last(lambda a, s: self.repetition(a, s, budget) > most_repeats)
+            out = max(out, min(1.0, math.ceil(above * 1e9 + 0.5) / 1e9) if above >= 0 else 0.0)
+        return max(0.0, min(1.0, round(out, 9)))
+
+    def _last(self, holds) -> float:
+        """The largest exponent up to which holds is true, or -1."""
+        low, high = 0.0, 1.0
+        for turn in range(ROUNDS):
+            tried = [low + (high - low) * i / TRIED for i in range(TRIED + 1)]
+            true = [holds(a, s) for a, s in zip(tried, self.sums(tried), strict=True)]
+            if not true[0]:
+                return -1.0 if turn == 0 else low
+            last = max(i for i, t in enumerate(true) if t)
+            if last == TRIED:
+                return high
+            low, high = tried[last], tried[last + 1]
+        return low
+
+
+def _dealt(docs: DataFrame, seed: int, blocks: int) -> list[Column]:
+    """_source and _block of each row."""
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [source.alias("_source"), F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text), F.lit(blocks)).cast("int").alias("_block")]
 
-def bisect_exponent(tokens: list[int], budget: float, *, target_entropy: float | None = None, most_repeats: float | None = None, rounds: int = 60) -> float:
-    """The exponent between 0 (even weights) and 1 (the sources' own shares).
 
-    With target_entropy the largest that reaches this share of the greatest entropy, with most_repeats the smallest under
-    which no source is repeated more often; with both, the larger of the two, as the limit binds. Entropy falls and, from the
-    smallest source, repetition falls as the exponent rises, so halving the interval finds both. Unreachable: the nearer end.
-    """
-    total = sum(tokens) or 1
-    shares = [t / total for t in tokens]
-    used = sum(t > 0 for t in tokens)
-    out = 0.0
-    if target_entropy is not None and used > 1:
-        wanted = target_entropy * math.log(used)
-        low, high = 0.0, 1.0
-        if entropy(tempered(shares, 1.0)) >= wanted:
-            low = 1.0
-        for _ in range(rounds):
-            mid = (low + high) / 2
-            low, high = (mid, high) if entropy(tempered(shares, mid)) >= wanted else (low, mid)
-        out = low
-    if most_repeats is not None:
-        low, high = 0.0, 1.0
-        if repetition(tempered(shares, 0.0), tokens, budget) <= most_repeats:
-            high = 0.0
-        for _ in range(rounds):
-            mid = (low + high) / 2
-            low, high = (low, mid) if repetition(tempered(shares, mid), tokens, budget) <= most_repeats else (mid, high)
-        out = max(out, high)
-    return out
+def _plan(sized: DataFrame, budget_share: float, target_entropy: float | None, most_repeats: float | None, seed: int) -> DataFrame:
+    """_source, _block, weight, copies, place: how often each block is drawn, and its place in its source's permutation."""
+    # At most `blocks` rows a source, after partial sums on the map side.
+    dealt = cut(sized.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("_tokens")))
+    sources = cut(dealt.groupBy("_source").agg(F.sum("_tokens").alias("tokens")))
+    shares = Shares(sources)
+    budget = budget_share * shares.total
+    a = shares.exponent(budget, target_entropy=target_entropy, most_repeats=most_repeats)
+    z = shares.sums([a])[0][0] if shares.used else 1.0
+    # Rounded, so that the order in which the sum was made doesn't show.
+    weight = F.when(F.col("tokens") > 0, F.round(F.pow(F.col("tokens") / F.lit(float(shares.most or 1)), F.lit(a)) / F.lit(z), 12)).otherwise(0.0)
+    wanted = F.col("weight") * F.lit(float(budget))
+    passes = F.when(F.col("tokens") > 0, F.floor(wanted / F.col("tokens"))).otherwise(0).cast("long")
+    plan = sources.withColumn("weight", weight).select("_source", "weight", passes.alias("_passes"), (wanted - passes * F.col("tokens")).alias("_left"))
+    order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 1), "_block"), "_block")
+    taken = dealt.join(plan, "_source").withColumn("place", F.row_number().over(order))
+    taken = taken.withColumn("_before", F.coalesce(F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    drawn = F.when(F.col("weight") > 0, F.col("_passes") + (F.col("_before") < F.col("_left")).cast("int")).otherwise(0)
+    taken = cut(taken.select("_source", "_block", "weight", drawn.cast("long").alias("copies"), "place"))
+    return F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
 
 
 def mix_sources(docs: DataFrame, *, budget_share: float = 1.0, target_entropy: float | None = 0.97, most_repeats: float | None = 4.0, seed: int = 11, blocks: int = BLOCKS) -> DataFrame:
@@ -70,32 +112,25 @@ def mix_sources(docs: DataFrame, *, budget_share: float = 1.0, target_entropy: f
     The budget is budget_share of all tokens (words). A source with weight w gets w * budget tokens: as many whole
     passes as fit, then blocks in a permuted order for as long as tokens are left; the block in which they run out is
     taken whole, so a source exceeds its budget by one of its blocks at most. Documents go to blocks by a hash of id and
-    text. A null source is a source of its own, a null or empty text has 0 tokens and its block's fate; sources without
-    tokens get weight 0 and no copies. An empty input gives an empty result.
+    text. There may be any number of sources. A null source is a source of its own, a null or empty text has 0 tokens
+    and its block's fate; sources without tokens get weight 0 and no copies. Repeated rows are drawn alike; other
+    columns are left out, whatever their names. An empty input gives an empty result.
     """
-    src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("-"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        src.alias("_source"),
-        n_words(text).alias("n_tokens"),
-        F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), text), F.lit(blocks)).cast("int").alias("_block"),
-    )
-    # At most `blocks` rows a source, after partial sums on the map side.
-    dealt = sized.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("_tokens"))
-    top = dealt.groupBy("_source").agg(F.sum("_tokens").alias("tokens")).orderBy(F.desc("tokens"), "_source").limit(SOURCES + 1).collect()
-    if len(top) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources; group them first")
-    tokens = [r.tokens or 0 for r in top]
-    budget = budget_share * sum(tokens)
-    total = sum(tokens) or 1
-    weights = tempered([t / total for t in tokens], bisect_exponent(tokens, budget, target_entropy=target_entropy, most_repeats=most_repeats))
-    plan = docs.sparkSession.createDataFrame(
-        [(r._source, w if t else 0.0, int(w * budget // t) if t else 0, float(w * budget - (w * budget // t) * t) if t else 0.0) for r, w, t in zip(top, weights, tokens, strict=True)],
-        "_source string, weight double, _passes int, _left double",
-    )
-    order = Window.partitionBy("_source").orderBy(F.xxhash64(F.lit(seed + 1), "_block"), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    taken = dealt.join(F.broadcast(plan), "_source").withColumn("_before", F.coalesce(F.sum("_tokens").over(order), F.lit(0)))
-    taken = taken.select("_source", "_block", "weight", (F.col("_passes") + (F.col("_before") < F.col("_left")).cast("int")).alias("copies"))
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *_dealt(docs, seed, blocks), n_words(text).alias("n_tokens")))
+    taken = _plan(sized, budget_share, target_entropy, most_repeats, seed)
     return sized.join(taken, ["_source", "_block"]).select("doc_id", "source", "n_tokens", "weight", "copies")
+
+
+def mixture(docs: DataFrame, *, budget_share: float = 1.0, target_entropy: float | None = 0.97, most_repeats: float | None = 4.0, seed: int = 11, blocks: int = BLOCKS) -> DataFrame:
+    """The mixture itself: a row for each time a document is drawn by mix_sources.
+
+    doc_id, source, text, n_tokens, weight, draw (1 for the first pass over its source, and so on) and place (that of
+    its block in the source's permutation): by draw, then place, a source is read in the order that its budget was
+    spent. Documents with no copies are out. Nulls, empty texts and clashing columns are as in mix_sources.
+    """
+    text = F.col("text").cast("string").alias("text")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text, *_dealt(docs, seed, blocks), n_words(F.coalesce(text, F.lit(""))).alias("n_tokens"))
+    taken = _plan(whole.select("_source", "_block", "n_tokens"), budget_share, target_entropy, most_repeats, seed)
+    drawn = whole.join(taken.where("copies > 0"), ["_source", "_block"])
+    return drawn.select("doc_id", "source", "text", "n_tokens", "weight", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("draw"), "place")
