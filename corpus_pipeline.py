@@ -1,20 +1,19 @@
 """A training-corpus pipeline over documents: each stage's result is written as Parquet and read again by the next.
 
 Stages: reject toxic documents, keep one document of each group of near copies, drop documents that hold benchmark
-passages, redact secrets, and give each document its copies under the source mixture.
+passages, redact secrets, and draw the documents by the source mixture.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributo.llm.common import read
+from tributo.llm.common import read, shared_folder
 from tributo.llm.decontaminate import drop_contaminated
-from tributo.llm.mixing import mix_sources
+from tributo.llm.mixing import mixture
 from tributo.llm.near_dedup import keep_one
 from tributo.llm.secrets import redact_documents
 from tributo.llm.toxicity import drop_toxic
@@ -29,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"), by_window=True)
+    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix_sources(docs)
+    return mixture(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -52,17 +51,27 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL: str | None = None
 
 
-def _written(spark: SparkSession, docs: DataFrame, stage: str) -> DataFrame:
-    """docs as a table in the shared folder of the session; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tributo-pipeline-")
-    path = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}-{stage}"
+def _written(spark: SparkSession, docs: DataFrame, stage: str) -> tuple[DataFrame, str]:
+    """docs as a table in the shared folder of the session, and its path."""
+    path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}-{stage}"
     docs.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows: doc_id, source, n_tokens, weight, copies of every document that is left."""
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows: doc_id, source, text, n_tokens, weight, draw, place of each time a document is drawn.
+
+    A stage's table is deleted once the next one is written; the last one stays, as the result reads it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = _written(spark, stage(spark, docs, sf_dir), name)
+        docs, path = _written(spark, stage(spark, docs, sf_dir), name)
+        if before:
+            _delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
