@@ -120,6 +120,19 @@ def drawn(weights: dict, budget: float) -> dict:
     return {s: w * budget for s, w in weights.items()}
 
 
+def convolved(words_: list[list[int]], embedding, taps, bias, out, shift) -> float:
+    """Score of a text by convolution word by word; words_ are the buckets of each word."""
+    pad = max(map(len, taps)) - 1
+    padded = [[0]] * pad + words_ + [[0]] * pad
+    total, column = shift, 0
+    for tap in taps:
+        for f in range(tap.shape[2]):
+            best = max(sum(sum(float(embedding[b] @ tap[i][:, f]) for b in padded[at + i]) for i in range(len(tap))) for at in range(len(padded) - len(tap) + 1))
+            total += max(0.0, best + bias[column]) * out[column]
+            column += 1
+    return 1 / (1 + math.exp(-total))
+
+
 UNIT_WORDS = set("kg g mg km m cm mm l ml s h min hour hours minute minutes second seconds day days week weeks month months year years mile miles foot feet inch inches pound pounds dollar dollars euro euros cent cents percent degree degrees watt watts volt volts".split())
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import string
 
@@ -113,12 +114,35 @@ def test_toxicity_edges(spark):
 
 
 def test_pooling_in_parts(prose):
-    net = toxicity.train([], np.zeros(0))
+    net, _ = toxicity.train([], np.zeros(0))
     scorer = toxicity.Scorer(net)
     both, _ = toxicity.buckets(pa.array([prose(300)]))
     assert np.allclose(scorer.pool(both, most=17), scorer.pool(both))
 
 
+def test_convolution_equals_a_plain_one(prose):
+    texts_ = [prose(n) for n in (1, 2, 3, 40, 200)] + ["", "ß 漢字 " * 3]
+    rng = np.random.default_rng(2)
+    net, _ = toxicity.train([], np.zeros(0))
+    net.embedding[1:] = rng.normal(0, 1, (toxicity.BUCKETS - 1, toxicity.DIM))
+    both, at = toxicity.buckets(pa.array(texts_))
+    want = [brute.convolved(both[a:b].tolist(), net.embedding, net.taps, net.bias, net.out, net.shift) for a, b in zip(at, at[1:], strict=False)]
+    assert toxicity.Scorer(net).score(pa.array(texts_)) == pytest.approx(want, rel=1e-4)
+
+
+@pytest.mark.parametrize("size, auc, recall", [("sf0.01", 0.9, 0.75), ("sf0.1", 0.95, 0.9)])
+def test_toxicity_on_rows_held_out(spark, size, auc, recall):
+    folder = f"/root/testdata/{size}"
+    if not os.path.exists(folder):
+        pytest.skip("driver tables are not here")
+    labels_ = spark.read.parquet(f"{folder}/labels.parquet")
+    marks = {r.doc_id: r.toxic for r in labels_.collect()}
+    got = [(r.score, r.predicted, marks[r.doc_id]) for r in toxicity.toxicity_scores(spark.read.parquet(f"{folder}/documents.parquet"), labels_).where("held_out").collect() if marks.get(r.doc_id) is not None]
+    yes, no = [s for s, _, y in got if y], [s for s, _, y in got if not y]
+    assert np.mean([[(a > b) + (a == b) / 2 for b in no] for a in yes]) >= auc
+    assert np.mean([p for _, p, y in got if y]) >= recall and np.mean([p for _, p, y in got if not y]) < 0.03
+
+
 def test_thresholds_by_language():
     score, y = np.array([0.2] * 30 + [0.5] * 30), np.array([0] * 30 + [1] * 30)
     assert toxicity.calibrate(score, y, ["de"] * 60, 0.7) == {"de": pytest.approx(0.5)}
