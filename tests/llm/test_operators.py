@@ -442,6 +442,16 @@ def test_token_counts_equal_the_library(spark, prose):
     assert bpe_count.token_counts(none(spark), queries.vocabulary()).count() == 0
 
 
+def test_every_code_point_is_counted_as_by_the_library():
+    counter = bpe_count.Counter(open(queries.vocabulary(), encoding="utf-8").read())
+    every = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(every), 50_000):
+        texts = [f"a{chr(c)}b" for c in every[at : at + 50_000]]
+        assert [counter.count(t) for t in texts] == _library("word_bpe_49k.json", texts)
+    odd = "".join(map(chr, bpe_count.NO_LETTERS)) + "\ua7cb. \ua7dc\ue000!"
+    assert counter.count(odd) == _library("word_bpe_49k.json", [odd])[0]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="abc", min_size=1, max_size=12), st.permutations(["ab", "bc", "ca", "aa", "abc", "bca", "aab"]))
 def test_merging_is_lowest_rank_first(word, order):

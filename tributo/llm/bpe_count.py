@@ -7,6 +7,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,11 @@ from .common import map_arrow, texts
 #: Words whose counts a worker remembers before it starts over.
 CACHE_WORDS = 400_000
 
+# Code points that the library's tables take otherwise than Python's and regex's do. Letters of a later
+# Unicode version with their lower case, and unassigned points that aren't letters.
+LATER_LOWER = {0xA7CB: 0x0264, 0xA7DC: 0x019B}
+NO_LETTERS = (0x32808, 0x3285C, 0x32988, 0x3D808, 0x3D85C, 0x3D988, 0x3E808, 0x3E85C, 0x3E988, 0x3F808, 0x3F85C, 0x3F988)
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, the others from U+0100 on."""
@@ -70,17 +76,26 @@ class Counter:
         self.vocab = model["vocab"]
         self.letters = byte_letters()
         self.special = [t["content"] for t in loaded["added_tokens"] if t["special"]]
-        self.words = regex.compile(loaded["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        normal = loaded["normalizer"]
+        if [n["type"] for n in normal.get("normalizers", [normal])] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("texts are normalised by NFC, white space and lower case; the file asks for something else")
+        split = [p for p in loaded["pre_tokenizer"].get("pretokenizers", [loaded["pre_tokenizer"]]) if p["type"] == "Split"]
+        if len(split) != 1:
+            raise ValueError("one pattern that splits texts into words is needed")
+        self.words = regex.compile(split[0]["pattern"]["Regex"])
+        self.odd = regex.compile("[" + "".join(map(chr, (*LATER_LOWER, *NO_LETTERS))) + "]")
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.space = regex.compile(loaded["normalizer"]["normalizers"][1]["pattern"]["Regex"])
         self.known: dict[str, int] = {}
 
+    def merged(self, word: str) -> int:
+        symbols = [self.letters[b] for b in word.encode()]
+        symbols[-1] += self.suffix
+        return count_merged([s for s in symbols if s in self.vocab], self.ranks)
+
     def word(self, word: str) -> int:
         found = self.known.get(word)
         if found is None:
-            symbols = [self.letters[b] for b in word.encode()]
-            symbols[-1] += self.suffix
-            found = count_merged([s for s in symbols if s in self.vocab], self.ranks)
+            found = self.merged(word)
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[word] = found
@@ -91,6 +106,12 @@ class Counter:
             text = unicodedata.normalize("NFC", text)
         # Character by character, as the library lower-cases; a whole string would turn a final sigma.
         text = text.lower() if text.isascii() or "Σ" not in text else "".join(c.lower() for c in text)
+        if not text.isascii() and self.odd.search(text):
+            # What isn't a letter is split as private characters are that the text doesn't have, then put back.
+            text = text.translate(LATER_LOWER)
+            spare = list(islice((c for c in chain(range(0xE000, 0xF900), range(0xF0000, 0xFFFFE)) if chr(c) not in text), len(NO_LETTERS)))
+            back = dict(zip(spare, NO_LETTERS, strict=True))
+            return sum(self.merged(w.translate(back)) for w in self.words.findall(text.translate(dict(zip(NO_LETTERS, spare, strict=True)))))
         known, total = self.known, 0
         for w in self.words.findall(text):
             n = known.get(w)
@@ -113,7 +134,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
     """doc_id, n_bytes, n_tokens, over_limit for every whole text; one row for each row of docs.
 
     vocabulary is the path of the vocabulary file on the driver; its content, of fixed size, goes to the executors.
-    A null or empty text has 0 bytes and tokens. Repeated rows are counted each, a null doc_id stays null.
+    A null or empty text has 0 bytes and tokens. Repeated rows are counted each, a null doc_id stays null, other columns
+    are left out; a very long text is counted word by word, whole.
     """
     with open(vocabulary, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())

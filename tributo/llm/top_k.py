@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import cut, map_arrow
 
 #: Queries broadcast at once: 64 dimensions of 8 bytes each, 16 MB at most, whatever the input.
 QUERY_BLOCK = 32_768
-#: Vectors whose scores give each query its first lower bound.
+#: Vectors, broadcast once, whose scores give each query its first lower bound.
 INCUMBENTS = 2_048
 #: Dimensions added up between two rounds of pruning.
 DIM_BLOCK = 16
@@ -94,28 +94,43 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
     own candidate. Rows with a null id or vector take no part, of repeated query ids one row is answered, and a shorter
     vector counts as filled with zeros. Fewer than k candidates: all of them. Empty inputs give an empty result.
 
-    Queries go out in blocks of bounded size, one pass over the vectors for each; a pass adds up dimensions block by
-    block in vertical layout and drops a candidate as soon as the mass left in the other dimensions can't lift it to
-    the k-th score known so far. The first such scores come from a few vectors, a sound lower bound.
+    Queries go out in blocks of bounded size, one pass over the vectors for each, and a pass's result is written before
+    the next begins, so the driver and the tasks hold one block at a time however many there are. A pass adds up
+    dimensions block by block in vertical layout and drops a candidate as soon as the mass left in the other dimensions
+    can't lift it to the k-th score known so far. The first such scores come from a few vectors, a sound lower bound
+    that tasks find for their share of the queries.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id is not null and v is not null")
     queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "v").where("vec_id is not null and v is not null")
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     total, dims = queries.agg(F.count("*"), F.max(F.size("v"))).first()
-    dims = max(dims or 1, vectors.agg(F.max(F.size("v"))).first()[0] or 1)
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims = max(dims, vectors.agg(F.max(F.size("v"))).first()[0] or 1, 1)
     blocks = -(-total // block)
-    first = vectors.limit(INCUMBENTS).collect() if total else []
+    some = vectors.limit(INCUMBENTS).collect()
+    incumbents = spark.sparkContext.broadcast((np.array([r.vec_id for r in some], np.int64), _matrix(pa.array([r.v for r in some], pa.list_(pa.int64())), dims)))
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = incumbents.value
+        for batch in batches:
+            known = Search(np.asarray(batch.column("vec_id")), _matrix(batch.column("v"), dims), k)
+            if len(ids):
+                known.add(ids, rows)
+            yield batch.append_column("floor", pa.array(known.floor))
+
+    bounded = cut(map_arrow(queries, bound, "vec_id long, v array<long>, floor double"))
+    # A task gives k rows a query at most, so a query's window is small.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = None
     for b in range(blocks):
-        mine = {r.vec_id: r.v for r in sorted(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect(), reverse=True)}
-        ids = np.array(list(mine), dtype=np.int64)
-        q = _matrix(pa.array(list(mine.values()), pa.list_(pa.int64())), dims)
-        known = Search(ids, q, k)
-        if first:
-            known.add(np.array([r.vec_id for r in first]), _matrix(pa.array([r.v for r in first], pa.list_(pa.int64())), dims))
-        sent = spark.sparkContext.broadcast((ids, q, known.floor))
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, dims=dims, k=k) -> Iterator[pa.RecordBatch]:
+        mine = bounded.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        ids = np.asarray(mine["vec_id"])
+        v = mine["v"].chunk(0) if len(ids) else pa.array([], pa.list_(pa.int64()))
+        sent = spark.sparkContext.broadcast((ids, _matrix(v, dims), np.asarray(mine["floor"])))
+
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q, floor = sent.value
             search = Search(ids, q, k, floor)
             held: list[pa.RecordBatch] = []
@@ -136,13 +151,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
                 if len(found):
                     yield pa.record_batch({"query_id": np.full(len(found), ids[j]), "vec_id": found, "score": score.astype(np.int64)})
 
-        part = map_arrow(vectors, scan, "query_id long, vec_id long, score long")
+        found = map_arrow(vectors, scan, "query_id long, vec_id long, score long")
+        part = cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        # Written, so the block's queries are needed no more.
+        sent.destroy()
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, vec_id long, score long")
-    # A task gives k rows a query at most, so a query's window is small.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out
 
 
 def embeddings_top_k(embeddings: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20) -> DataFrame:
