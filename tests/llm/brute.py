@@ -74,6 +74,22 @@ def base_scores(rows: list[tuple[int, str | None]], folds: int, held: int) -> di
     return {d: (len(ts), sum(count[t] > 0 for t in ts), total, sum(math.log10((count[t] + 0.5) / (total + 0.5 * (kinds + 1))) for t in ts)) for d, ts in tokens.items()}
 
 
+def marginal(x: str | None, pieces: list[tuple[bytes, float]]) -> float:
+    """log10 of the sum over all segmentations of each word, with a blank in front, and of the end; merge ranks as Zipf weights."""
+    weight = {p: 1 / (10 - s) for p, s in pieces}
+    end = sum(weight.values()) / len(weight)
+    total = sum(weight.values()) + end
+    longest = max(map(len, weight))
+
+    def of(word: bytes) -> float:
+        at = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            at[j] = sum(at[i] * weight.get(word[i:j], 0.0) / total for i in range(max(0, j - longest), j))
+        return at[-1]
+
+    return sum(math.log10(of(b" " + w.encode())) for w in words(x)) + math.log10(end / total)
+
+
 def base_secrets(text: str) -> list[tuple[int, str, int]]:
     out = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):

@@ -379,7 +379,7 @@ def test_components(spark):
 
 
 def test_base_score_and_folds(spark, prose):
-    rows = [(i, prose(20)) for i in range(60)] + ODD[:5] + ODD[6:]
+    rows = [(i, prose(20)) for i in range(60)] + [r for r in ODD if r[0] is None or r[0] > 5]
     rows = list({d: (d, x) for d, x in rows}.values())
     want = brute.base_scores(rows, 5, 1)
     for r in lm_score.lm_scores(docs(spark, rows), queries.vocabulary("piece_bpe_32k.model"), hot_words=20).collect():
@@ -403,6 +403,13 @@ def test_lattice_sums_all_segmentations():
     assert sum(len(piece) * used[i] for i, (piece, _) in enumerate(pieces)) == pytest.approx(2 * 4 + 2)
 
 
+def test_score_is_the_sum_over_all_segmentations(spark):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    rows = [(i, t) for i, t in enumerate(["The cat sat", "", None, "a b\tA", "naïve 漢字!", "zebra zebra zebra sat", "\x01 \x7f"])]
+    got = {r.doc_id: r.score for r in lm_score.lm_scores(docs(spark, rows), path, rounds=0, hot_words=2).collect()}
+    assert got == {d: pytest.approx(brute.marginal(t, lm_score.read_pieces(path)), rel=1e-9) for d, t in rows}
+
+
 def test_training_helps(spark, prose):
     """What was learned from one half describes the other better than the untrained vocabulary."""
     rows = docs(spark, [(i, prose(40)) for i in range(200)])

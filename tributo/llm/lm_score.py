@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, gathered, map_arrow
+from .common import cut, fold, gathered, map_arrow, release
 from .tokens import SPACED, mix, pieces, powers, words
 
-#: Most frequent words whose statistics are broadcast, 24 bytes each; all others are joined.
+#: Most frequent words whose statistics are broadcast, 32 bytes each; all others are joined.
 HOT_WORDS = 200_000
 #: Rounds of expectation maximisation over the training words, from the weights that the vocabulary file gives.
 ROUNDS = 2
-#: Weight of the vocabulary's own scores against the corpus, in tokens.
-PRIOR = 1_000.0
+#: Share that the vocabulary's own scores keep in the weights of the pieces, whatever the size of the corpus.
+VOCABULARY = 0.1
 #: Words of one length taken together, and words of any length sorted by it at once.
 ROWS = 4_096
 AT_ONCE = 32_768
@@ -54,9 +54,10 @@ class Lattice:
         out[self.hashes % np.uint64(_FILTER)] = True
         return out
 
-    def retrained(self, counts: np.ndarray) -> Lattice:
-        total = np.exp(self.log_p) * PRIOR + counts
-        return Lattice(self.hashes, self.order, self.longest, np.log(total / total.sum()))
+    def retrained(self, own: np.ndarray, counts: np.ndarray) -> Lattice:
+        """own: log probabilities from the vocabulary's scores, which keep their share."""
+        used = counts / counts.sum() if counts.sum() else np.exp(own)
+        return Lattice(self.hashes, self.order, self.longest, np.log(VOCABULARY * np.exp(own) + (1 - VOCABULARY) * used))
 
 
 class Recursion:
@@ -169,14 +170,19 @@ def _looked_up(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1, rounds: int = ROUNDS, hot_words: int = HOT_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each row of docs.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, hybrid_score; one row for each row of docs.
 
     base_score is a smoothed unigram's log10 probability over words (A-Z in lower case, between ASCII white space) and one
-    end a text; score is the lattice model's: a word's probability is summed over all segmentations into pieces of the
-    vocabulary, with their weights from its scores, re-estimated on the training words; a training word as a whole is one
-    more arc of its lattice. Any byte is a piece, so every text
-    has a finite score. Null and empty texts are one end. Without training rows c and N are 0 and base_score is as the
-    formula gives, with V = 1 for the end. Repeated rows are scored each.
+    end a text; score is the lattice's: the marginal probability of the text's words and its end, summed over all
+    segmentations into pieces of the vocabulary, whose weights come from its scores and, by expectation maximisation, from
+    the training words. hybrid_score gives each training word one more arc, itself as a whole, with its share of the
+    corpus (Good-Turing leaves the share of words met once to the pieces). Any byte is a piece, so every text has a finite
+    score. Null and empty texts are one end. Without training rows c and N are 0 and base_score is as the formula gives,
+    with V = 1 for the end. Repeated rows are scored each; other columns are left out; a very long text is read in parts
+    that end between words, and a very long word is one row of the lattice.
+
+    Words are told apart by 64 bits of hash: of a thousand million different ones two share their counts with a chance
+    of about 3 in 100.
 
     Words are counted, and run through the lattice, once each in a table that grows with the corpus. The statistics of the
     most frequent are broadcast; documents' other words are joined with the table, so no word is too frequent for a join.
@@ -195,6 +201,7 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
     # the rest to arcs that span a training word as a whole.
     pieces_share = min(1.0, max(once, 1) / max(total, 1))
     lattice = Lattice.load(read_pieces(piece_file))
+    own_scores = lattice.log_p
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(lattice)
 
@@ -210,31 +217,32 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
         counts = np.zeros(len(lattice.log_p))
         counts[got["piece"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
         counts[-1] = ends
-        lattice = lattice.retrained(counts)
+        lattice = lattice.retrained(own_scores, counts)
+        sent.destroy()
     sent = spark.sparkContext.broadcast(lattice)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recursion = Recursion(sent.value)
         for batch in gathered(batches, AT_ONCE):
             log_p = recursion.log_marginals(batch.column("w").to_pylist())
-            log_p = np.log(pieces_share) + log_p
             seen = np.asarray(batch.column("c"), np.float64)
             known = seen > 0
-            log_p[known] = np.logaddexp(log_p[known], np.log1p(-min(pieces_share, 1 - 1e-12)) + np.log(seen[known] / total))
-            log_p /= _LN10
-            yield pa.record_batch({"h": batch.column("h"), "c": batch.column("c"), "t": batch.column("t"), "log_p": log_p})
+            hybrid = np.log(pieces_share) + log_p
+            hybrid[known] = np.logaddexp(hybrid[known], np.log1p(-min(pieces_share, 1 - 1e-12)) + np.log(seen[known] / total))
+            yield pa.record_batch({"h": batch.column("h"), "c": batch.column("c"), "t": batch.column("t"), "log_p": log_p / _LN10, "hybrid": hybrid / _LN10})
 
-    weighed = cut(map_arrow(table, weigh, "h long, c long, t long, log_p double"))
+    weighed = cut(map_arrow(table, weigh, "h long, c long, t long, log_p double, hybrid double"))
+    release(spark)
     # The words from the lowest frequency band on at which there are hot_words at most: a row a band comes back to find
     # it, then only these words; a sort with a limit would send so many from every task.
     band = F.floor(F.log2("t") * 8).cast("int")
     bands = weighed.groupBy(band.alias("band")).agg(F.count("*").alias("n")).toPandas().sort_values("band", ascending=False)
     fits = bands["band"][bands["n"].cumsum() <= hot_words]
     top = weighed.where(band >= int(fits.min()) if len(fits) else F.lit(False)).toPandas().sort_values("h", kind="stable")
-    hot = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["log_p"].to_numpy(np.float64)))
+    hot = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64), top["log_p"].to_numpy(np.float64), top["hybrid"].to_numpy(np.float64)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h_hot, c_hot, p_hot = hot.value
+        h_hot, c_hot, p_hot, y_hot = hot.value
         for whole in batches:
             for batch in pieces(whole):
                 found, _, offsets = words(batch.column("text"), SPACED)
@@ -242,26 +250,38 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
                 at = _looked_up(found.hash.view(np.int64), h_hot)
                 is_hot = at >= 0
                 row, hit = found.row[is_hot], at[is_hot]
-                away = ~is_hot
-                spans = np.concatenate([[0], np.cumsum(np.bincount(found.row[away], minlength=rows))]).astype(np.int32)
+                # The others once a text, with their number.
+                away = np.flatnonzero(~is_hot)
+                sort = np.lexsort((found.hash[away], found.row[away]))
+                r, h = found.row[away][sort], found.hash.view(np.int64)[away][sort]
+                first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])) if len(r) else np.zeros(0, np.int64)
+                spans = np.concatenate([[0], np.cumsum(np.bincount(r[first], minlength=rows))]).astype(np.int32)
+                others = pa.StructArray.from_arrays([pa.array(h[first]), pa.array(np.diff(np.append(first, len(r))))], ["h", "m"])
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id"),
                         "n": np.bincount(found.row, minlength=rows).astype(np.int64),
                         "known": np.bincount(row, c_hot[hit] > 0, rows).astype(np.int64),
-                        "base": np.bincount(row, np.log10(c_hot[hit] + 0.5), rows),
-                        "log_p": np.bincount(row, p_hot[hit], rows),
-                        "others": pa.ListArray.from_arrays(pa.array(spans), pa.array(found.hash.view(np.int64)[away])),
+                        "base": np.bincount(row, np.log10(c_hot[hit] + 0.5), rows).astype(float),
+                        "log_p": np.bincount(row, p_hot[hit], rows).astype(float),
+                        "hybrid": np.bincount(row, y_hot[hit], rows).astype(float),
+                        "others": pa.ListArray.from_arrays(pa.array(spans), others),
                     }
                 )
 
     # The row number is settled by the checkpoint.
-    looked = cut(map_arrow(own.select("doc_id", "text"), look, "doc_id long, n long, known long, base double, log_p double, others array<long>").withColumn("row", F.monotonically_increasing_id()))
-    rare = looked.select("row", F.explode("others").alias("h")).join(weighed.select("h", "c", F.col("log_p").alias("p")), "h")
-    sums = rare.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("known_r"), F.sum(F.log10(F.col("c") + 0.5)).alias("base_r"), F.sum("p").alias("log_p_r"))
+    looked = cut(map_arrow(own.select("doc_id", "text"), look, "doc_id long, n long, known long, base double, log_p double, hybrid double, others array<struct<h:bigint,m:bigint>>").withColumn("row", F.monotonically_increasing_id()))
+    rare = looked.select("row", F.explode("others").alias("o")).select("row", "o.h", "o.m").join(weighed.select("h", "c", F.col("log_p").alias("p"), F.col("hybrid").alias("y")), "h")
+    sums = rare.groupBy("row").agg(
+        F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known_r"),
+        F.sum(F.col("m") * F.log10(F.col("c") + 0.5)).alias("base_r"),
+        F.sum(F.col("m") * F.col("p")).alias("log_p_r"),
+        F.sum(F.col("m") * F.col("y")).alias("hybrid_r"),
+    )
     each = looked.drop("others").join(sums, "row", "left")
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     end = float(np.log10(pieces_share * np.exp(lattice.log_p[-1]) + (1 - pieces_share) * ends / max(total, 1)))
+    plain_end = float(lattice.log_p[-1] / _LN10)
     per = float(np.log10(total + 0.5 * (kinds + 1)))
     return each.select(
         "doc_id",
@@ -270,5 +290,6 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
         (add("known", "known_r") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (add("base", "base_r") + float(np.log10(ends + 0.5)) - (F.col("n") + 1) * per).alias("base_score"),
-        (add("log_p", "log_p_r") + end).alias("score"),
+        (add("log_p", "log_p_r") + plain_end).alias("score"),
+        (add("hybrid", "hybrid_r") + end).alias("hybrid_score"),
     )
