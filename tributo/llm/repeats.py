@@ -220,12 +220,8 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     if not GRAM < length < 1 << 10:
         raise ValueError(f"length must be from {GRAM + 1} to 1023")
     keyed_docs = keyed(docs)
-    stored = cut(map_arrow(keyed_docs.select("key", "text"), _occurrences(length), "key long, found array<struct<h:bigint,seg:bigint,place:bigint>>"))
-    seen = stored.select("key", F.explode("found").alias("o")).select("o.h", "o.seg", "key", "o.place")
-    again = cut(seen.groupBy("h").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1").select("h", (F.col("low") == F.col("high")).alias("alike")))
-    release(docs.sparkSession)
-    # Both sides are shuffled for this join alone, so a hot anchor's partition can be split.
-    met = cut(seen.join(again, "h"))
+    met = _met(keyed_docs, length)
+    # What only led there is out of scope, so its shuffles and its stored rows can go.
     release(docs.sparkSession)
     pos, before, after = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(1023), F.col("place").bitwiseAND(1023)
     whole = lambda df: df.select("key", (pos - before).alias("start"), (pos + after).alias("stop"))
@@ -244,9 +240,22 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
         calm, equal = _split(found.where("hot"), left, length)
         found, spans = found.where("not hot").unionByName(calm), spans.unionByName(equal)
     by_group = found.drop("hot").repartition("g").sortWithinPartitions("g")
-    out = cut(spans.unionByName(map_arrow(by_group, _merged(length), "key long, start long, stop long")))
-    release(docs.sparkSession)
-    return out
+    return cut(spans.unionByName(map_arrow(by_group, _merged(length), "key long, start long, stop long")))
+
+
+def _met(keyed_docs: DataFrame, length: int) -> DataFrame:
+    """h, seg, key, place, alike of the occurrences of anchors that occur more than once."""
+    stored = cut(map_arrow(keyed_docs.select("key", "text"), _occurrences(length), "key long, found array<struct<h:bigint,seg:bigint,place:bigint>>"))
+    seen = stored.select("key", F.explode("found").alias("o")).select("o.h", "o.seg", "key", "o.place")
+    again = cut(_repeated(seen))
+    release(keyed_docs.sparkSession)
+    # Both sides are shuffled for this join alone, so a hot anchor's partition can be split.
+    return cut(seen.join(again, "h"))
+
+
+def _repeated(seen: DataFrame) -> DataFrame:
+    counts = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high"))
+    return counts.where("n > 1").select("h", (F.col("low") == F.col("high")).alias("alike"))
 
 
 _FOUND = "g long, key long, pos long, before long, after long, single boolean, hot boolean, bytes binary"
@@ -308,6 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     nothing; rows repeated as a whole lose all that is long enough; very long texts are treated whole, other columns are
     left out. Rows are named by 64 bits of hash of id and text.
     """
-    spans = repeated_spans(docs, length).groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs, length)
+    release(docs.sparkSession)
+    spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = keyed(docs).join(spans, "key", "left").select("doc_id", "text", "spans")
     return map_arrow(joined, _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
