@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +209,31 @@ def test_retrieval_and_trends(spark):
     got = {r.mes: r.variacao for r in trends.against_before(months, 1).collect()}
     assert got == {"2024-01": None, "2024-02": 1.0, "2024-04": None}
     assert trends.ewma(months, "emitente_nome").first().ewma == pytest.approx(0.7 * (0.7 * 1 + 0.3 * 2) + 0.3 * 4)
+
+
+def test_normalising_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, "01/02/2024"), (1, "2024-02-03"), (None, "x")], "id long, data_emissao string")
+    got = normalize.normalise(rows).orderBy("data_emissao").collect()
+    assert [(r.id, r.data_emissao, r.ajustes) for r in got] == [(None, None, ["data_emissao"]), (1, "2024-02-01", ["data_emissao"]), (1, "2024-02-03", [])]
+
+
+def test_quantiles_are_exact(spark):
+    rng = random.Random(4)
+    rows = [(g, rng.choice([None, rng.uniform(0, 9), float(rng.randint(0, 3))])) for g in "abc" for _ in range(rng.randint(1, 60))] + [("d", 5.0)]
+    got = trends.quantiles(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", {"p05": 0.05, "p50": 0.5, "p99": 0.99}).collect()
+    for r in got:
+        own = [x for g, x in rows if g == r.g and x is not None]
+        assert r.n == len(own) and [r.p05, r.p50, r.p99] == pytest.approx(list(np.quantile(own, [0.05, 0.5, 0.99])))
+
+
+def test_date_alone_meets_the_best_of_a_day(spark):
+    schema = "id long, tipo string, chave_acesso string, valor_total double, data_emissao string"
+    known = spark.createDataFrame([(i, "pdf" if i % 2 else "NFe", None, float(i), f"2024-01-0{i % 3 + 1}") for i in range(1, 9)], schema)
+    partial = spark.createDataFrame([(100, "pdf", None, None, "2024-01-01")], schema)
+    assert [tuple(r) for r in link.by_value_and_date(partial, known).collect()] == [(100, 4)]
+
+
+def test_only_some_problems_ask_for_another_extraction(spark):
+    row = lambda **gaps: {"id": 1, "tipo_inferido": "NFE", "emitente_cnpj": "1", "destinatario_cnpj": "2", "data_emissao": "2024-01-01", "numero_nota": "3"} | gaps
+    of = lambda **gaps: quality.coherence(spark.createDataFrame([row(**gaps)], "id long, tipo_inferido string, emitente_cnpj string, destinatario_cnpj string, data_emissao string, numero_nota string")).first().sugerir
+    assert [of(), of(emitente_cnpj=None), of(destinatario_cnpj=None), of(data_emissao=None), of(numero_nota=None)] == [False, False, False, True, True]

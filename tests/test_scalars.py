@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import json
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,7 +53,10 @@ def test_cosine_edges(value):
 
 def test_merge_and_success(value):
     merged = value(nested.json_merge(F.lit('{"a":1,"b":2}'), F.lit('{"b":3}')))
-    assert '"a":"1"' in merged and '"b":"3"' in merged
+    assert json.loads(merged) == {"a": 1, "b": 3}
+    deep = value(nested.json_merge(F.lit('{"a":{"x":1,"y":{"z":[1]}},"n":1}'), F.lit('{"a":{"y":{"w":null}},"n":{"q":"s"},"t":"\\"é"}')))
+    assert json.loads(deep) == {"a": {"x": 1, "y": {"z": [1], "w": None}}, "n": {"q": "s"}, "t": '"é'}
+    assert json.loads(value(nested.json_merge(F.lit("bad"), F.lit('{"b":3}')))) == {"b": 3} and json.loads(value(nested.json_merge(F.lit(None).cast("string"), F.lit("[1]")))) == {}
     seen = F.array(F.struct(F.lit(2).alias("at"), F.lit(0).alias("success")), F.struct(F.lit(1).alias("at"), F.lit(1).alias("success")))
     assert value(nested.moving_success(seen)) == pytest.approx(0.8)
 

@@ -20,10 +20,28 @@ def json_or_empty(c: Column) -> Column:
     return F.when(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), c).otherwise(F.lit("{}"))
 
 
-def json_merge(left: Column, right: Column) -> Column:
-    """One level of two JSON objects, the right one's values first; values keep their JSON text."""
-    as_map = lambda c: F.from_json(json_or_empty(c), "map<string,string>")
-    return F.to_json(F.map_concat(F.map_filter(as_map(left), lambda k, _: ~F.array_contains(F.map_keys(as_map(right)), k)), as_map(right)))
+def json_merge(left: Column, right: Column, depth: int = 4) -> Column:
+    """Two JSON objects as one, the right one's values first; objects under one key are merged in turn, down to depth.
+
+    Lists and other values are replaced whole; what isn't an object counts as an empty one.
+    """
+    own, other = (F.try_parse_json(json_or_empty(c)) for c in (left, right))
+    return F.to_json(_merged(own, other, depth))
+
+
+def _merged(own: Column, other: Column, depth: int) -> Column:
+    a, b = (v.cast("map<string,variant>") for v in (own, other))
+    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+    def value(k: Column) -> Column:
+        x, y = F.try_element_at(a, k), F.try_element_at(b, k)
+        plain = F.when(F.map_contains_key(b, k), y).otherwise(x)
+        if depth <= 1:
+            return plain
+        return F.when(is_object(x) & is_object(y), F.parse_json(F.to_json(_merged(x, y, depth - 1)))).otherwise(plain)
+
+    keys = F.array_union(F.map_keys(a), F.map_keys(b))
+    return F.map_from_arrays(keys, F.transform(keys, value))
 
 
 def first_json(c: Column) -> Column:

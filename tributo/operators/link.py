@@ -34,7 +34,7 @@ def by_value_and_date(partial: DataFrame, docs: DataFrame, *, value_band: float
 
     Values and days fall in buckets as wide as their band, so the band join is an equi-join on neighbouring buckets with
     the exact test after it, whatever the planner chooses. Records with both, with a value alone and with a date alone
-    are three joins.
+    are three joins. A date alone meets the best document of a day, not all of them.
     """
     width, value = F.lit(value_band).cast("decimal(18,4)"), lambda: F.col("valor_total").cast("decimal(18,2)")
     day = text.as_date(F.regexp_extract("data_emissao", r"^([^T]*)", 1))
@@ -47,7 +47,8 @@ def by_value_and_date(partial: DataFrame, docs: DataFrame, *, value_band: float
     both = left.where("_v is not null and _d is not null").withColumn("_b", F.explode(near_value)).withColumn("_x", F.explode(near_day))
     both = both.join(right.withColumns({"_b": rv, "_x": rd}), ["_b", "_x"]).where(in_value)
     alone = left.where("_v is not null and _d is null").withColumn("_b", F.explode(near_value)).join(right.withColumn("_b", rv), "_b").where(in_value)
-    dated = left.where("_v is null and _d is not null").withColumn("_x", F.explode(near_day)).join(right.withColumn("_x", rd), "_x")
+    best = right.where("_e is not null").groupBy(F.col("_e").alias("_x")).agg(F.min(F.struct((~xml_like(F.col("tipo"))).alias("_p"), "alvo_id", "tipo")).alias("_t")).select("_x", "_t.alvo_id", "_t.tipo")
+    dated = left.where("_v is null and _d is not null").withColumn("_x", F.explode(near_day)).join(best, "_x")
     columns = ["id", "alvo_id", "tipo"]
     return _first(both.select(columns).unionByName(alone.select(columns)).unionByName(dated.select(columns)), xml_like(F.col("tipo")))
 

@@ -64,9 +64,10 @@ def normalise(docs: DataFrame, *, drop_generic: bool = False) -> DataFrame:
     """docs with every known field in canonical form, invertido, tipo_inferido, contexto, and ajustes: the fields changed.
 
     A field that a table lacks is passed over. Parties are swapped back where names and ids say that they were mixed up.
+    Each row is judged by itself, so rows without an id and rows that share one stay as many as they are.
     """
-    before = docs
-    df = with_aliases(docs)
+    given = docs.columns
+    df = with_aliases(docs.withColumns({f"_b_{c}": F.col(c).cast("string") for c in given}))
     have = lambda names: [c for c in names if c in df.columns]
     steps: dict[str, Column] = {c: text.iso_date(F.col(c)) for c in have(DATES)}
     steps |= {c: _value(df, c) for c in have(VALUES)}
@@ -92,10 +93,9 @@ def normalise(docs: DataFrame, *, drop_generic: bool = False) -> DataFrame:
     df = df.withColumns({a(s): F.when(F.col("invertido"), F.col(b(s))).otherwise(F.col(a(s))) for s in pairs} | {b(s): F.when(F.col("invertido"), F.col(a(s))).otherwise(F.col(b(s))) for s in pairs})
     hints = [F.col(c) for c in ("natureza_operacao", "observacoes", "emitente_nome", "destinatario_nome") if c in df.columns]
     df = df.withColumn("tipo_inferido", fiscal.document_kind(F.col("modelo") if "modelo" in df.columns else F.lit(None).cast("string"), *hints))
-    changed = [c for c in steps if c in before.columns]
-    old = before.select("id", *[F.col(c).cast("string").alias(f"_b_{c}") for c in changed])
-    df = df.join(old, "id").withColumn("ajustes", F.array_compact(F.array(*[F.when(~F.col(c).cast("string").eqNullSafe(F.col(f"_b_{c}")), F.lit(c)) for c in changed])) if changed else F.array().cast("array<string>"))
-    df = df.drop(*[f"_b_{c}" for c in changed])
+    changed = [F.when(~F.col(c).cast("string").eqNullSafe(F.col(f"_b_{c}")), F.lit(c)) for c in steps if c in given]
+    df = df.withColumn("ajustes", F.array_compact(F.array(*changed)) if changed else F.array().cast("array<string>"))
+    df = df.drop(*[f"_b_{c}" for c in given])
     return df.drop(*GENERIC) if drop_generic else df
 
 

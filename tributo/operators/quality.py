@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .validate import crossing
 
 COMPLETENESS_LEAST, CRITICAL_LEAST, SANITY_LEAST, RISK_REVIEW = 0.65, 2, 0.75, 0.6
+#: Problems for which a document is worth extracting again, whatever its score.
+ASK_AGAIN = ("data_ausente", "numero_ausente")
 CRITICAL = ("emitente_cnpj", "valor_total", "data_emissao")
 
 
@@ -38,7 +40,7 @@ def coherence(docs: DataFrame, kind: str = "tipo_inferido") -> DataFrame:
     penalty = sum((F.when(t, cost).otherwise(0.0) for _, t, cost in tests), F.when(_given(docs, kind) == "DESCONHECIDO", 0.05).otherwise(0.0))
     issues = F.array_compact(F.array(*[F.when(t, F.lit(name)) for name, t, _ in tests]))
     out = docs.select("id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - penalty)), 6).alias("sanidade"), issues.alias("problemas"))
-    worrying = F.exists("problemas", lambda p: p.endswith("_ausente"))
+    worrying = F.exists("problemas", lambda p: p.isin(*ASK_AGAIN))
     return out.withColumn("sugerir", (F.col("sanidade") < 0.65) | worrying)
 
 
@@ -77,6 +79,27 @@ def duplicates(docs: DataFrame, *, causal: bool = False, cents: float = 0.01) ->
     return pairs.groupBy("id").agg(F.array_sort(F.collect_set("_other")).alias("duplicados"))
 
 
+def duplicate_classes(docs: DataFrame, *, cents: float = 0.01) -> DataFrame:
+    """id, classe, n: the class of each document with issuer and number, and how many documents it has.
+
+    A class is a run of one issuer's documents of one number and series in which each value is less than cents above the
+    one before; classe is its smallest id. It says in a row a document what duplicates lists in pairs, so a group of
+    many equal invoices costs no more than its rows.
+    """
+    value = F.coalesce(F.col("valor_total").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    keys = ["_issuer", "_number", "_series"]
+    own = docs.select("id", F.coalesce("emitente_cnpj", "emitente_cpf").alias("_issuer"), F.col("numero_nota").cast("string").alias("_number"), F.coalesce(F.col("serie").cast("string"), F.lit("")).alias("_series"), value.alias("_value"))
+    own = own.where(~text.missing(F.col("_issuer")) & ~text.missing(F.trim("_number")))
+    # Equal values are one row before they are put in order, so a hot group is small where it is sorted.
+    values = own.groupBy(*keys, "_value").agg(F.count("*").alias("_n"), F.min("id").alias("_least"))
+    order = Window.partitionBy(*keys).orderBy("_value")
+    starts = F.coalesce((F.col("_value") - F.lag("_value").over(order) >= F.lit(cents).cast("decimal(18,4)")).cast("int"), F.lit(1))
+    runs = values.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(order))
+    classes = runs.groupBy(*keys, "_run").agg(F.min("_least").alias("classe"), F.sum("_n").alias("n"))
+    named = runs.select(*keys, "_value", "_run").join(classes, [*keys, "_run"])
+    return own.join(named, [*keys, "_value"]).select("id", "classe", "n")
+
+
 def risk(docs: DataFrame, duplicate_ids: DataFrame, taxed: DataFrame, as_of: str) -> DataFrame:
     """id, risco, sinais. duplicate_ids: id; taxed: documento_id of documents with tax rows; as_of: today's date."""
     joined = docs.join(duplicate_ids.select("id", F.lit(True).alias("_dup")), "id", "left").join(taxed.select(F.col("documento_id").alias("id"), F.lit(True).alias("_tax")).distinct(), "id", "left")

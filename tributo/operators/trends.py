@@ -23,17 +23,37 @@ def zscores(rows: DataFrame, keys: list[str], value: str, limit: float = 3.0) ->
     return joined.withColumn("z", F.round(z, 6)).where(F.abs("z") > limit).drop("_mean", "_sd")
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """keys, n and the exact quantiles (between two values in proportion) under their names.
+
+    Equal values are counted first; a running sum of the counts over the values in order, which spills, finds the ranks,
+    and what is kept of a group is one number for each quantile: no group's values are held in memory.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
+    up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_up", up_to).join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
+    place = lambda p: F.lit(p) * (F.col("_n") - 1)
+    first = lambda rank: F.min(F.when(F.col("_up") > rank, F.col("_v")))
+    sides = [x for q, p in at.items() for x in (first(F.floor(place(p))).alias(f"_a_{q}"), first(F.ceil(place(p))).alias(f"_b_{q}"))]
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *sides)
+    between = lambda q, p: F.col(f"_a_{q}") + (F.col(f"_b_{q}") - F.col(f"_a_{q}")) * (place(p) - F.floor(place(p)))
+    return found.select(*keys, F.col("_n").alias("n"), *[between(q, p).alias(q) for q, p in at.items()])
+
+
 def quartile_outliers(rows: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
     """rows beyond reach interquartile ranges from their group's quartiles, with the two fences."""
     v = F.col(value).cast("double")
-    q = rows.groupBy(*keys).agg(F.percentile(v, F.lit(0.25)).alias("_a"), F.percentile(v, F.lit(0.75)).alias("_b"))
+    q = quantiles(rows, keys, value, {"_a": 0.25, "_b": 0.75})
     fences = q.select(*keys, F.round(F.col("_a") - reach * (F.col("_b") - F.col("_a")), 6).alias("abaixo"), F.round(F.col("_b") + reach * (F.col("_b") - F.col("_a")), 6).alias("acima"))
     return rows.join(fences, keys).where((v < F.col("abaixo")) | (v > F.col("acima")))
 
 
 def price_quantiles(items: DataFrame, key: str = "ncm") -> DataFrame:
-    v = F.col("valor_unitario").cast("double")
-    return items.groupBy(key).agg(F.count("*").alias("n"), *[F.round(F.percentile(v, F.lit(p)), 6).alias(n) for n, p in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+    """key, n (all items of it) and three quantiles of the unit price."""
+    of = quantiles(items, [key], "valor_unitario", {"p05": 0.05, "p50": 0.5, "p95": 0.95}).drop("n")
+    count = items.groupBy(key).agg(F.count("*").alias("n"))
+    return count.join(of, key, "left").select(key, "n", *[F.round(c, 6).alias(c) for c in ("p05", "p50", "p95")])
 
 
 def monthly(docs: DataFrame, key: str | None = None) -> DataFrame:

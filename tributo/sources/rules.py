@@ -12,42 +12,17 @@ TOLERANCE = 0.05
 TOLERANCE_SHARE = 0.25
 
 # Operation codes, tax situation codes, product classes.
-OPERATION_CODES = {
-    "5101": "Venda de produção do estabelecimento",
-    "5102": "Venda de mercadoria adquirida de terceiros",
-    "5405": "Venda de mercadoria adquirida de terceiros, ST",
-    "6101": "Venda de produção do estabelecimento - fora do estado",
-    "6108": "Venda de mercadoria adquirida de terceiros - fora do estado",
-}
-SITUATION_CODES = {
-    "00": "Tributada integralmente",
-    "10": "Tributada e com cobrança de ICMS por substituição tributária",
-    "20": "Com redução de base de cálculo",
-    "40": "Isenta",
-    "41": "Não tributada",
-    "60": "ICMS cobrado anteriormente por substituição tributária",
-    "90": "Outras operações",
-}
-SIMPLE_SITUATION_CODES = {
-    "101": "Tributada pelo Simples Nacional com permissão de crédito",
-    "102": "Tributada pelo Simples Nacional sem permissão de crédito",
-    "103": "Isenção do ICMS no Simples Nacional",
-    "201": "Com ST e permissão de crédito",
-    "202": "Com ST, sem permissão de crédito",
-    "900": "Outras operações",
-}
-PRODUCT_CLASSES = {
-    "27101932": "Óleos lubrificantes",
-    "30049099": "Medicamentos",
-    "22030000": "Cervejas de malte",
-    "87032310": "Automóveis de passageiros, motores 1000-1500cm³",
-    "84713019": "Computadores portáteis (notebooks)",
-}
+OPERATION_CODES = ("5101", "5102", "5405", "6101", "6108")
+SITUATION_CODES = ("00", "10", "20", "40", "41", "60", "90")
+SIMPLE_SITUATION_CODES = ("101", "102", "103", "201", "202", "900")
+PRODUCT_CLASSES = ("27101932", "30049099", "22030000", "87032310", "84713019")
 DEFAULT_RATES = {"PIS": 1.65, "COFINS": 7.60, "IPI": 5.00}
 
 
 def defaults() -> dict[str, dict[str, str]]:
-    return {"cfop": OPERATION_CODES, "cst_icms": SITUATION_CODES, "csosn_icms": SIMPLE_SITUATION_CODES, "ncm": PRODUCT_CLASSES, "uf": {u: u for u in REGIONS}}
+    """Codes by section, each with a description; the built-in ones have none, a user's file may."""
+    sections = {"cfop": OPERATION_CODES, "cst_icms": SITUATION_CODES, "csosn_icms": SIMPLE_SITUATION_CODES, "ncm": PRODUCT_CLASSES, "uf": REGIONS}
+    return {name: dict.fromkeys(codes, "") for name, codes in sections.items()}
 
 
 def load(path: str | None = None) -> dict[str, dict[str, str]]:
