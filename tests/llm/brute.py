@@ -136,6 +136,39 @@ def drawn(weights: dict, budget: float) -> dict:
     return {s: w * budget for s, w in weights.items()}
 
 
+def text_statistics(x: str) -> list[float]:
+    """The thirteen statistics, counted byte by byte."""
+    body, w, lines = x.encode(), x.lower().split(), [y for y in x.split("\n") if y.strip()]
+    upper = sum(65 <= b < 91 for b in body)
+    letters = sum(65 <= b < 91 or 97 <= b < 123 or b >= 128 for b in body)
+    digits = sum(48 <= b < 58 for b in body)
+    marks = sum(not (65 <= b < 91 or 97 <= b < 123 or b >= 128 or 48 <= b < 58 or b in b" \t\n\r\x0b\x0c" or b in b".,;:'\"-()?") for b in body)
+    n, k = max(1, len(body)), max(1, len(w))
+    log = lambda v: math.log(v + 1e-3)
+    top = max((w.count(u) for u in set(w)), default=0)
+    return [
+        math.log(1 + k), log(letters / k), log(upper / max(1, letters)), log(body.count(b"!") / k), log(marks / n), log(body.count(b"|") / k), log(len(set(w)) / k**0.8),
+        log(sum(a == b for a, b in zip(w, w[1:], strict=False)) / k), log(digits / n), log(1 - len(set(lines)) / len(lines) if lines else 0.0), log((body.count(b".") + body.count(b",")) / k), log(top / k),
+        math.log(1 + max((len(u) for u in w), default=0)),
+    ]
+
+
+def discriminant(x, y, row, shrinkage: float) -> float:
+    """Probability of class 1 from the densities of two normals, with the covariances inverted outright."""
+    import numpy as np
+
+    centre, scale, d = x.mean(0), x.std(0) + 1e-3, x.shape[1]
+    z, r, density = (x - centre) / scale, (row - centre) / scale, []
+    for c in (0, 1):
+        own = z[y == c]
+        cov = np.cov(own.T, bias=True)
+        s = min(1.0, shrinkage + d / (len(own) + 1))
+        cov = (1 - s) * cov + s * np.diag(0.5 * np.diag(cov) + 0.5)
+        away = r - own.mean(0)
+        density.append((len(own) + 1) / (len(z) + 2) * math.exp(-0.5 * away @ np.linalg.inv(cov) @ away) / math.sqrt(np.linalg.det(cov)))
+    return density[1] / sum(density)
+
+
 def convolved(words_: list[list[int]], embedding, taps, bias, out, shift) -> float:
     """Score of a text by convolution word by word; words_ are the buckets of each word."""
     pad = max(map(len, taps)) - 1

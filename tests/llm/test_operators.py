@@ -80,6 +80,16 @@ def test_quality(spark, prose):
     assert np.mean([got[i].predicted == int(i % 4 > 0) for i in held]) > 0.9
 
 
+def test_statistics_and_discriminant_equal_plain_ones(prose):
+    texts_ = [prose(50) + ". | x!! 12\nsame line\nsame line\n", "", " ", "ÉÉ ß 漢字 ok ok", "A" * 50, prose(9).upper()]
+    got = [quality.statistics(t) for t in texts_]
+    assert got == [pytest.approx(brute.text_statistics(t), abs=1e-9) for t in texts_]
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(0, 1, (80, len(quality.NAMES))), np.arange(80) % 3 // 2
+    model = quality.Discriminant.fit(x, y)
+    assert model.score(x[:9]) == pytest.approx([brute.discriminant(x, y, row, quality.SHRINKAGE) for row in x[:9]], rel=1e-6)
+
+
 def test_quality_edges(spark):
     assert quality.quality_scores(none(spark), labels(spark, [])).count() == 0
     got = quality.quality_scores(docs(spark, ODD + ODD[3:4]), labels(spark, [(1, 1, 0)])).collect()

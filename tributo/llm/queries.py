@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe_count import token_counts
-from .common import read
+from .common import prepared, read
 from .decontaminate import contamination
 from .lm_score import lm_scores
 from .mixing import mix_sources
@@ -69,11 +69,28 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_repeats, op5_secrets, op6_near_duplicates, op7_lm_score, op8_token_counts, op9_top_k, op10_mixing)}
+    run = lambda f: lambda spark, sf_dir: f(prepared(spark), sf_dir)
+    return {f.__name__: run(f) for f in (op1_quality, op2_decontaminate, op3_toxicity, op4_repeats, op5_secrets, op6_near_duplicates, op7_lm_score, op8_token_counts, op9_top_k, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return {
+        "op6_near_duplicates": f"""
+            WITH RECURSIVE w AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+            ), s AS (
+                SELECT doc_id, list_distinct(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w
+            ), e AS (SELECT doc_id, unnest(s) AS e FROM s), pair AS (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY 1, 2
+            ), link AS (
+                SELECT x, y FROM pair JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * c >= 80 * (len(a.s) + len(b.s) - c)
+            ), edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link), reach(d, r) AS (
+                SELECT doc_id, doc_id FROM s UNION SELECT edge.y, reach.r FROM reach JOIN edge ON edge.x = reach.d
+            )
+            SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+            FROM s JOIN (SELECT d, min(r) AS component_id FROM reach GROUP BY 1) m ON m.d = s.doc_id
+        """,
         "op9_top_k": """
             WITH whole AS (
                 SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
