@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tributo.llm.common import read, shared_folder
+from tributo.llm.common import prepared, read, shared_folder
 from tributo.llm.decontaminate import drop_contaminated
 from tributo.llm.mixing import mixture
 from tributo.llm.near_dedup import keep_one
@@ -20,18 +20,20 @@ from tributo.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs, read(spark, sf_dir, "labels"))
+    return drop_toxic(docs, read(prepared(spark), sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return keep_one(docs, k=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs, read(prepared(spark), sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return redact_documents(docs)
 
 
