@@ -150,7 +150,7 @@ def scope_items(spark, sf_dir):
 @query("SELECT tipo_imposto, count(*) AS n, CAST(sum(valor) AS DOUBLE) AS total FROM impostos WHERE documento_id IN (SELECT id FROM documentos WHERE emitente_uf = 'NATION_5') GROUP BY 1")
 def scope_taxes(spark, sf_dir):
     docs = filters.in_scope(canonical.documents(spark, sf_dir), "NATION_5")
-    return filters.taxes_in_scope(canonical.taxes(spark, sf_dir), canonical.items(spark, sf_dir), docs).groupBy("tipo_imposto").agg(F.count("*").alias("n"), aggregates.money(F.col("valor")).alias("total"))
+    return filters.taxes_in_scope(canonical.taxes(spark, sf_dir), canonical.item_values(spark, sf_dir), docs).groupBy("tipo_imposto").agg(F.count("*").alias("n"), aggregates.money(F.col("valor")).alias("total"))
 
 
 _DETAILS = "detalhes AS (SELECT event_id AS id, user_id AS documento_id, 'k' AS chave, json_extract_string(props, '$.k') AS valor, event_type AS origem, ts AS criado_em FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)"
@@ -196,14 +196,14 @@ def anti_existing(spark, sf_dir):
     FROM documentos JOIN s ON id = documento_id"""
 )
 def doc_totals_check(spark, sf_dir):
-    joined = canonical.documents(spark, sf_dir).join(aggregates.item_sums(canonical.items(spark, sf_dir)).withColumnRenamed("documento_id", "id"), "id")
+    joined = canonical.documents(spark, sf_dir).join(aggregates.item_sums(canonical.item_values(spark, sf_dir)).withColumnRenamed("documento_id", "id"), "id")
     near, within = validate.close(F.col("soma_itens"), F.col("valor_total"), F.col("valor_total"), tolerance=20000)
     return joined.select("id", "n_itens", F.col("soma_itens").cast("double").alias("soma_itens"), near.alias("perto"), within.alias("dentro"))
 
 
 @query("SELECT documento_id, count(*) AS n_impostos, CAST(sum(CASE WHEN tipo_imposto = 'ICMS' THEN valor ELSE 0 END) AS DOUBLE) AS soma_icms, CAST(sum(CASE WHEN tipo_imposto = 'IPI' THEN valor ELSE 0 END) AS DOUBLE) AS soma_ipi FROM impostos GROUP BY 1")
 def tax_totals(spark, sf_dir):
-    sums = aggregates.tax_sums(canonical.taxes(spark, sf_dir).drop("documento_id"), canonical.items(spark, sf_dir))
+    sums = aggregates.tax_sums(canonical.taxes(spark, sf_dir).drop("documento_id"), canonical.item_values(spark, sf_dir))
     return sums.select("documento_id", "n_impostos", F.col("soma_icms").cast("double").alias("soma_icms"), F.col("soma_ipi").cast("double").alias("soma_ipi"))
 
 
@@ -261,7 +261,7 @@ def duplicates_self(spark, sf_dir):
 )
 def risk_score(spark, sf_dir):
     docs = _copies(spark, sf_dir)
-    return quality.risk(docs, quality.duplicates(docs), canonical.items(spark, sf_dir), "1997-01-01").select("id", "risco")
+    return quality.risk(docs, quality.duplicates(docs), canonical.item_values(spark, sf_dir), "1997-01-01").select("id", "risco")
 
 
 @query(

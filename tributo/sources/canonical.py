@@ -47,6 +47,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, documento_id, valor_total of each item, for what needs no product: the lines alone, without a join."""
+    line = _read(spark, sf_dir, "lineitem").select(*_LINE)
+    return line.select(F.xxhash64(*_LINE).alias("id"), F.col("l_orderkey").alias("documento_id"), F.col("l_extendedprice").cast("decimal(18,2)").alias("valor_total"))
+
+
 def taxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tax rows a line: its tax as ICMS, its discount as IPI, values to the cent."""
     line = _read(spark, sf_dir, "lineitem").select(*_LINE)
