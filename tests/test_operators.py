@@ -148,7 +148,7 @@ def test_upserts_and_cascade(spark):
 def test_exports(spark, tmp_path):
     d, i, t = docs(spark, GOOD), items(spark, (1, 1, "5102", "", Decimal("1.00"))), taxes(spark, (1, 1, "ICMS", "00", None))
     sinks.export_package(d, i, t, str(tmp_path / "p"))
-    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["documento", "impostos", "itens", "meta"]
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["documento", "impostos", "itens", "meta", "origem"]
     sinks.export_csv(i, str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first().cfop == "5102"
     sinks.append(d, "documentos", str(tmp_path / "t"))
@@ -237,3 +237,45 @@ def test_only_some_problems_ask_for_another_extraction(spark):
     row = lambda **gaps: {"id": 1, "tipo_inferido": "NFE", "emitente_cnpj": "1", "destinatario_cnpj": "2", "data_emissao": "2024-01-01", "numero_nota": "3"} | gaps
     of = lambda **gaps: quality.coherence(spark.createDataFrame([row(**gaps)], "id long, tipo_inferido string, emitente_cnpj string, destinatario_cnpj string, data_emissao string, numero_nota string")).first().sugerir
     assert [of(), of(emitente_cnpj=None), of(destinatario_cnpj=None), of(data_emissao=None), of(numero_nota=None)] == [False, False, False, True, True]
+
+
+def test_coherence_of_written_values(spark):
+    rows = spark.createDataFrame([(1, "1.000,00", "R$ 990,00"), (2, "1.000,00", "100,00")], "id long, valor_total string, total_produtos string").withColumn("tipo_inferido", F.lit("NFE"))
+    assert {r.id: "total_inconsistente" in r.problemas for r in quality.coherence(rows).collect()} == {1: False, 2: True}
+
+
+def test_packages_by_bucket(spark, tmp_path):
+    rows = docs(spark, *[GOOD | {"id": n, "caminho_arquivo": f"/in/{n}.xml" if n % 2 else None} for n in range(1, 41)])
+    item_rows = items(spark, *[(n, n, "5102", "", Decimal("1.00")) for n in range(1, 41)])
+    sinks.export_package(rows, item_rows, taxes(spark, (1, 7, "ICMS", "00", None)), str(tmp_path / "p"), buckets=4)
+    assert {p.name for p in (tmp_path / "p" / "documento").iterdir() if p.is_dir()} == {f"pacote={n}" for n in range(4)}
+    read = spark.read.json(str(tmp_path / "p" / "origem"))
+    assert read.count() == 20 and read.where("documento_id = 7").first().caminho_arquivo == "/in/7.xml"
+    bucket = spark.range(7, 8).select(sinks.package_bucket(F.col("id"), 4).alias("b")).first().b
+    assert spark.read.option("header", True).csv(str(tmp_path / "p" / "impostos" / f"pacote={bucket}")).first().documento_id == "7"
+
+
+def test_analytic_families(spark):
+    days = [GOOD | {"id": n, "emitente_nome": "A", "data_emissao": f"2024-0{n}-01", "valor_total": Decimal(10 * n)} for n in (1, 2, 3)]
+    c = tables.Catalog({"documentos": docs(spark, *days), "itens": items(spark, (1, 1, "5102", "22030000", Decimal("1.00"))), "impostos": taxes(spark, *[(n, 1, "ICMS", "00", Decimal(1000 if n == 30 else 1)) for n in range(31)])})
+    assert [r.valor for r in ask.analyse(c, "há anomalia nos impostos?").frame.collect()] == [Decimal("1000.00")]
+    assert [r.desvio for r in ask.analyse(c, "variação por fornecedor").frame.orderBy("mes").collect()] == [None, 1.0, 1.0]
+    assert ask.analyse(c, "preço por classe").frame.first().n == 1
+    assert [r.variacao for r in ask.analyse(c, "tendência").frame.orderBy("mes").collect()] == [None, 1.0, 0.5]
+    assert ask.analyse(c, "top 5 emitentes").intent == "issuers"
+
+
+def test_rows_about_runs(spark):
+    rows = docs(spark, GOOD | {"status": "quarentena"}, GOOD | {"id": 2, "tipo": None, "status": None}).withColumns({"completude": F.lit(None).cast("double"), "tempo": F.lit(0.25)})
+    got = {r.id: r for r in metrics.events(rows).collect()}
+    assert (got[1].taxa_erro, got[1].acuracia_media, got[1].tempo_medio) == (1.0, 0.0, 0.25) and got[2].taxa_erro == 0.0
+    assert '"total_documentos":1' in got[2].meta_json and got[2].tipo_documento is None
+    kept = metrics.memory_rows(spark.createDataFrame([("q", "a")], "pergunta string, resposta_resumo string")).first()
+    assert (kept.pergunta, kept.duracao_s) == ("q", 0.0) and kept.criado_em
+    gone = validate.enrich(docs(spark, {"id": 1, "valor_total": None, "serie": "1"}), spark.createDataFrame([(1, "sem valor", "2")], "id long, valor_total string, serie string")).first()
+    assert (gone.valor_total, gone.serie) == (Decimal("0.00"), "1")
+
+
+def test_statistics_of_nothing(spark):
+    got = {r.coluna: r for r in tables.statistics(docs(spark, GOOD).where("id < 0").select("id", "tipo")).collect()}
+    assert set(got) == {"id", "tipo"} and got["id"].linhas == 0 and got["id"].minimo is None

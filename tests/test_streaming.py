@@ -19,6 +19,7 @@ def test_files_arrive_once(spark, tmp_path):
     kinds = sorted(r.tipo for r in spark.read.parquet(f"{target}/documentos").collect())
     assert kinds == ["CF-e", "NFe"]
     assert spark.read.parquet(f"{target}/itens").count() == 3
+    assert sorted(r.tipo_documento for r in spark.read.parquet(f"{target}/metricas").collect()) == ["CF-e", "NFe"]
 
 
 def test_windowed_metrics(spark, tmp_path):

@@ -73,3 +73,9 @@ def test_ingest(spark):
     assert out["documentos_detalhes"].where("chave = 'natureza_operacao'").first().valor == "Venda  de mercadoria"
     again = ingest.ingest(files, out["documentos"])
     assert again["documentos"].count() == 0
+    anew = ingest.reprocess(files, out["documentos"].where("tipo = 'CF-e'"))
+    assert [(r.nome_arquivo, r.origem, r.id) for r in anew["documentos"].collect()] == [("b.XML", "reprocessamento", docs["b.XML"].id)]
+    assert out["extracoes"].where("tempo_processamento is null").count() == 1 and {r.tipo_documento for r in out["metricas"].collect()} >= {"NFe", "CF-e", "pdf"}
+    runs = {r.doc_id: r for r in out["metricas_agente"].collect()}
+    assert runs[nfe.id].latency_s > 0 and runs[nfe.id].coverage > 0.5 and "4.00" in runs[nfe.id].extras
+    assert f"doc_id={nfe.id}|tipo=NFe|status=processando" in {r.detalhes for r in out["logs"].collect()}

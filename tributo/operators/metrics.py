@@ -5,18 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.schema import conform
+
 FIGURES = ("coverage", "precision", "recall", "confidence", "latency_s")
 DROP, COVERAGE_LEAST, SANITY_LEAST, MATCH_LEAST, OCR_LEAST, SLOWER = 0.10, 0.60, 0.80, 0.72, 0.70, 1.25
 
 
-def events(docs: DataFrame) -> DataFrame:
-    """One metric row a document: whether it went to review or failed."""
-    return docs.select(
-        F.col("tipo").alias("tipo_documento"), F.coalesce("completude", F.lit(0.0)).alias("acuracia_media"), (F.col("status") == "revisao_pendente").cast("double").alias("taxa_revisao"),
-        F.col("status").isin("erro", "quarentena").cast("double").alias("taxa_erro"), F.coalesce("tempo", F.lit(0.0)).alias("tempo_medio"), F.to_json(F.struct(F.col("status").alias("status_evento"))).alias("meta_json"),
+#: What the metric rows say of a kind of document, and the column that it is the mean of.
+MEANS = {"media_valor_total": "valor_total", "media_icms": "total_icms", "media_ipi": "total_ipi", "media_pis": "total_pis", "media_cofins": "total_cofins"}
+
+
+def kind_means(docs: DataFrame) -> DataFrame:
+    """tipo, total_documentos, the means of its documents' values, and each tax's mean in percent of the total's."""
+    money = lambda c: F.col(c).cast("decimal(18,2)")
+    means = {name: F.round(F.sum(money(c)).cast("double") / F.count(money(c)), 6) for name, c in MEANS.items()}
+    out = docs.groupBy("tipo").agg(F.count("*").alias("total_documentos"), *[v.alias(k) for k, v in means.items()])
+    base = F.col("media_valor_total")
+    shares = {f"taxa_{k.removeprefix('media_')}_media": F.when(base > 0, F.round(F.coalesce(k, F.lit(0.0)) / base * 100, 6)).otherwise(0.0) for k in MEANS if k != "media_valor_total"}
+    return out.withColumns(shares)
+
+
+def events(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """One metric row a document: whether it went to review or failed, and what its kind looks like in history.
+
+    docs: id, tipo, status, completude, tempo; history, docs itself where none is given: tipo and the columns of MEANS.
+    """
+    kinds = kind_means(docs if history is None else history)
+    body = F.struct(*[c for c in kinds.columns if c != "tipo"])
+    seen = docs.join(kinds.select(F.col("tipo").alias("_tipo"), body.alias("_k")), F.col("tipo").eqNullSafe(F.col("_tipo")), "left")
+    meta = F.to_json(F.struct("_k.*", F.col("status").alias("status_evento")))
+    return seen.select(
+        "id", F.col("tipo").alias("tipo_documento"), F.coalesce("completude", F.lit(0.0)).alias("acuracia_media"), F.coalesce(F.col("status") == "revisao_pendente", F.lit(False)).cast("double").alias("taxa_revisao"),
+        F.coalesce(F.col("status").isin("erro", "quarentena"), F.lit(False)).cast("double").alias("taxa_erro"), F.coalesce("tempo", F.lit(0.0)).alias("tempo_medio"), meta.alias("meta_json"),
     )
 
 
+def agent_runs(docs: DataFrame, agent: str, *, extras: list[str] | None = None) -> DataFrame:
+    """A row of metricas_agente for each document that an agent has gone through.
+
+    Figures come from the columns of docs that bear their names, null where there is none; the columns in extras are
+    kept as JSON.
+    """
+    more = F.to_json(F.struct(*extras)) if extras else F.lit("{}")
+    rows = docs.withColumns({"doc_id": F.col("id"), "agente": F.lit(agent), "tipo_documento": F.col("tipo"), "extras": more})
+    return conform(rows.withColumn("id", F.xxhash64("id", "agente")), "metricas_agente")
+
+
+def event_rows(rows: DataFrame, event: Column, details: list[str], user: str = "sistema") -> DataFrame:
+    """A row of logs for each row: something that happened (a retry, a failed step, an agent's run), details as JSON."""
+    told = rows.select(event.alias("evento"), F.lit(user).alias("usuario"), F.to_json(F.struct(*details)).alias("detalhes"))
+    return conform(told.withColumns({"id": F.xxhash64("evento", "detalhes"), "criado_em": F.current_timestamp()}), "logs")
+
+
+def memory_rows(answered: DataFrame) -> DataFrame:
+    """Rows of memoria for answered questions: pergunta, resposta_resumo and, if known, duracao_s."""
+    now = F.current_timestamp()
+    timed = answered if "duracao_s" in answered.columns else answered.withColumn("duracao_s", F.lit(0.0))
+    return conform(timed.withColumns({"id": F.xxhash64("pergunta", "resposta_resumo", now), "criado_em": now}), "memoria")
+
+
 def last_per_kind(metrics: DataFrame, n: int = 100, kind: str = "tipo_documento", order: str = "id") -> DataFrame:
     w = Window.partitionBy(kind).orderBy(F.desc(order))
     return metrics.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -21,9 +21,10 @@ def _given(df: DataFrame, c: str) -> Column:
 def coherence(docs: DataFrame, kind: str = "tipo_inferido") -> DataFrame:
     """id, sanidade, problemas, sugerir: how well a document's own fields agree.
 
-    The parts of the total may be a quarter off; each problem costs what its sort costs, an unknown kind a little.
+    Values may be numbers or written ones. The parts of the total may be a quarter off; each problem costs what its sort costs, an unknown kind a little.
     """
-    n = lambda c: _given(docs, c).try_cast("double")
+    written = {c for c, kind in docs.dtypes if kind == "string"}
+    n = lambda c: text.number_br(_given(docs, c)) if c in written else _given(docs, c).try_cast("double")
     plus = ("total_produtos", "total_servicos", "total_icms", "total_ipi", "total_pis", "total_cofins", "valor_iss", "valor_outros", "valor_frete")
     parts = sum((F.coalesce(n(c), F.lit(0.0)) for c in plus), F.lit(0.0)) - F.coalesce(n("valor_descontos"), F.lit(0.0))
     total = n("valor_total")
@@ -79,6 +80,11 @@ def duplicates(docs: DataFrame, *, causal: bool = False, cents: float = 0.01) ->
     return pairs.groupBy("id").agg(F.array_sort(F.collect_set("_other")).alias("duplicados"))
 
 
+def shown_duplicates(found: DataFrame, n: int = 3) -> DataFrame:
+    """id, mostrados, mais: the first n of each list that duplicates gives, and whether there are more."""
+    return found.select("id", F.slice("duplicados", 1, n).alias("mostrados"), (F.size("duplicados") > n).alias("mais"))
+
+
 def duplicate_classes(docs: DataFrame, *, cents: float = 0.01) -> DataFrame:
     """id, classe, n: the class of each document with issuer and number, and how many documents it has.
 

@@ -147,7 +147,20 @@ def validate(docs: DataFrame, items: DataFrame, taxes: DataFrame, dimension: Dat
     )
 
 
-def enrich(docs: DataFrame, found: DataFrame, fields: list[str]) -> DataFrame:
-    """docs with gaps in fields filled from found (id and some of the fields)."""
-    other = found.select("id", *[F.col(c).alias(f"_{c}") for c in fields])
-    return docs.join(other, "id", "left").withColumns({c: F.when(text.missing(F.col(c)), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}).drop(*[f"_{c}" for c in fields])
+# The fields that may be taken from elsewhere.
+ENRICHABLE = ("emitente_cnpj", "destinatario_cnpj", "emitente_cpf", "destinatario_cpf", "valor_total", "data_emissao", "chave_acesso", "numero_nota", "serie", "modelo", "uf")
+
+
+def enrich(docs: DataFrame, found: DataFrame, fields: tuple[str, ...] = ENRICHABLE) -> DataFrame:
+    """docs with gaps in fields filled from found: an id, once each, and some of the fields.
+
+    Ids of parties are reduced to their digits and totals to a number, 0 where none is written; a field that either side
+    lacks is passed over.
+    """
+    kinds = dict(docs.dtypes)
+    fields = [c for c in fields if c in kinds and c in found.columns]
+    given = {c: F.col(c) for c in fields}
+    clean = {c: text.digits(v) if c.endswith(("_cnpj", "_cpf")) else text.number_or_zero(v) if c == "valor_total" else v for c, v in given.items()}
+    other = found.select("id", *[F.when(~text.missing(given[c].cast("string")), v).try_cast(kinds[c]).alias(f"_{c}") for c, v in clean.items()])
+    gaps = {c: F.when(text.missing(F.col(c).cast("string")), F.col(f"_{c}")).otherwise(F.col(c)) for c in fields}
+    return docs.join(other, "id", "left").withColumns(gaps).drop(*[f"_{c}" for c in fields])

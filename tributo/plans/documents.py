@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import nested
-from ..operators import link, normalize, quality, validate
-from ..sources import ingest, rules, xml
+from ..operators import link, metrics, normalize, quality, validate
+from ..sources import ingest, rules, tables, xml
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -260,3 +260,92 @@ def duplicates_classes(spark, sf_dir):
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     docs = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("emitente_cnpj"), F.lit(None).cast("string").alias("emitente_cpf"), (F.col("o_orderkey") % 3).alias("numero_nota"), F.lit("1").alias("serie"), (F.floor(F.col("o_totalprice") / 20000) * 0.01).alias("valor_total"))
     return quality.duplicate_classes(docs, cents=0.02)
+
+
+@query("SELECT id, c AS emitente_cnpj, CAST(v AS DOUBLE) AS valor_total, CASE WHEN id % 5 = 0 THEN '9' ELSE '1' END AS serie FROM m")
+def enriched_fields(spark, sf_dir):
+    """Gaps filled from a second source, which writes ids with marks and values the Brazilian way."""
+    made = _orders(spark, sf_dir)
+    gap = lambda n, c: F.when(F.col("id") % n != 0, c)
+    docs = made.select("id", gap(2, F.col("c")).alias("emitente_cnpj"), gap(3, F.col("v").cast("decimal(18,2)")).alias("valor_total"), gap(5, F.lit("1")).alias("serie"))
+    found = made.select("id", F.concat(F.lit("CNPJ "), "c").alias("emitente_cnpj"), F.replace("v", F.lit("."), F.lit(",")).alias("valor_total"), F.lit("9").alias("serie"))
+    return validate.enrich(docs, found).withColumn("valor_total", F.col("valor_total").cast("double"))
+
+
+@query(
+    """, g AS (SELECT o_orderkey AS id, o_custkey AS c, CAST(floor(o_totalprice / 100000) AS BIGINT) AS b FROM orders),
+    p AS (SELECT a.id, list_sort(list(x.id)) AS l FROM g a JOIN g x ON a.c = x.c AND a.b = x.b AND a.id <> x.id GROUP BY 1)
+    SELECT id, list_aggregate(l[1:3], 'string_agg', ',') AS mostrados, len(l) > 3 AS mais FROM p"""
+)
+def duplicates_shown(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    docs = orders.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("emitente_cnpj"), F.lit(None).cast("string").alias("emitente_cpf"),
+        F.lit("1").alias("numero_nota"), F.lit("1").alias("serie"), F.floor(F.col("o_totalprice") / 100000).alias("valor_total"),
+    )
+    shown = quality.shown_duplicates(quality.duplicates(docs))
+    return shown.select("id", F.array_join("mostrados", ",").alias("mostrados"), "mais")
+
+
+_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "falta")
+
+
+@query(
+    ", t AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'x' END AS falta FROM orders) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS coluna, count(*) AS linhas, count(*) - count({c}) AS nulos, CAST(min({c}) AS VARCHAR) AS minimo, CAST(max({c}) AS VARCHAR) AS maximo FROM t" for c in _COLUMNS)
+)
+def table_statistics(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("falta", F.when(F.col("o_orderkey") % 3 == 0, "x"))
+    return tables.statistics(orders.select(*_COLUMNS))
+
+
+_STATES = ("processado", "revisao_pendente", "erro", "quarentena")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents of five kinds, with what a step has found out about each."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    k = F.col("o_orderkey")
+    total = F.col("o_totalprice").cast("decimal(18,2)")
+    return orders.select(
+        k.alias("id"), F.col("o_orderpriority").alias("tipo"), F.element_at(F.array(*[F.lit(s) for s in _STATES]), (k % 4 + 1).cast("int")).alias("status"), ((k % 10) / 10).alias("completude"), F.lit(0.5).alias("tempo"),
+        total.alias("valor_total"), F.when(k % 2 == 0, (k % 50).cast("decimal(18,2)")).alias("total_icms"), *[F.lit(None).cast("decimal(18,2)").alias(f"total_{c}") for c in ("ipi", "pis", "cofins")],
+    )
+
+
+@query(
+    """, t AS (SELECT o_orderkey AS id, o_orderpriority AS tipo, o_orderkey % 4 AS s, (o_orderkey % 10) / 10 AS a, CAST(o_totalprice AS DECIMAL(18,2)) AS v, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 50 AS DECIMAL(18,2)) END AS i FROM orders),
+    g AS (SELECT tipo, count(*) AS n, round(CAST(sum(v) AS DOUBLE) / count(v), 6) AS mv, round(CAST(sum(i) AS DOUBLE) / count(i), 6) AS mi FROM t GROUP BY 1)
+    SELECT id, tipo AS tipo_documento, a AS acuracia_media, CAST(s = 1 AS DOUBLE) AS taxa_revisao, CAST(s IN (2, 3) AS DOUBLE) AS taxa_erro, n AS total_documentos, round(mv, 2) AS media_valor_total, round(mi / mv * 100, 4) AS taxa_icms_media,
+    ['processado', 'revisao_pendente', 'erro', 'quarentena'][CAST(s + 1 AS INTEGER)] AS status_evento FROM t JOIN g USING (tipo)"""
+)
+def metric_events(spark, sf_dir):
+    """A metric row a document, with the means of its kind."""
+    rows = metrics.events(_judged(spark, sf_dir))
+    of = lambda c: F.get_json_object("meta_json", f"$.{c}")
+    return rows.select(
+        "id", "tipo_documento", "acuracia_media", "taxa_revisao", "taxa_erro", of("total_documentos").cast("long").alias("total_documentos"), F.round(of("media_valor_total").cast("double"), 2).alias("media_valor_total"),
+        F.round(of("taxa_icms_media").cast("double"), 4).alias("taxa_icms_media"), of("status_evento").alias("status_evento"),
+    )
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, 'ocr' AS agente, o_orderpriority AS tipo_documento, (o_orderkey % 10) / 10 AS coverage, CAST(NULL AS DOUBLE) AS recall,
+    '{"status":"' || ['processado', 'revisao_pendente', 'erro', 'quarentena'][CAST(o_orderkey % 4 + 1 AS INTEGER)] || '"}' AS extras, 'ocr:metric' AS evento,
+    '{"doc_id":' || CAST(o_orderkey AS VARCHAR) || ',"coverage":' || CAST((o_orderkey % 10) / 10 AS VARCHAR) || '}' AS detalhes FROM orders"""
+)
+def agent_events(spark, sf_dir):
+    """A row a document of an agent's run, and the same as an event."""
+    runs = metrics.agent_runs(_judged(spark, sf_dir).withColumn("coverage", F.col("completude")), "ocr", extras=["status"])
+    logged = metrics.event_rows(runs, F.concat("agente", F.lit(":metric")), ["doc_id", "coverage"])
+    events = logged.select(F.get_json_object("detalhes", "$.doc_id").cast("long").alias("doc_id"), "evento", "detalhes")
+    return runs.select("doc_id", "agente", "tipo_documento", "coverage", "recall", "extras").join(events, "doc_id")
+
+
+@query("SELECT k || '.xml' AS nome_arquivo, 'reprocessamento' AS origem, k AS numero_nota, CAST(v AS DOUBLE) AS valor_total FROM m WHERE id % 3 = 0")
+def reprocessed(spark, sf_dir):
+    """All files come again; those known by their hash are derived anew."""
+    files = _written(spark, sf_dir, "nfe").select("id", "nome_arquivo", F.lit(None).cast("string").alias("caminho_arquivo"), "content", F.sha2("content", 256).alias("hash"))
+    known = files.where("id % 3 = 0").select("hash")
+    docs = ingest.reprocess(files.drop("id"), known, day="2024-08-01")["documentos"]
+    return docs.select("nome_arquivo", "origem", "numero_nota", F.col("valor_total").cast("double").alias("valor_total"))

@@ -421,6 +421,20 @@ def monthly_mom(spark, sf_dir):
     return trends.against_before(canonical.documents(spark, sf_dir), 1)
 
 
+@query(_against(1))
+def ask_monthly_trend(spark, sf_dir):
+    return ask.analyse(canonical.catalog(spark, sf_dir), "qual a tendência mensal do total?").frame
+
+
+@query(
+    """SELECT ncm, count(*) AS n, round(quantile_cont(valor_unitario, 0.05)) AS p05, round(quantile_cont(valor_unitario, 0.5)) AS p50, round(quantile_cont(valor_unitario, 0.95)) AS p95
+    FROM itens WHERE documento_id IN (SELECT id FROM documentos WHERE data_emissao[1:4] = '1997' AND emitente_uf = 'NATION_5') GROUP BY 1"""
+)
+def ask_price_by_class(spark, sf_dir):
+    answer = ask.analyse(canonical.catalog(spark, sf_dir), "preço unitário por classe em 1997", region="NATION_5")
+    return answer.frame.select("ncm", "n", *[F.round(c).alias(c) for c in ("p05", "p50", "p95")])
+
+
 @query(_against(12))
 def monthly_yoy(spark, sf_dir):
     return trends.against_before(canonical.documents(spark, sf_dir), 12)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import metrics
 from . import xml
 from .schema import conform
 from .sinks import content_path
@@ -28,9 +29,11 @@ def route(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest(files: DataFrame, existing: DataFrame | None = None, *, origin: str = "upload", day: str | None = None) -> dict[str, DataFrame]:
-    """documentos, itens, impostos, documentos_detalhes, extracoes of new files; a file known by its hash is left out.
+    """The rows of each table that new files give; a file known by its hash is left out.
 
-    Ids are hashes of content and place, so reading the same file again gives the same rows.
+    documentos, itens, impostos and documentos_detalhes hold what was read, extracoes, metricas, metricas_agente and logs a
+    row a document on how reading it went. Ids are hashes of content and place, so reading the same file again gives the
+    same rows.
     """
     fresh = files.dropDuplicates(["hash"])
     if existing is not None:
@@ -45,12 +48,25 @@ def ingest(files: DataFrame, existing: DataFrame | None = None, *, origin: str =
     item_rows = xml.items(parsed, "hash")
     item_id = F.xxhash64("hash", "ordem")
     tax_rows = xml.taxes(item_rows, "hash").withColumns({"item_id": item_id, "id": F.xxhash64("hash", "ordem", "tipo_imposto", "cst", "valor")})
-    telemetry = docs.select("id", F.lit("xml_parser").alias("agente"), F.coalesce("completude", F.lit(0.0)).alias("confianca_media"), F.lit("pt").alias("linguagem"))
+    telemetry = docs.select("id", F.lit("xml_parser").alias("agente"), F.coalesce("completude", F.lit(0.0)).alias("confianca_media"), F.lit("pt").alias("linguagem"), F.round("tempo", 3).alias("tempo_processamento"))
+    seen = docs.select("id", "tipo", "status", "completude", "tempo", "versao_schema", *metrics.MEANS.values())
+    told = F.concat(F.lit("doc_id="), "id", F.lit("|tipo="), "tipo", F.lit("|status="), "status")
     return {
         "documentos": conform(docs, "documentos"),
         "itens": conform(item_rows.withColumns({"documento_id": F.xxhash64("hash"), "id": item_id}), "itens"),
         "impostos": conform(tax_rows, "impostos"),
         "documentos_detalhes": conform(details.withColumns({"documento_id": F.xxhash64("hash"), "id": F.xxhash64("hash", "chave")}), "documentos_detalhes"),
         "extracoes": conform(telemetry.withColumn("documento_id", F.col("id")), "extracoes"),
+        "metricas": conform(metrics.events(seen).withColumn("registrado_em", F.current_timestamp()), "metricas"),
+        "metricas_agente": metrics.agent_runs(seen.withColumns({"coverage": F.col("completude"), "confidence": F.lit(1.0), "latency_s": F.col("tempo")}), "xml_parser", extras=["versao_schema"]),
+        "logs": conform(docs.select("id", F.lit("ingestao_xml").alias("evento"), F.lit("sistema").alias("usuario"), told.alias("detalhes"), F.current_timestamp().alias("criado_em")), "logs"),
         "qualidade": docs.select(number, "completude", "cobertura"),
     }
+
+
+def reprocess(files: DataFrame, existing: DataFrame, *, day: str | None = None) -> dict[str, DataFrame]:
+    """The rows of ingest for the files that existing (hash) knows already, derived anew.
+
+    Their ids are those of before, so that an upsert by id replaces the older rows. Unknown files are left out.
+    """
+    return ingest(files.join(existing.select("hash"), "hash", "left_semi"), origin="reprocessamento", day=day)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .schema import PARENTS, conform
@@ -81,13 +81,29 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def export_package(docs: DataFrame, items: DataFrame, taxes: DataFrame, path: str) -> None:
-    """A folder of documents and metadata as JSON and of items and taxes as CSV, each dealt into a folder a document."""
-    docs.withColumn("documento_id", F.col("id")).write.mode("overwrite").partitionBy("documento_id").json(f"{path}/documento")
-    docs.select(F.col("id").alias("documento_id"), F.coalesce("meta_json", F.lit("{}")).alias("value")).write.mode("overwrite").partitionBy("documento_id").text(f"{path}/meta")
-    items.write.mode("overwrite").partitionBy("documento_id").option("header", True).csv(f"{path}/itens")
-    owned = taxes.join(items.select(F.col("id").alias("item_id"), "documento_id"), "item_id")
-    owned.write.mode("overwrite").partitionBy("documento_id").option("header", True).csv(f"{path}/impostos")
+def package_bucket(document: Column, buckets: int) -> Column:
+    """The folder of export_package in which a document's rows are."""
+    return F.pmod(F.xxhash64(document), F.lit(buckets))
+
+
+def export_package(docs: DataFrame, items: DataFrame, taxes: DataFrame, path: str, *, buckets: int = 256) -> None:
+    """Documents, metadata and origins as JSON, items and taxes as CSV, each dealt into folders by package_bucket.
+
+    The number of folders doesn't grow with that of documents. One document's package is what documento_id picks from
+    its bucket; filter the inputs to export it alone.
+    """
+    own = lambda df: df.withColumn("pacote", package_bucket(F.col("documento_id"), buckets))
+    named = own(docs.withColumn("documento_id", F.col("id")))
+    owned = own(taxes.join(items.select(F.col("id").alias("item_id"), "documento_id"), "item_id"))
+    parts = {
+        "documento": named,
+        "meta": named.select("pacote", "documento_id", F.coalesce("meta_json", F.lit("{}")).alias("meta_json")),
+        "origem": named.where("caminho_arquivo is not null").select("pacote", "documento_id", "caminho_arquivo"),
+    }
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").partitionBy("pacote").json(f"{path}/{name}")
+    for name, rows in (("itens", own(items)), ("impostos", owned)):
+        rows.write.mode("overwrite").partitionBy("pacote").option("header", True).csv(f"{path}/{name}")
 
 
 def compact(df: DataFrame, path: str, files: int) -> None:

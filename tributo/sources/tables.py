@@ -68,3 +68,11 @@ def config_value(config: DataFrame, key: str, user: str | None = None) -> DataFr
 def new_only(incoming: DataFrame, existing: DataFrame, key: str = "hash") -> DataFrame:
     """Incoming rows with a key that is new, one of each."""
     return incoming.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+
+
+def statistics(df: DataFrame) -> DataFrame:
+    """coluna, linhas, nulos, minimo, maximo of each column that can be ordered, extremes as text; one pass over the table."""
+    columns = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    parts = lambda c: (F.lit(c).alias("coluna"), F.count("*").alias("linhas"), F.count_if(F.col(c).isNull()).alias("nulos"), F.min(c).cast("string").alias("minimo"), F.max(c).cast("string").alias("maximo"))
+    row = df.agg(F.array(*[F.struct(*parts(c)) for c in columns]).alias("s")) if columns else df.select(F.lit(None).cast("array<struct<coluna:string,linhas:bigint,nulos:bigint,minimo:string,maximo:string>>").alias("s")).limit(0)
+    return row.select(F.inline("s"))

@@ -6,6 +6,7 @@ element, a way of looking from it, and a tag. Names are compared without namespa
 
 from __future__ import annotations
 
+import time
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -310,19 +311,29 @@ _DOC_TYPE = {
     "extras": pa.map_(pa.string(), pa.string()),
     "items": pa.list_(_ITEM_TYPE),
     "payments": pa.list_(pa.struct([("code", pa.string()), ("value", pa.string())])),
+    "tempo": pa.float64(),
 }
 _ITEM_DDL = "struct<numero_item:string," + ",".join(f"{c}:string" for c in _ITEM) + ",taxes:array<struct<tipo_imposto:string,cst:string,origem:string,base_calculo:string,aliquota:string,valor:string>>>"
-DOC_DDL = f"kind string, error string, fields map<string,string>, extras map<string,string>, items array<{_ITEM_DDL}>, payments array<struct<code:string,value:string>>"
+DOC_DDL = f"kind string, error string, fields map<string,string>, extras map<string,string>, items array<{_ITEM_DDL}>, payments array<struct<code:string,value:string>>, tempo double"
+
+
+def _timed(content: bytes) -> dict:
+    """read_document with the seconds that it took."""
+    start = time.perf_counter()
+    return read_document(content) | {"tempo": time.perf_counter() - start}
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """files (nome_arquivo, content binary, and more) with what read_document finds in each; other columns pass through."""
+    """files (nome_arquivo, content binary, and more) with what read_document finds in each, and tempo, its seconds.
+
+    Other columns pass through.
+    """
     others = [f for f in files.schema.fields if f.name != "content"]
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = [read_document(b or b"") for b in batch.column("content").to_pylist()]
+            docs = [_timed(b or b"") for b in batch.column("content").to_pylist()]
             columns = {f.name: batch.column(f.name) for f in others}
             for c, kind in _DOC_TYPE.items():
                 columns[c] = pa.array([[*d[c].items()] if c in ("fields", "extras") else d[c] for d in docs], kind)
@@ -364,7 +375,7 @@ def documents(parsed: DataFrame) -> DataFrame:
         "data_emissao": text.iso_date(_field("data_emissao")), "data_autorizacao": text.iso_date(_field("data_autorizacao")),
         "chave_acesso": text.digits_or_null(_field("chave_acesso")),
     }
-    typed = parsed.select(*[c for c in parsed.columns if c not in _DOC_TYPE or c in ("kind", "error", "extras")], *[v.alias(k) for k, v in columns.items()])
+    typed = parsed.select(*[c for c in parsed.columns if c not in _DOC_TYPE or c in ("kind", "error", "extras", "tempo")], *[v.alias(k) for k, v in columns.items()])
     share = lambda names: F.round(sum((text.filled(F.col(c).cast("string")).cast("int") for c in names), F.lit(0)) / len(names), 3)
     return typed.withColumns(
         {

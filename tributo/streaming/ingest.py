@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.ingest import ingest
 from ..sources.schema import schema_of
 
-TABLES = ("documentos", "itens", "impostos", "documentos_detalhes", "extracoes")
+TABLES = ("documentos", "itens", "impostos", "documentos_detalhes", "extracoes", "metricas", "metricas_agente", "logs")
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
