@@ -25,18 +25,19 @@ def quantised(vec: Column, scale: float) -> Column:
     return F.transform(vec, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
 
 
-def valid(vec: Column) -> Column:
+def usable(vec: Column) -> Column:
+    """Neither null nor holding null or non-finite entries; an empty vector holds none."""
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
-    return vec.isNotNull() & (F.size(vec) > 0) & ~F.coalesce(bad, F.lit(True))
+    return vec.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    """Rows as float64, shorter vectors filled with zeros."""
+def matrix(column: pa.Array, dims: int, kind: type = np.float64) -> np.ndarray:
+    """Rows as numbers of one kind, shorter vectors filled with zeros."""
     lengths = np.diff(np.asarray(column.offsets))
-    flat = np.asarray(column.flatten(), dtype=np.float64)
+    flat = np.asarray(column.flatten(), dtype=kind)
     if len(lengths) and (lengths == dims).all():
         return flat.reshape(-1, dims)
-    out = np.zeros((len(lengths), dims))
+    out = np.zeros((len(lengths), dims), kind)
     out[np.arange(dims) < lengths[:, None]] = flat
     return out
 
@@ -110,12 +111,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
     dims = max(dims, vectors.agg(F.max(F.size("v"))).first()[0] or 1, 1)
     blocks = -(-total // block)
     some = vectors.limit(INCUMBENTS).collect()
-    incumbents = spark.sparkContext.broadcast((np.array([r.vec_id for r in some], np.int64), _matrix(pa.array([r.v for r in some], pa.list_(pa.int64())), dims)))
+    incumbents = spark.sparkContext.broadcast((np.array([r.vec_id for r in some], np.int64), matrix(pa.array([r.v for r in some], pa.list_(pa.int64())), dims)))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = incumbents.value
         for batch in batches:
-            known = Search(np.asarray(batch.column("vec_id")), _matrix(batch.column("v"), dims), k)
+            known = Search(np.asarray(batch.column("vec_id")), matrix(batch.column("v"), dims), k)
             if len(ids):
                 known.add(ids, rows)
             yield batch.append_column("floor", pa.array(known.floor))
@@ -128,7 +129,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
         mine = bounded.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
         ids = np.asarray(mine["vec_id"])
         v = mine["v"].chunk(0) if len(ids) else pa.array([], pa.list_(pa.int64()))
-        sent = spark.sparkContext.broadcast((ids, _matrix(v, dims), np.asarray(mine["floor"])))
+        sent = spark.sparkContext.broadcast((ids, matrix(v, dims), np.asarray(mine["floor"])))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q, floor = sent.value
@@ -137,7 +138,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
 
             def flush() -> None:
                 table = pa.Table.from_batches(held).combine_chunks()
-                search.add(np.asarray(table["vec_id"]), _matrix(table["v"].chunk(0), dims))
+                search.add(np.asarray(table["vec_id"]), matrix(table["v"].chunk(0), dims))
                 held.clear()
 
             for batch in batches:
@@ -160,7 +161,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, *, block: i
 
 
 def embeddings_top_k(embeddings: DataFrame, k: int = 20, scale: float = 64.0, every: int = 20) -> DataFrame:
-    """exact_top_k over floor(scale * x); every n-th id is a query. Null and empty vectors and such as hold null or non-finite parts are left out."""
-    usable = embeddings.select("vec_id", "embedding").where(valid(F.col("embedding")))
-    whole = usable.select("vec_id", quantised(F.col("embedding"), scale).alias("v"))
+    """exact_top_k over floor(scale * x); every n-th id is a query. Vectors that are null or hold null or non-finite
+    parts are left out; an empty one takes part with a score of 0. Ties go to the smaller vec_id. Of repeated rows each is
+    a candidate, but none of its own id; as a query an id is answered once, by the least of its vectors. Other columns are
+    ignored, and no rows give none.
+    """
+    chosen = embeddings.select("vec_id", "embedding").where(usable(F.col("embedding")))
+    whole = chosen.select("vec_id", quantised(F.col("embedding"), scale).alias("v"))
     return exact_top_k(whole, whole.where(F.col("vec_id") % every == 0), k)
