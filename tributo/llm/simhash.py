@@ -19,9 +19,9 @@ from .components import components
 #: Fingerprints that the shared tree is grown from, at most: 2 MB on the driver, whatever the input.
 SAMPLE = 1 << 18
 #: Fingerprints that a shard of the shared tree should hold, and the least of a sample that a shard stands on.
-SHARD, LEAST = 1 << 14, 32
+SHARD, LEAST = 1 << 16, 32
 #: Residents that a task holds at once; a shard of more is dealt into blocks, which all its guests visit.
-BLOCK = 1 << 15
+BLOCK = 1 << 17
 #: Residents of a leaf of the trees that tasks grow.
 LEAF = 256
 #: Vantage points tried at each node.
@@ -90,7 +90,7 @@ class Tree:
         """Parts ``some`` until a shard has ``most`` of them or can't be parted so that it saves comparisons.
 
         Of a few vantage points and all distances the cut with the least work is taken: rows on a side times those that
-        have to look at it, which counts what lies within the radius of the border twice.
+        have to look at it, which counts what lies within the radius of the border on both sides.
         """
         rng = np.random.default_rng(seed)
         vantage, cut_, near, far, shards = [], [], [], [], 0
@@ -102,10 +102,11 @@ class Tree:
                 for v in own[rng.integers(0, len(own), CHOICES)]:
                     at = np.bincount(np.bitwise_count(own ^ v), minlength=65)[:65]
                     inner = np.cumsum(at).astype(np.float64)
-                    edge = np.concatenate([np.zeros(radius), inner, np.full(radius, inner[-1])])
-                    both = edge[2 * radius :][:65] - np.concatenate([[0.0], edge])[: len(edge)][:65]
                     outer = len(own) - inner
-                    work = np.where((inner > 0) & (outer > 0), inner * (inner + both) + outer * (outer + both), np.inf)
+                    # What would look at the near side (up to radius beyond the cut) and at the far one (from radius before it).
+                    near_by = np.append(inner[radius:], np.full(radius, inner[-1]))
+                    far_by = len(own) - np.append(np.zeros(radius), inner[:-radius])
+                    work = np.where((inner > 0) & (outer > 0), inner * near_by + outer * far_by, np.inf)
                     t = int(work.argmin())
                     if work[t] < 0.98 * len(own) ** 2 and (best is None or work[t] < best[0]):
                         best = (work[t], v, t)
@@ -192,7 +193,7 @@ class Block:
         step = max(1, (1 << 20) // max(1, len(own)))
         for at in range(0, len(rows), step):
             part = rows[at : at + step]
-            i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ self.fp[own][None, :]) <= self.radius)
+            i, j = np.divmod(np.flatnonzero((np.bitwise_count(fp[part][:, None] ^ self.fp[own][None, :]) <= self.radius).ravel()), len(own))
             i, j = part[i], own[j]
             if within:
                 out.append(hook(self.label, i, j))
