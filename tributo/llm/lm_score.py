@@ -177,8 +177,7 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
     segmentations into pieces of the vocabulary, whose weights come from its scores and, by expectation maximisation, from
     the training words. hybrid_score gives each training word one more arc, itself as a whole, with its share of the
     corpus (Good-Turing leaves the share of words met once to the pieces). Any byte is a piece, so every text has a finite
-    score. Null and empty texts are one end. Without training rows c and N are 0 and base_score is as the formula gives,
-    with V = 1 for the end. Repeated rows are scored each; other columns are left out; a very long text is read in parts
+    score. Null and empty texts are one end. Without training rows c, N and V are 0, so base_score is 0. Repeated rows are scored each; other columns are left out; a very long text is read in parts
     that end between words, and a very long word is one row of the lattice.
 
     Words are told apart by 64 bits of hash: of a thousand million different ones two share their counts with a chance
@@ -196,7 +195,8 @@ def lm_scores(docs: DataFrame, piece_file: str, *, folds: int = 5, held: int = 1
     table = cut(map_arrow(own, _counted, "h long, w binary, c long, t long").groupBy("h").agg(F.first("w").alias("w"), F.sum("c").alias("c"), F.sum("t").alias("t")))
     ends = own.where("trains").count()
     total, kinds, once = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
-    total, kinds = total + ends, kinds + 1
+    # The end is one of the training tokens where there is a training text.
+    total, kinds = total + ends, kinds + (ends > 0)
     # Good-Turing: the words met once tell how much of new text is new words. That share is left to the pieces alone,
     # the rest to arcs that span a training word as a whole.
     pieces_share = min(1.0, max(once, 1) / max(total, 1))
