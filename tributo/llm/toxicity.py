@@ -22,8 +22,10 @@ FILTERS = 8
 EPOCHS = 10
 #: Labelled rows of which a bucket must occur in to get an embedding; the rest, and all words unseen, count for nothing.
 LEAST_ROWS = 2
-#: Share of the labelled rows that only decide when training stops and where the thresholds lie.
+#: Share of the labelled rows that only decide when training stops.
 INNER = 0.15
+#: Parts of the labelled rows that are scored by networks of the other parts, and the toxic rows that pull a threshold halfway.
+PARTS, POOL = 3, 20
 #: Share of words left out of each row in a step, factor by which weights shrink in one, and weight of a toxic row.
 DROP, DECAY, POSITIVE = 0.2, 2e-3, 3.0
 
@@ -47,7 +49,11 @@ class Network:
     bias: np.ndarray
     out: np.ndarray
     shift: float
-    thresholds: dict[str, float]
+    thresholds: dict[str | None, float]
+
+    def limit(self, lang: str | None, default: float) -> float:
+        """The threshold of a language, the common one where it has none, the default without any."""
+        return self.thresholds.get(lang, self.thresholds.get(None, default))
 
     def tables(self) -> np.ndarray:
         """Response of every tap to every bucket, BUCKETS x (sum of widths * FILTERS): convolving is then adding up rows."""
@@ -194,30 +200,56 @@ class Scorer:
         return best
 
 
-def calibrate(score: np.ndarray, y: np.ndarray, lang: list[str | None], default: float) -> dict[str, float]:
-    """The threshold of each language with 20 or more toxic rows among those given: best F1, nearest the default."""
-    out: dict[str, float] = {}
+def out_of_fold(rows: list[np.ndarray], y: np.ndarray, *, parts: int = PARTS, seed: int = 11) -> np.ndarray:
+    """A score of each row by a network that was fitted on the other parts alone; each part has its share of either label."""
+    rng, part = np.random.default_rng(seed), np.zeros(len(rows), np.int64)
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(y == label))
+        part[own] = np.arange(len(own)) % parts
+    score = np.zeros(len(rows))
+    for i in range(parts):
+        mine, other = np.flatnonzero(part == i), np.flatnonzero(part != i)
+        if len(mine):
+            net, _ = train([rows[j] for j in other], y[other])
+            score[mine] = Scorer(net).of_buckets([rows[j] for j in mine])
+    return score
+
+
+def _best(score: np.ndarray, y: np.ndarray, near: float) -> float:
+    """The threshold of the best F1, of several the one nearest to ``near``."""
+    grid = np.arange(0.10, 0.951, 0.01)
+    f1 = [2 * (y * (score >= g)).sum() / max(1, y.sum() + (score >= g).sum()) for g in grid]
+    return float(min((abs(g - near), g) for g, f in zip(grid, f1, strict=True) if f >= max(f1) - 1e-9)[1])
+
+
+def calibrate(score: np.ndarray, y: np.ndarray, lang: list[str | None], default: float) -> dict[str | None, float]:
+    """Thresholds by language, and under None that of all others.
+
+    The common one lies between the default and the best for all rows, a language's between the common one and its own
+    best: nearer the latter the more toxic rows stand behind it, halfway for POOL of them. Without rows of both labels
+    there is no threshold; a language without toxic rows has the common one.
+    """
+    if not 0 < y.sum() < len(y):
+        return {}
+    drawn = lambda own, to: to + (_best(score[own], y[own], to) - to) * y[own].sum() / (y[own].sum() + POOL)
+    common = float(drawn(np.ones(len(y), bool), default))
+    out: dict[str | None, float] = {None: common}
     for code in sorted({x for x in lang if x}):
         own = np.array([x == code for x in lang])
-        s, t = score[own], y[own]
-        if t.sum() < 20 or (1 - t).sum() < 20:
-            continue
-        grid = np.arange(0.3, 0.91, 0.05)
-        f1 = [2 * (t * (s >= g)).sum() / max(1, t.sum() + (s >= g).sum()) for g in grid]
-        best = max(f1)
-        out[code] = float(min((abs(g - default), g) for g, f in zip(grid, f1, strict=True) if f >= best - 1e-9)[1])
+        if y[own].sum():
+            out[code] = float(drawn(own, common))
     return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, most: int = TRAIN_ROWS, default: float = 0.7) -> Network:
+    """The network of all labelled rows outside the held fold, with thresholds from scores of networks that hadn't seen the row."""
     got = map_arrow(labelled(docs, labels, "toxic", folds, held, most), _hashed, "doc_id long, x binary, lang string, label int").toPandas()
     got = got.sort_values("doc_id", kind="stable")
     rows = [np.frombuffer(x, dtype=np.int32).reshape(-1, 2) for x in got["x"]]
     y = got["label"].to_numpy(dtype=float)
-    net, inner = train(rows, y)
-    if len(inner):
-        lang = got["lang"].tolist()
-        net.thresholds = calibrate(Scorer(net).of_buckets([rows[i] for i in inner]), y[inner], [lang[i] for i in inner], default)
+    net, _ = train(rows, y)
+    if len(rows):
+        net.thresholds = calibrate(out_of_fold(rows, y), y, got["lang"].tolist(), default)
     return net
 
 
@@ -225,8 +257,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held:
     """doc_id, held_out, score, predicted, and by language: limit and rejected; a row for every row of docs.
 
     The score comes from the whole text alone. predicted uses the one threshold given, rejected that of the row's
-    language, calibrated on labelled rows that the network wasn't trained on (languages with too few of them: the one
-    given). Null and empty texts get the score of padding; without labels all scores stay where training starts. Very
+    language, calibrated on scores that labelled rows get from networks fitted without them (without labels: the one given). Null and empty texts get the score of padding; without labels all scores stay where training starts. Very
     long texts are pooled in parts, whole. Repeated rows get the same score; other columns are left out.
     """
     net = fit_toxicity(docs, labels, folds=folds, held=held, default=threshold)
@@ -237,7 +268,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held:
         for batch in batches:
             if batch.num_rows:
                 score = scorer.score(batch.column("text"))
-                limit = [sent.value.thresholds.get(x, threshold) for x in batch.column("lang").to_pylist()]
+                limit = [sent.value.limit(x, threshold) for x in batch.column("lang").to_pylist()]
                 yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": score.astype(float), "threshold": pa.array(limit, pa.float64())})
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
@@ -266,7 +297,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int
             if batch.num_rows:
                 score = scorer.score(batch.column("text").fill_null(""))
                 langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
-                limit = np.array([sent.value.thresholds.get(x, threshold) for x in langs])
+                limit = np.array([sent.value.limit(x, threshold) for x in langs])
                 yield batch.filter(pa.array(score < limit))
 
     return map_arrow(docs, run, docs.schema)
