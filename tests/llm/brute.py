@@ -101,7 +101,7 @@ def base_secrets(text: str) -> list[tuple[int, str, int]]:
 
 
 def top_k(rows: list[tuple[int, list[float] | None]], k: int = 20) -> list[tuple]:
-    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, a in whole:
         if q % 20 == 0:

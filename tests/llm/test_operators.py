@@ -155,8 +155,42 @@ def test_toxicity_on_rows_held_out(spark, size, auc, recall):
 
 def test_thresholds_by_language():
     score, y = np.array([0.2] * 30 + [0.5] * 30), np.array([0] * 30 + [1] * 30)
-    assert toxicity.calibrate(score, y, ["de"] * 60, 0.7) == {"de": pytest.approx(0.5)}
-    assert toxicity.calibrate(score[:31], y[:31], ["de"] * 31, 0.7) == {}
+    both = toxicity.calibrate(np.append(score, score + 0.3), np.append(y, y), ["de"] * 60 + ["fr"] * 60, 0.7)
+    # All rows together are best parted at 0.5; French ones above that, with 30 toxic rows behind each language.
+    assert 0.5 <= both[None] < both["fr"] <= 0.8 and both["de"] <= both[None]
+    few = toxicity.calibrate(np.append(score, 0.1), np.append(y, 1), ["de"] * 60 + ["fr"], 0.7)
+    assert abs(few["fr"] - few[None]) < 0.03, "one toxic row hardly moves a threshold"
+    assert toxicity.calibrate(score[:30], y[:30], ["de"] * 30, 0.7) == {}
+
+
+def test_scores_out_of_fold_come_from_other_rows(prose):
+    rng = random.Random(1)
+    y = np.array([float(i % 4 == 0) for i in range(240)])
+    texts_ = [prose(20) + (" rotten" if label else "") + f" own{i}" for i, label in enumerate(y)]
+    both, at = toxicity.buckets(pa.array(texts_))
+    rows = [both[a:b] for a, b in zip(at, at[1:], strict=False)]
+    score = toxicity.out_of_fold(rows, y)
+    assert np.mean([(a > b) for a in score[y == 1] for b in score[y == 0]]) > 0.95
+    # A label that says nothing can't be learned from other rows, though it could be by heart.
+    noise = np.array([float(rng.random() < 0.3) for _ in range(240)])
+    score = toxicity.out_of_fold(rows, noise)
+    assert abs(np.mean([(a > b) for a in score[noise == 1] for b in score[noise == 0]]) - 0.5) < 0.15
+
+
+def test_calibrated_thresholds_take_effect(spark):
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(folder):
+        pytest.skip("driver tables are not here")
+    documents, labels_ = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    net = toxicity.fit_toxicity(documents, labels_)
+    assert {"en", "fr", "de", "es", None} <= set(net.thresholds) and all(0.1 <= t <= 0.95 for t in net.thresholds.values())
+    assert len({round(t, 3) for t in net.thresholds.values()}) > 1
+    got = toxicity.toxicity_scores(documents, labels_).join(documents.select("doc_id", "lang"), "doc_id").join(labels_, "doc_id", "left").collect()
+    assert all(r.limit == pytest.approx(net.limit(r.lang, 0.7)) and r.rejected == (r.score >= r.limit) for r in got)
+    assert any(r.rejected != bool(r.predicted) for r in got), "thresholds change what is rejected"
+    held = [r for r in got if r.held_out and r.toxic is not None]
+    f1 = lambda said: 2 * sum(said(r) and r.toxic for r in held) / (sum(map(said, held)) + sum(r.toxic for r in held))
+    assert f1(lambda r: bool(r.rejected)) >= f1(lambda r: bool(r.predicted)) - 0.02
 
 
 # 2: decontamination.
@@ -451,6 +485,12 @@ def test_training_helps(spark, prose):
     assert held(2) > held(0)
 
 
+def test_base_score_without_training_rows(spark):
+    held = [i for i in range(40) if brute.fold(i, 5) == 1][:3]
+    got = lm_score.lm_scores(docs(spark, [(i, "a b") for i in held]), queries.vocabulary("piece_bpe_32k.model")).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got] == [(3, 0, 0, 0.0)] * 3 and all(r.score < 0 for r in got)
+
+
 def test_lm_edges(spark):
     path = queries.vocabulary("piece_bpe_32k.model")
     assert lm_score.lm_scores(none(spark), path).count() == 0
@@ -524,8 +564,9 @@ def test_top_k(spark, monkeypatch):
 def test_top_k_edges(spark):
     schema = "vec_id long, embedding array<double>"
     assert top_k.embeddings_top_k(spark.createDataFrame([], schema)).count() == 0
-    few = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0]), (2, [-1.0])], schema)
-    assert [tuple(r) for r in top_k.embeddings_top_k(few).orderBy("rank").collect()] == [(0, 1, 1, 4096), (0, 2, 2, -4096)]
+    few = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0]), (2, [-1.0]), (3, []), (20, []), (4, None)], schema)
+    got = [tuple(r) for r in top_k.embeddings_top_k(few).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 4096), (0, 2, 3, 0), (0, 3, 20, 0), (0, 4, 2, -4096), (20, 1, 0, 0), (20, 2, 1, 0), (20, 3, 2, 0), (20, 4, 3, 0)]
 
 
 # 10: mixing.
