@@ -6,13 +6,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def parsed(c: Column) -> Column:
+    """JSON text as a variant, null where it isn't JSON; parse once, then take paths with the functions below."""
+    return F.try_parse_json(c)
+
+
+def variant_double(v: Column, path: str, default: float | None = None) -> Column:
+    """A number at a path of a variant; the default for a missing path or another kind of value."""
+    found = F.try_variant_get(v, path, "double")
+    return found if default is None else F.coalesce(found, F.lit(default))
+
+
+def variant_length(v: Column, path: str) -> Column:
+    """How many elements the array at a path has; 0 where there is none."""
+    return F.coalesce(F.size(F.try_variant_get(v, path, "array<variant>")), F.lit(0))
+
+
 def json_double(c: Column, path: str, default: float = 0.0) -> Column:
     """A number at a JSON path; the default for bad JSON, a missing path or another kind of value."""
-    return F.coalesce(F.try_variant_get(F.try_parse_json(c), path, "double"), F.lit(default))
+    return variant_double(parsed(c), path, default)
 
 
 def json_length(c: Column, path: str) -> Column:
-    return F.coalesce(F.json_array_length(F.get_json_object(c, path)), F.lit(0))
+    return variant_length(parsed(c), path)
 
 
 def json_or_empty(c: Column) -> Column:
@@ -25,23 +41,33 @@ def json_merge(left: Column, right: Column, depth: int = 4) -> Column:
 
     Lists and other values are replaced whole; what isn't an object counts as an empty one.
     """
-    own, other = (F.try_parse_json(json_or_empty(c)) for c in (left, right))
-    return F.to_json(_merged(own, other, depth))
+    return F.to_json(variant_merge(parsed(left), parsed(right), depth))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _fields(v: Column) -> Column:
+    """An object's values by key; none of anything else."""
+    return F.when(_is_object(v), v.cast("map<string,variant>")).otherwise(F.create_map().cast("map<string,variant>"))
+
 
+def variant_merge(own: Column, other: Column, depth: int = 4) -> Column:
+    """json_merge of two variants, as a variant: each is taken apart once a level, nothing is written as text between."""
 
-def _merged(own: Column, other: Column, depth: int) -> Column:
-    a, b = (v.cast("map<string,variant>") for v in (own, other))
-    is_object = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    def merged(pair: Column) -> Column:
+        def value(k: Column) -> Column:
+            x, y = F.try_element_at(pair["a"], k), F.try_element_at(pair["b"], k)
+            plain = F.when(F.map_contains_key(pair["b"], k), y).otherwise(x)
+            return plain if depth <= 1 else F.when(_is_object(x) & _is_object(y), variant_merge(x, y, depth - 1)).otherwise(plain)
 
-    def value(k: Column) -> Column:
-        x, y = F.try_element_at(a, k), F.try_element_at(b, k)
-        plain = F.when(F.map_contains_key(b, k), y).otherwise(x)
-        if depth <= 1:
-            return plain
-        return F.when(is_object(x) & is_object(y), F.parse_json(F.to_json(_merged(x, y, depth - 1)))).otherwise(plain)
+        keys = F.array_union(F.map_keys(pair["a"]), F.map_keys(pair["b"]))
+        return F.to_variant_object(F.map_from_arrays(keys, F.transform(keys, value)))
 
-    keys = F.array_union(F.map_keys(a), F.map_keys(b))
-    return F.map_from_arrays(keys, F.transform(keys, value))
+    # An array of one pair gives the lambda what each side holds, so neither is taken apart for every key.
+    both = F.array(F.struct(_fields(own).alias("a"), _fields(other).alias("b")))
+    return F.element_at(F.transform(both, merged), 1)
 
 
 def first_json(c: Column) -> Column:

@@ -52,17 +52,11 @@ def details_in_scope(details: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_risk(docs: DataFrame) -> DataFrame:
-    """risco, duplicados and the three scores kept in the metadata JSON."""
-    meta = F.col("meta_json")
-    return docs.withColumns(
-        {
-            "risco": nested.json_double(meta, "$.risk.score"),
-            "duplicados": nested.json_length(meta, "$.risk.duplicates"),
-            "cobertura": F.try_variant_get(F.try_parse_json(meta), "$.nlp.coverage", "double"),
-            "sanidade": F.try_variant_get(F.try_parse_json(meta), "$.__meta__.normalizador.sanity_score", "double"),
-            "associacao": F.try_variant_get(F.try_parse_json(meta), "$.associacao.match_score", "double"),
-        }
-    )
+    """risco, duplicados and the three scores kept in the metadata JSON, which is parsed once."""
+    meta = F.col("_meta")
+    paths = {"cobertura": "$.nlp.coverage", "sanidade": "$.__meta__.normalizador.sanity_score", "associacao": "$.associacao.match_score"}
+    found = {"risco": nested.variant_double(meta, "$.risk.score", 0.0), "duplicados": nested.variant_length(meta, "$.risk.duplicates")}
+    return docs.withColumn("_meta", nested.parsed(F.col("meta_json"))).withColumns(found | {c: nested.variant_double(meta, p) for c, p in paths.items()}).drop("_meta")
 
 
 def at_least_risk(docs: DataFrame, least: float) -> DataFrame:

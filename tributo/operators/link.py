@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fiscal, text
 from .filters import xml_like
+from .sweep import swept
 
 # Fields that a linked document may fill.
 CORE = (
@@ -32,25 +33,33 @@ def by_key(partial: DataFrame, docs: DataFrame) -> DataFrame:
 def by_value_and_date(partial: DataFrame, docs: DataFrame, *, value_band: float = 0.02, days: int = 1) -> DataFrame:
     """id, alvo_id where value and date are within the bands; a record with only one of them is linked by that.
 
-    Values and days fall in buckets as wide as their band, so the band join is an equi-join on neighbouring buckets with
-    the exact test after it, whatever the planner chooses. Records with both, with a value alone and with a date alone
-    are three joins. A date alone meets the best document of a day, not all of them.
+    A sweep, not a join of pairs: what documents of one day and value, one value or one day have in common is their best
+    (XML kinds first, then the smallest id), which a frame that passes over the values in order hands to each place asked
+    for. Documents stand in the lines of the days around their own. However many documents and records share a day and a
+    value, they are one row each while swept; the records then take their answer by an equi-join on what they hold.
     """
-    width, value = F.lit(value_band).cast("decimal(18,4)"), lambda: F.col("valor_total").cast("decimal(18,2)")
-    day = text.as_date(F.regexp_extract("data_emissao", r"^([^T]*)", 1))
-    bucket = lambda c: F.floor(c / width)
-    left = partial.select("id", value().alias("_v"), day.alias("_d"))
-    right = docs.select(F.col("id").alias("alvo_id"), "tipo", value().alias("_w"), text.as_date(F.col("data_emissao")).alias("_e"))
-    near_value = F.array(*[bucket(F.col("_v")) + i for i in (-1, 0, 1)])
-    near_day = F.array(*[F.date_add("_d", i) for i in range(-days, days + 1)])
-    in_value, rv, rd = F.abs(F.col("_v") - F.col("_w")) <= width, bucket(F.col("_w")), F.col("_e")
-    both = left.where("_v is not null and _d is not null").withColumn("_b", F.explode(near_value)).withColumn("_x", F.explode(near_day))
-    both = both.join(right.withColumns({"_b": rv, "_x": rd}), ["_b", "_x"]).where(in_value)
-    alone = left.where("_v is not null and _d is null").withColumn("_b", F.explode(near_value)).join(right.withColumn("_b", rv), "_b").where(in_value)
-    best = right.where("_e is not null").groupBy(F.col("_e").alias("_x")).agg(F.min(F.struct((~xml_like(F.col("tipo"))).alias("_p"), "alvo_id", "tipo")).alias("_t")).select("_x", "_t.alvo_id", "_t.tipo")
-    dated = left.where("_v is null and _d is not null").withColumn("_x", F.explode(near_day)).join(best, "_x")
-    columns = ["id", "alvo_id", "tipo"]
-    return _first(both.select(columns).unionByName(alone.select(columns)).unionByName(dated.select(columns)), xml_like(F.col("tipo")))
+    cents = F.col("valor_total").cast("decimal(18,2)")
+    day = lambda c: F.datediff(text.as_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    place = (cents * 100).cast("long").alias("_c")
+    left = partial.select("id", place, day(F.regexp_extract("data_emissao", r"^([^T]*)", 1)).alias("_d"))
+    best = F.min(F.struct((~xml_like(F.col("tipo"))).alias("_p"), F.col("id").alias("alvo_id"))).alias("_t")
+    cells = docs.select("id", "tipo", place, day(F.col("data_emissao")).alias("_d")).groupBy("_c", "_d").agg(best)
+    reach = int(value_band * 100 + 1e-9)
+    least = lambda rows, *by: rows.groupBy(*by).agg(F.min("_t").alias("_t"))
+    lines = cells.where("_c is not null and _d is not null").withColumn("_d", F.explode(F.sequence(F.col("_d") - days, F.col("_d") + days)))
+    both, alone, dated = (left.where(x) for x in ("_c is not null and _d is not null", "_c is not null and _d is null", "_c is null and _d is not null"))
+    given = lambda *by: cells.where(" and ".join(f"{c} is not null" for c in by))
+    answers = [
+        (both, ["_d", "_c"], least(lines, "_d", "_c"), reach),
+        (alone, ["_c"], least(given("_c"), "_c"), reach),
+        (dated, ["_d"], least(given("_d"), "_d"), days),
+    ]
+    found = []
+    for rows, by, targets, near in answers:
+        told = swept(targets, rows.select(*by).distinct(), by[-1], near, by[:-1], {"_t": F.min("_t")}).where("_t is not null")
+        found.append(rows.join(told, by).select("id", F.col("_t._p").alias("_p"), F.col("_t.alvo_id").alias("alvo_id")))
+    # A record is one row in one of the three, unless its id is repeated.
+    return found[0].unionByName(found[1]).unionByName(found[2]).groupBy("id").agg(F.min(F.struct("_p", "alvo_id")).alias("_b")).select("id", F.col("_b.alvo_id").alias("alvo_id"))
 
 
 def link(partial: DataFrame, docs: DataFrame, **bands) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .sweep import swept
 from .validate import crossing
 
 COMPLETENESS_LEAST, CRITICAL_LEAST, SANITY_LEAST, RISK_REVIEW = 0.65, 2, 0.75, 0.6
@@ -65,24 +68,77 @@ def quality_gate(docs: DataFrame, scores: DataFrame, *, completeness: float = CO
     return joined.withColumn("razoes", reasons).select("id", F.when((F.size("razoes") > 0) & (status != "revisado"), "revisao_pendente").otherwise(status).alias("status_novo"), "razoes")
 
 
+KEYS = ["_issuer", "_number", "_series"]
+
+
+def _owned(docs: DataFrame) -> DataFrame:
+    """id, issuer, number, series and value in cents of the documents that have an issuer and a number."""
+    value = F.coalesce(F.col("valor_total").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    own = docs.select("id", F.coalesce("emitente_cnpj", "emitente_cpf").alias("_issuer"), F.col("numero_nota").cast("string").alias("_number"), F.coalesce(F.col("serie").cast("string"), F.lit("")).alias("_series"), (value * 100).cast("long").alias("_c"))
+    return own.where(~text.missing(F.col("_issuer")) & ~text.missing(F.trim("_number")))
+
+
+def _reach(cents: float) -> int:
+    """The most whole cents that are less than the tolerance."""
+    return max(0, math.ceil(round(cents * 100, 6)) - 1)
+
+
 def duplicates(docs: DataFrame, *, causal: bool = False, cents: float = 0.01) -> DataFrame:
     """id, duplicados: the sorted ids of other documents of one issuer, number and series and nearly one value.
 
-    An equi-join on those three, values in buckets of the tolerance so that a group of one issuer's invoices isn't paired
-    off in full; the exact test follows. causal: only smaller ids count. Documents without issuer or number have none.
+    All of them, so n equal invoices give n lists of n - 1: for reports on few documents. shown_duplicates gives the first
+    few and duplicated whether there are any, in a row a document. The lists come from an equi-join, values in buckets of
+    the tolerance, and the exact test after it. causal: only smaller ids count. Documents without issuer or number have none.
     """
-    width = F.lit(cents).cast("decimal(18,4)")
-    value = F.coalesce(F.col("valor_total").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
-    own = docs.select("id", F.coalesce("emitente_cnpj", "emitente_cpf").alias("_issuer"), F.col("numero_nota").cast("string").alias("_number"), F.coalesce(F.col("serie").cast("string"), F.lit("")).alias("_series"), value.alias("_value"))
-    own = own.where(~text.missing(F.col("_issuer")) & ~text.missing(F.trim("_number"))).withColumn("_bucket", F.floor(F.col("_value") / width))
-    near = own.select(F.col("id").alias("_other"), "_issuer", "_number", "_series", F.col("_value").alias("_v"), F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"))
-    pairs = own.join(near, ["_issuer", "_number", "_series", "_bucket"]).where((F.col("id") > F.col("_other") if causal else F.col("id") != F.col("_other")) & (F.abs(F.col("_value") - F.col("_v")) < width))
+    reach = _reach(cents)
+    own = _owned(docs).withColumn("_bucket", F.expr(f"_c div {reach + 1}L"))
+    near = own.select(F.col("id").alias("_other"), *KEYS, F.col("_c").alias("_v"), F.explode(F.array_distinct(F.array(*[F.expr(f"(_c + {i}) div {reach + 1}L") for i in (-reach, 0, reach)]))).alias("_bucket"))
+    pairs = own.join(near, [*KEYS, "_bucket"]).where((F.col("id") > F.col("_other") if causal else F.col("id") != F.col("_other")) & (F.abs(F.col("_c") - F.col("_v")) <= reach))
     return pairs.groupBy("id").agg(F.array_sort(F.collect_set("_other")).alias("duplicados"))
 
 
-def shown_duplicates(found: DataFrame, n: int = 3) -> DataFrame:
-    """id, mostrados, mais: the first n of each list that duplicates gives, and whether there are more."""
-    return found.select("id", F.slice("duplicados", 1, n).alias("mostrados"), (F.size("duplicados") > n).alias("mais"))
+def shown_duplicates(docs: DataFrame, n: int = 3, *, cents: float = 0.01) -> DataFrame:
+    """id, mostrados, mais: the n smallest of the ids that duplicates lists, and whether there are more.
+
+    Documents of one value are one cell with its n + 1 smallest ids, which Spark limits before it shuffles; a frame over
+    the values in order adds up the cells within the tolerance. So n equal invoices give n rows of n ids, not lists of all.
+    """
+    own = _owned(docs).distinct()
+    first = Window.partitionBy(*KEYS, "_c").orderBy("id")
+    least = own.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n + 1).groupBy(*KEYS, "_c").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    cells = own.groupBy(*KEYS, "_c").agg(F.count("*").alias("_many")).join(least, [*KEYS, "_c"])
+    if reach := _reach(cents):
+        near = swept(cells, cells.select(*KEYS, "_c"), "_c", reach, KEYS, {"_many": F.sum("_many"), "_ids": F.collect_list("_ids")})
+        cells = near.withColumn("_ids", F.slice(F.array_sort(F.flatten("_ids")), 1, n + 1))
+    others = F.array_except("_ids", F.array("id"))
+    return own.join(cells.where("_many > 1"), [*KEYS, "_c"]).select("id", F.slice(others, 1, n).alias("mostrados"), (F.col("_many") > n + 1).alias("mais"))
+
+
+def duplicated(docs: DataFrame, *, cents: float = 0.01) -> DataFrame:
+    """id of each document that duplicates would list others of, by counts alone."""
+    own = _owned(docs).distinct()
+    cells = own.groupBy(*KEYS, "_c").agg(F.count("*").alias("_many"))
+    if reach := _reach(cents):
+        cells = swept(cells, cells.select(*KEYS, "_c"), "_c", reach, KEYS, {"_many": F.sum("_many")})
+    return own.join(cells.where("_many > 1"), [*KEYS, "_c"]).select("id")
+
+
+def value_runs(pieces: DataFrame, *, cents: float = 0.01) -> DataFrame:
+    """Runs of values, each less than cents above the one before: KEYS, _low, _high, classe (the least id), n.
+
+    pieces: KEYS, _low, _high, _least, _n: values, or runs found before, which may overlap. A piece starts a run if it
+    lies out of reach of all before it.
+    """
+    order = Window.partitionBy(*KEYS).orderBy("_low", "_high")
+    highest = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce((F.col("_low") - highest > _reach(cents)).cast("int"), F.lit(1))
+    runs = pieces.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*KEYS, "_run").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_least").alias("classe"), F.sum("_n").alias("n")).drop("_run")
+
+
+def values_of(docs: DataFrame) -> DataFrame:
+    """KEYS, _low, _high, _least, _n: a row for equal values, so a hot group is small where it is put in order."""
+    return _owned(docs).groupBy(*KEYS, "_c").agg(F.count("*").alias("_n"), F.min("id").alias("_least")).select(*KEYS, F.col("_c").alias("_low"), F.col("_c").alias("_high"), "_least", "_n")
 
 
 def duplicate_classes(docs: DataFrame, *, cents: float = 0.01) -> DataFrame:
@@ -92,18 +148,36 @@ def duplicate_classes(docs: DataFrame, *, cents: float = 0.01) -> DataFrame:
     one before; classe is its smallest id. It says in a row a document what duplicates lists in pairs, so a group of
     many equal invoices costs no more than its rows.
     """
-    value = F.coalesce(F.col("valor_total").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
-    keys = ["_issuer", "_number", "_series"]
-    own = docs.select("id", F.coalesce("emitente_cnpj", "emitente_cpf").alias("_issuer"), F.col("numero_nota").cast("string").alias("_number"), F.coalesce(F.col("serie").cast("string"), F.lit("")).alias("_series"), value.alias("_value"))
-    own = own.where(~text.missing(F.col("_issuer")) & ~text.missing(F.trim("_number")))
-    # Equal values are one row before they are put in order, so a hot group is small where it is sorted.
-    values = own.groupBy(*keys, "_value").agg(F.count("*").alias("_n"), F.min("id").alias("_least"))
-    order = Window.partitionBy(*keys).orderBy("_value")
-    starts = F.coalesce((F.col("_value") - F.lag("_value").over(order) >= F.lit(cents).cast("decimal(18,4)")).cast("int"), F.lit(1))
-    runs = values.withColumn("_starts", starts).withColumn("_run", F.sum("_starts").over(order))
-    classes = runs.groupBy(*keys, "_run").agg(F.min("_least").alias("classe"), F.sum("_n").alias("n"))
-    named = runs.select(*keys, "_value", "_run").join(classes, [*keys, "_run"])
-    return own.join(named, [*keys, "_value"]).select("id", "classe", "n")
+    return classes_of(docs, value_runs(values_of(docs), cents=cents))
+
+
+def classes_of(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """id, classe, n of documents whose values lie in the runs: each value takes the last run that starts at or below it."""
+    own = _owned(docs)
+    starts = runs.select(*KEYS, F.col("_low").alias("_c"), F.struct("_high", "classe", "n").alias("_run"), F.lit(False).alias("_asked"))
+    asks = own.select(*KEYS, "_c").distinct().withColumns({"_run": F.lit(None).cast(starts.schema["_run"].dataType), "_asked": F.lit(True)})
+    order = Window.partitionBy(*KEYS).orderBy("_c", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    told = starts.unionByName(asks).withColumn("_run", F.last("_run", ignorenulls=True).over(order)).where("_asked and _c <= _run._high")
+    return own.join(told, [*KEYS, "_c"]).select("id", "_run.classe", "_run.n")
+
+
+def extended_runs(runs: DataFrame, new: DataFrame, *, cents: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """The runs that a batch of documents touches, as they are after it, and those of them that were there before.
+
+    runs: value_runs of all documents so far; new: values_of those of the batch. A new value lies in a run, makes one longer, bridges
+    two or starts one; runs out of reach of all of them stay as they are. So what is read is the batch and the touched
+    groups' runs, and what is to be replaced is the second result by the first.
+    """
+    reach = _reach(cents)
+    spans = value_runs(new, cents=cents)
+    # Of the spans that begin within reach of a run's end the last goes furthest, as neither runs nor spans overlap.
+    line = spans.select(*KEYS, F.col("_low").alias("_at"), F.col("_high").alias("_to")).unionByName(
+        runs.join(spans.select(*KEYS).distinct(), KEYS, "left_semi").select(*KEYS, (F.col("_high") + reach).alias("_at"), F.struct("_low", "_high", "classe", "n").alias("_run")), allowMissingColumns=True
+    )
+    order = Window.partitionBy(*KEYS).orderBy("_at", F.col("_run").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    touched = line.withColumn("_to", F.max("_to").over(order)).where(F.col("_run").isNotNull() & (F.col("_to") >= F.col("_run._low") - reach)).select(*KEYS, "_run.*")
+    before = touched.select(*KEYS, "_low", "_high", F.col("classe").alias("_least"), F.col("n").alias("_n"))
+    return value_runs(before.unionByName(new), cents=cents), touched
 
 
 def risk(docs: DataFrame, duplicate_ids: DataFrame, taxed: DataFrame, as_of: str) -> DataFrame:

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: Accuracy of the sketch of a group's ranks, and how many of its steps around a rank are kept apart.
+SKETCH, REACH = 20_000, 3
+#: Groups of more rows are narrowed to what lies near the wanted ranks, and how many of them, so that they can be broadcast.
+LARGE, HOTTEST = 1 << 20, 4_096
+
 
 def _stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value).cast("double")
@@ -23,21 +28,47 @@ def zscores(rows: DataFrame, keys: list[str], value: str, limit: float = 3.0) ->
     return joined.withColumn("z", F.round(z, 6)).where(F.abs("z") > limit).drop("_mean", "_sd")
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+def _narrowed(rows: DataFrame, keys: list[str], at: dict[str, float], large: int) -> DataFrame:
+    """keys, _v, _c and _gap of each group: counted values, those of a large group only around its wanted ranks.
+
+    A sketch gives values that surely lie below and above each rank. What lies between two such brackets of a large group
+    is counted under the upper end of the one before it, as one row with _gap set, so ranks stay what they are. Only the
+    HOTTEST largest groups are narrowed; each of the others has less than a HOTTEST-th of the rows.
+    """
+    reach = REACH / SKETCH
+    points = [x for p in at.values() for x in (max(0.0, p - reach), min(1.0, p + reach))]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.percentile_approx("_v", [float(x) for x in points], SKETCH).alias("_points"))
+    hot = sizes.where(F.col("_size") > large).orderBy(F.desc("_size"), *keys).limit(HOTTEST)
+    bound = lambda i, p, out: F.lit(float("-inf" if i % 2 == 0 else "inf")) if out else F.col("_points")[i]
+    ends = [bound(i, x, (x <= 0.0) if i % 2 == 0 else (x >= 1.0)) for i, x in enumerate(points)]
+    brackets = list(zip(ends[::2], ends[1::2], strict=True))
+    marked = rows.join(F.broadcast(hot.drop("_size")), keys, "left")
+    inside = F.col("_points").isNull()
+    for low, high in brackets:
+        inside = inside | F.col("_v").between(low, high)
+    before = [F.when(high < F.col("_v"), high).otherwise(float("-inf")) for _, high in brackets]
+    passed = F.greatest(*before) if len(before) > 1 else before[0]
+    return marked.select(*keys, F.when(inside, F.col("_v")).otherwise(passed).alias("_v"), (~inside).alias("_gap")).groupBy(*keys, "_v", "_gap").agg(F.count("*").alias("_c"))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float], *, large: int = LARGE) -> DataFrame:
     """keys, n and the exact quantiles (between two values in proportion) under their names.
 
-    Equal values are counted first; a running sum of the counts over the values in order, which spills, finds the ranks,
-    and what is kept of a group is one number for each quantile: no group's values are held in memory.
+    Nulls don't count, and groups with a null key have none. Ranks are selected, not sorted for: a first pass sketches
+    each group, a second counts all values but keeps apart only those near the wanted ranks of groups of over ``large``
+    rows, so no window goes over such a group. A rank that the sketch had misplaced would fall into a gap; that raises an
+    error and never gives another value.
     """
-    v = F.col(value).cast("double")
-    counts = rows.where(v.isNotNull()).groupBy(*keys, v.alias("_v")).agg(F.count("*").alias("_c"))
-    up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    own = rows.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    counts = _narrowed(own, keys, at, large)
+    up_to = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v", "_gap").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counts.withColumn("_up", up_to).join(counts.groupBy(*keys).agg(F.sum("_c").alias("_n")), keys)
     place = lambda p: F.lit(p) * (F.col("_n") - 1)
-    first = lambda rank: F.min(F.when(F.col("_up") > rank, F.col("_v")))
+    first = lambda rank: F.min(F.when(F.col("_up") > rank, F.struct("_v", "_gap")))
     sides = [x for q, p in at.items() for x in (first(F.floor(place(p))).alias(f"_a_{q}"), first(F.ceil(place(p))).alias(f"_b_{q}"))]
     found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *sides)
-    between = lambda q, p: F.col(f"_a_{q}") + (F.col(f"_b_{q}") - F.col(f"_a_{q}")) * (place(p) - F.floor(place(p)))
+    sure = lambda c: F.when(F.col(f"{c}._gap"), F.raise_error(F.lit("a rank lies outside its bracket"))).otherwise(F.col(f"{c}._v"))
+    between = lambda q, p: sure(f"_a_{q}") + (sure(f"_b_{q}") - sure(f"_a_{q}")) * (place(p) - F.floor(place(p)))
     return found.select(*keys, F.col("_n").alias("n"), *[between(q, p).alias(q) for q, p in at.items()])
 
 

@@ -283,7 +283,7 @@ def duplicates_shown(spark, sf_dir):
         F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("emitente_cnpj"), F.lit(None).cast("string").alias("emitente_cpf"),
         F.lit("1").alias("numero_nota"), F.lit("1").alias("serie"), F.floor(F.col("o_totalprice") / 100000).alias("valor_total"),
     )
-    shown = quality.shown_duplicates(quality.duplicates(docs))
+    shown = quality.shown_duplicates(docs)
     return shown.select("id", F.array_join("mostrados", ",").alias("mostrados"), "mais")
 
 

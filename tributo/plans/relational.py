@@ -261,25 +261,35 @@ def duplicates_self(spark, sf_dir):
 )
 def risk_score(spark, sf_dir):
     docs = _copies(spark, sf_dir)
-    return quality.risk(docs, quality.duplicates(docs), canonical.item_values(spark, sf_dir), "1997-01-01").select("id", "risco")
+    return quality.risk(docs, quality.duplicated(docs), canonical.item_values(spark, sf_dir), "1997-01-01").select("id", "risco")
 
 
 @query(
-    """SELECT p.id, min(d.id) AS alvo_id FROM (SELECT id + 1 AS id, valor_total, CAST(data_emissao AS DATE) AS dia FROM documentos WHERE id % 3 = 0) p
-    JOIN documentos d ON abs(d.valor_total - p.valor_total) <= 5 AND abs(date_diff('day', CAST(d.data_emissao AS DATE), p.dia)) <= 1 GROUP BY 1"""
+    """, alvos AS (SELECT id, valor_total, CAST(data_emissao AS DATE) AS dia FROM documentos), linhas AS (SELECT id, valor_total, dia + CAST(unnest([-1, 0, 1]) AS INTEGER) AS dia FROM alvos)
+    SELECT p.id + 1 AS id, min(d.id) AS alvo_id FROM alvos p JOIN linhas d ON d.dia = p.dia AND abs(d.valor_total - p.valor_total) <= 5 GROUP BY 1"""
 )
 def link_value_date_band(spark, sf_dir):
     docs = canonical.documents(spark, sf_dir)
-    partial = docs.where("id % 3 = 0").select((F.col("id") + 1).alias("id"), "valor_total", "data_emissao")
+    partial = docs.select((F.col("id") + 1).alias("id"), "valor_total", "data_emissao")
     return link.by_value_and_date(partial, docs.withColumn("tipo", F.lit("NFe")), value_band=5)
 
 
-@query(None)
+_BEST = "min_by(d.id, CASE WHEN d.tipo = '1-URGENT' THEN 0 ELSE 1 END * 100000000000 + d.id)"
+
+
+@query(
+    f""", alvos AS (SELECT id, tipo, valor_total, CAST(data_emissao AS DATE) AS dia FROM documentos),
+    parciais AS (SELECT id, CASE WHEN id % 3 <> 1 THEN valor_total END AS valor, CASE WHEN id % 3 <> 2 THEN dia END AS dia FROM alvos),
+    linhas AS (SELECT id, tipo, valor_total, dia + CAST(unnest([-1, 0, 1]) AS INTEGER) AS dia FROM alvos)
+    SELECT p.id, {_BEST} AS alvo_id FROM parciais p JOIN linhas d ON d.dia = p.dia AND abs(d.valor_total - p.valor) <= 2 GROUP BY 1
+    UNION ALL SELECT p.id, {_BEST} FROM parciais p JOIN alvos d ON d.valor_total BETWEEN p.valor - 2 AND p.valor + 2 WHERE p.dia IS NULL GROUP BY 1
+    UNION ALL SELECT p.id, {_BEST} FROM parciais p JOIN linhas d ON d.dia = p.dia WHERE p.valor IS NULL GROUP BY 1"""
+)
 def link_value_date_band_all(spark, sf_dir):
-    """The band linkage with every document as a partial record; without SQL, checked by brute force."""
+    """Every document as a partial record: a third with both, a third with a date alone, a third with a value alone."""
     docs = canonical.documents(spark, sf_dir)
-    partial = docs.select((F.col("id") + 1).alias("id"), "valor_total", "data_emissao")
-    return link.by_value_and_date(partial, docs.withColumn("tipo", F.lit("NFe")), value_band=5)
+    partial = docs.select("id", F.when(F.col("id") % 3 != 1, F.col("valor_total")).alias("valor_total"), F.when(F.col("id") % 3 != 2, F.col("data_emissao")).alias("data_emissao"))
+    return link.by_value_and_date(partial, docs.withColumn("tipo", F.when(F.col("tipo") == "1-URGENT", "NFe").otherwise("pdf")), value_band=2)
 
 
 @query("SELECT doc_id AS id, min(item_id) AS alvo_id FROM (SELECT doc_id, md5(CAST(doc_id % 60 AS VARCHAR)) AS k FROM documents) JOIN (SELECT item_id, md5(CAST(item_id % 45 AS VARCHAR)) AS k FROM benchmark) USING (k) GROUP BY 1", views=False)
@@ -354,7 +364,7 @@ def chunk_800(spark, sf_dir):
     return retrieval.chunked(docs).select(F.col("documento_id").alias("doc_id"), F.col("ordem").cast("long").alias("ordem"), "chunk")
 
 
-def _query_vector() -> list[float]:
+def query_vector() -> list[float]:
     return [((i * 37) % 64 - 32) / 64 for i in range(64)]
 
 
@@ -364,7 +374,7 @@ def _query_vector() -> list[float]:
     views=False,
 )
 def cosine_topk(spark, sf_dir):
-    return retrieval.cosine_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _query_vector(), 6)
+    return retrieval.cosine_top(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_vector(), 6)
 
 
 @query("SELECT documento_id, count(*) AS linhas, sum(valor_total) :: DOUBLE AS total FROM itens GROUP BY 1")
@@ -435,6 +445,24 @@ def ask_price_by_class(spark, sf_dir):
     return answer.frame.select("ncm", "n", *[F.round(c).alias(c) for c in ("p05", "p50", "p95")])
 
 
+@query(
+    """, s AS (SELECT tipo_imposto, avg(CAST(valor AS DOUBLE)) AS m, stddev_samp(CAST(valor AS DOUBLE)) AS sd FROM impostos GROUP BY 1)
+    SELECT tipo_imposto, count(*) AS n, round(max((CAST(valor AS DOUBLE) - m) / sd), 4) AS maior FROM impostos JOIN s USING (tipo_imposto) WHERE abs(round((CAST(valor AS DOUBLE) - m) / sd, 6)) > 3 GROUP BY 1"""
+)
+def ask_tax_outliers(spark, sf_dir):
+    out = ask.analyse(canonical.catalog(spark, sf_dir), "quais impostos estão fora da média?").frame
+    return out.groupBy("tipo_imposto").agg(F.count("*").alias("n"), F.round(F.max("z"), 4).alias("maior"))
+
+
+@query(
+    """, m AS (SELECT emitente_nome, data_emissao[1:7] AS mes, CAST(sum(valor_total) AS DOUBLE) AS total FROM documentos WHERE data_emissao[1:4] = '1996' GROUP BY 1, 2),
+    w AS (SELECT *, avg(total) OVER (PARTITION BY emitente_nome ORDER BY mes ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS mm FROM m)
+    SELECT emitente_nome, mes, total, round(mm, 4) AS media_movel, CASE WHEN mm > 0 THEN round(total / mm - 1, 6) END AS desvio FROM w"""
+)
+def ask_supplier_change(spark, sf_dir):
+    return ask.analyse(canonical.catalog(spark, sf_dir), "variação por fornecedor em 1996").frame
+
+
 @query(_against(12))
 def monthly_yoy(spark, sf_dir):
     return trends.against_before(canonical.documents(spark, sf_dir), 12)

@@ -23,6 +23,10 @@ def _add(name: str, made: str, sql_made: str, sql: str, **columns: Callable[[Col
     QUERIES[name] = (lambda spark, sf_dir: _orders(spark, sf_dir, F.expr(made), **columns), f"WITH t AS (SELECT o_orderkey, {sql_made} AS s FROM orders) SELECT o_orderkey, {sql} FROM t")
 
 
+def _spark_array(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 _K = "cast(o_orderkey as string)"
 _V = "CAST(o_orderkey AS VARCHAR)"
 
@@ -51,26 +55,49 @@ _add("digits", f"concat('A-', {_K}, '/00 x')", f"'A-' || {_V} || '/00 x'", "rege
 _add("tokens", f"concat('  São JOÃO  &  Cia. nº ', {_K}, ' ')", f"'  São JOÃO  &  Cia. nº ' || {_V} || ' '", f"'sao joao cia n ' || {_V} AS t", t=text.word_tokens)
 _add("squeezed", f"concat('  a \\t b\\n', {_K}, ' ')", f"'  a ' || chr(9) || ' b' || chr(10) || {_V} || ' '", "trim(regexp_replace(s, '\\s+', ' ', 'g')) AS t", t=text.squeeze)
 _add("company_suffix", f"concat('Casa ', {_K}, ' Ltda me s/a')", f"'Casa ' || {_V} || ' Ltda me s/a'", f"'Casa ' || {_V} || ' LTDA ME S/A' AS t", t=text.company_name)
+#: Words of payments in text around them; every order has another.
+_SAID = ["Pix", "QR Code", "instantâneo", "Crédito", "credito", "DÉBITO", "debito", "dinheiro", "cash", "Boleto", "cheque", "check", "Transferência", "TED", "doc", "à vista", "A VISTA", "imediato", "parcelado", "a prazo", "crediario", "vale", "x"]
+_ASKED = f"concat('pago ', element_at({_spark_array(_SAID)}, cast(o_orderkey % {len(_SAID)} + 1 as int)), ' n ', {_K})"
+_ASKED_SQL = f"'pago ' || ({_SAID})[CAST(o_orderkey % {len(_SAID)} + 1 AS INT)] || ' n ' || {_V}"
 _add(
     "payment_class",
-    "element_at(array('Pix QR', 'cartão de crédito', 'Débito em conta', 'dinheiro', 'boleto bancário', 'cheque', 'TED', 'outra coisa'), cast(o_orderkey % 8 + 1 as int))",
-    "(['Pix QR', 'cartão de crédito', 'Débito em conta', 'dinheiro', 'boleto bancário', 'cheque', 'TED', 'outra coisa'])[CAST(o_orderkey % 8 + 1 AS INT)]",
-    "(['PIX', 'CARTAO_CREDITO', 'CARTAO_DEBITO', 'DINHEIRO', 'BOLETO', 'CHEQUE', 'TRANSFERENCIA', 'OUTRO'])[CAST(o_orderkey % 8 + 1 AS INT)] AS p",
+    _ASKED,
+    _ASKED_SQL,
+    "CASE WHEN regexp_matches(lower(s), 'pix|qr|instant[aâ]neo') THEN 'PIX' WHEN regexp_matches(lower(s), 'cr[eé]dito') THEN 'CARTAO_CREDITO' WHEN regexp_matches(lower(s), 'd[eé]bito') THEN 'CARTAO_DEBITO'"
+    " WHEN regexp_matches(lower(s), 'dinheiro|cash') THEN 'DINHEIRO' WHEN lower(s) LIKE '%boleto%' THEN 'BOLETO' WHEN regexp_matches(lower(s), 'che(que|ck)') THEN 'CHEQUE'"
+    " WHEN regexp_matches(lower(s), 'transfer|ted|doc') THEN 'TRANSFERENCIA' ELSE 'OUTRO' END AS p",
     p=fiscal.payment_means,
 )
+_add(
+    "payment_terms",
+    _ASKED,
+    _ASKED_SQL,
+    "CASE WHEN regexp_matches(lower(s), 'avista|[aà] vista|cash|imediat') THEN 'A_VISTA' WHEN regexp_matches(lower(s), 'parcel|a prazo|crediario') THEN 'PARCELADO' ELSE upper(s) END AS p",
+    p=fiscal.payment_terms,
+)
+_add(
+    "card_brand",
+    f"case o_orderkey % 4 when 0 then concat(' American  ', {_K}) when 1 then concat('mastercard ', {_K}) when 2 then concat(' Visa  ', {_K}) else '' end",
+    f"CASE o_orderkey % 4 WHEN 0 THEN ' American  ' || {_V} WHEN 1 THEN 'mastercard ' || {_V} WHEN 2 THEN ' Visa  ' || {_V} ELSE '' END",
+    "CASE WHEN s = '' THEN '' WHEN contains(upper(s), 'AMERICAN') THEN 'AMERICAN EXPRESS' WHEN contains(upper(s), 'MASTER') THEN 'MASTERCARD' ELSE upper(trim(regexp_replace(s, ' +', ' ', 'g'))) END AS b",
+    b=fiscal.card_brand,
+)
+_UNITS = [*fiscal.REGIONS, "XX", "ZZ", "QQ"]
+_CITY = "concat('Vila ', translate({k}, '0123456789', 'abcdefghij'), element_at(array('/', ' - ', ', ', ' '), cast(o_orderkey % 4 + 1 as int)), element_at({units}, cast(o_orderkey % {n} + 1 as int)))"
 _add(
     "city_region_split",
-    "element_at(array('São Paulo/SP', 'Rio de Janeiro - rj', 'Belo Horizonte, MG', 'Curitiba PR', 'Lugar XX'), cast(o_orderkey % 5 + 1 as int))",
-    "(['a', 'b', 'c', 'd', 'e'])[CAST(o_orderkey % 5 + 1 AS INT)]",
-    "(['São Paulo', 'Rio de Janeiro', 'Belo Horizonte', 'Curitiba', NULL])[CAST(o_orderkey % 5 + 1 AS INT)] AS c, (['SP', 'RJ', 'MG', 'PR', NULL])[CAST(o_orderkey % 5 + 1 AS INT)] AS u",
+    _CITY.format(k=_K, units=_spark_array([u.lower() if i % 3 == 0 else u for i, u in enumerate(_UNITS)]), n=len(_UNITS)),
+    f"'Vila ' || translate({_V}, '0123456789', 'abcdefghij') || (['/', ' - ', ', ', ' '])[CAST(o_orderkey % 4 + 1 AS INT)] || ({[u.lower() if i % 3 == 0 else u for i, u in enumerate(_UNITS)]})[CAST(o_orderkey % {len(_UNITS)} + 1 AS INT)]",
+    f"CASE WHEN upper(right(s, 2)) IN ({str(list(fiscal.REGIONS))[1:-1]}) THEN regexp_replace(left(s, -2), '[ /,-]+$', '') END AS c, CASE WHEN upper(right(s, 2)) IN ({str(list(fiscal.REGIONS))[1:-1]}) THEN upper(right(s, 2)) END AS u",
     c=fiscal.city_of,
     u=fiscal.region_of,
 )
+_CODES = "map {" + ", ".join(f"'{code}': '{unit}'" for code, unit in fiscal.REGION_CODES.items()) + "}"
 _add(
     "region_from_code",
-    "concat(element_at(array('35', '33', '31', '99', '53'), cast(o_orderkey % 5 + 1 as int)), lpad(cast(o_orderkey as string), 42, '0'))",
-    "([ '35', '33', '31', '99', '53'])[CAST(o_orderkey % 5 + 1 AS INT)] || lpad(CAST(o_orderkey AS VARCHAR), 42, '0')",
-    "(['SP', 'RJ', 'MG', NULL, 'DF'])[CAST(o_orderkey % 5 + 1 AS INT)] AS u, (['SP', 'RJ', 'MG', NULL, 'DF'])[CAST(o_orderkey % 5 + 1 AS INT)] AS c",
+    f"concat(lpad(cast(o_orderkey % 100 as string), 2, '0'), lpad({_K}, 42, '0'))",
+    f"lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || lpad({_V}, 42, '0')",
+    f"({_CODES})[s[1:2]] AS u, ({_CODES})[s[1:2]] AS c",
     u=fiscal.region_of_key,
     c=fiscal.region_of_city_code,
 )

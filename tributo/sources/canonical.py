@@ -68,7 +68,15 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _read(spark, sf_dir, "events")
+    return _metric_rows(_read(spark, sf_dir, "events"))
+
+
+def metric_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """metrics as a stream of the events' files, one a batch; the pattern lets the table be a file or a folder."""
+    return _metric_rows(spark.readStream.schema(_SCHEMAS["events"]).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]"))
+
+
+def _metric_rows(events: DataFrame) -> DataFrame:
     flag = lambda t: (F.col("event_type") == t).cast("double")
     return events.select(F.col("event_id").alias("id"), F.col("event_type").alias("tipo_documento"), F.col("value").alias("acuracia_media"), flag("view").alias("taxa_revisao"), flag("error").alias("taxa_erro"), (F.col("value") / 10).alias("tempo_medio"), F.col("ts").alias("registrado_em"))
 
