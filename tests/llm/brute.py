@@ -228,4 +228,18 @@ def contamination(x: str | None, items: list[tuple[int, str]], window: int = 8,
                         changed = any(u[1] != v[1] for u, v in zip(a, b, strict=True))
                         places = hits.setdefault(item, {})
                         places[q] = places.get(q, True) and changed
+            for p, m in _stretches(theirs, window, literals):
+                for q, k in _stretches(own, window, literals):
+                    a, b = theirs[p : p + m], own[q : q + k]
+                    there = {}
+                    if m == k and all(u[0] == v[0] for u, v in zip(a, b, strict=True)) and all(there.setdefault(u[1], v[1]) == v[1] for u, v in zip(a, b, strict=True)):
+                        changed = any(u[1] != v[1] for u, v in zip(a, b, strict=True))
+                        places = hits.setdefault(item, {})
+                        places[q] = places.get(q, True) and changed
     return bool(hits), sorted(hits), sum(map(len, hits.values())), any(any(p.values()) for p in hits.values())
+
+
+def _stretches(own: list[tuple], window: int, literals: int) -> list[tuple[int, int]]:
+    """Start and length of what reaches from a literal unit to the literals-th, where that is longer than a window."""
+    at = [i for i, u in enumerate(own) if not u[2]]
+    return [(a, b - a + 1) for a, b in zip(at, at[literals - 1 :], strict=False) if b - a >= window]

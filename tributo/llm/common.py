@@ -96,26 +96,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Bits of a filter over hashes; of fixed size, 2 MB, and full at some ten million of them: it only saves work.
-FILTER_BITS = 1 << 24
+#: Bits of a filter for each of the hashes expected in it, and bounds of its size: 128 KB, and 32 MB, which some thirty
+#: million hashes fill; beyond that it lets more and more through, and only saves less work.
+BITS_EACH, LEAST_BITS, MOST_BITS = 8, 20, 28
 
 
-def bit_filter(rows: DataFrame, h: Column):
-    """A bit for each hash h of rows, as an array of 64-bit words; the driver gets FILTER_BITS bits at most."""
+def bit_filter(rows: DataFrame, h: Column, expected: int):
+    """A bit for each hash h of rows, as an array of 64-bit words whose size goes by the number expected, within bounds."""
     import numpy as np
 
-    place = F.pmod(h, F.lit(FILTER_BITS))
-    got = rows.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[got["w"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    size = 1 << min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * max(1, expected) - 1).bit_length()))
+    place = F.pmod(h, F.lit(size))
+    got = rows.select(place.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).select(F.col("w").cast("int").alias("w"), "bits").toArrow()
+    out = np.zeros(size // 64, np.int64)
+    for part in got.to_batches():
+        out[np.asarray(part.column("w"))] = np.asarray(part.column("bits"))
     return out.view(np.uint64)
 
 
 def passes(bits, h):
-    """Which of the hashes may be in the filter. h: 64 bits each, or places below FILTER_BITS."""
+    """Which of the 64-bit hashes may be in the filter."""
     import numpy as np
 
-    place = h.view(np.uint64) & np.uint64(FILTER_BITS - 1)
+    place = h.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 

@@ -103,8 +103,26 @@ def windows(t: Template, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(template, mix(h), mix(exact ^ np.uint64(0xE7037ED1A0B428DB))), inside
 
 
+def spans(t: Template, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of the stretches of more than ``window`` units from a literal unit to the LITERALS-th.
+
+    Where slots stand so dense that windows hold too few literals, these have as many, however long they are; they go by
+    their template. There is one a literal unit at most.
+    """
+    literal = np.flatnonzero(~t.slot)
+    start, last = literal[: max(0, len(literal) - LITERALS + 1)], literal[LITERALS - 1 :]
+    keep = (last - start >= window) & (t.row[start] == t.row[last])
+    start, length = start[keep], (last - start)[keep] + 1
+    if not len(start):
+        return np.zeros(0, np.uint64), start, length
+    base = 0xD6E8FEB86659FD93
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t.canonical * powers(len(t.canonical), base), dtype=np.uint64)])
+    back = powers(int(start.max()) + 1, pow(base, -1, 1 << 64))
+    return mix((sums[start + length] - sums[start]) * back[start] + length.astype(np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)), start, length
+
+
 def _of_items(window: int):
-    """The windows of benchmark items, one row each: h, n, item_id, raw (its units' raw hashes)."""
+    """The windows of benchmark items, one row each: h, n (0: a stretch), item_id, raw (its units' raw hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -119,19 +137,23 @@ def _of_items(window: int):
                         at = np.flatnonzero(inside & ((size[t.row[: len(h)]] == n) if n < window else True))
                         raw = [t.raw[i : i + n].view(np.int64) for i in at]
                         yield pa.record_batch({"h": h[at].view(np.int64), "n": np.full(len(at), n, np.int32), "item_id": ids[t.row[at]], "raw": pa.array(raw, pa.list_(pa.int64()))})
+                    h, at, n = spans(t, window)
+                    raw = [t.raw[i : i + m].view(np.int64) for i, m in zip(at, n, strict=True)]
+                    yield pa.record_batch({"h": h.view(np.int64), "n": np.zeros(len(at), np.int32), "item_id": ids[t.row[at]], "raw": pa.array(raw, pa.list_(pa.int64()))})
 
     return run
 
 
 class Index:
-    """The benchmark's windows as a table, a filter of fixed size over their hashes, and the window lengths that occur."""
+    """The benchmark's windows as a table, a filter over their hashes, the window lengths that occur, and whether stretches do."""
 
     def __init__(self, benchmark: DataFrame, window: int):
         items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
         # The two readings of an item's first word give most windows twice.
         self.table = cut(map_arrow(items, _of_items(window), "h long, n int, item_id long, raw array<long>").distinct())
-        self.lengths = sorted(r.n for r in self.table.select("n").distinct().collect())
-        self.sent = benchmark.sparkSession.sparkContext.broadcast(bit_filter(self.table, F.col("h")))
+        counts = {r.n: r["count"] for r in self.table.groupBy("n").count().collect()}
+        self.lengths, self.dense = sorted(n for n in counts if n), 0 in counts
+        self.sent = benchmark.sparkSession.sparkContext.broadcast(bit_filter(self.table, F.col("h"), sum(counts.values())))
 
 
 def _row(docs: DataFrame) -> list[Column]:
@@ -142,7 +164,12 @@ def _row(docs: DataFrame) -> list[Column]:
 def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     """_a, _b, item_id, at, changed: windows of texts, by name and place, that are one of an item's with consistent slots."""
     index = Index(benchmark, window)
-    sent, lengths = index.sent, index.lengths
+    sent, lengths, dense = index.sent, index.lengths, index.dense
+
+    def told(batch: pa.RecordBatch, t: Template, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        row = pa.array(t.row[at])
+        raw = [t.raw[i : i + m].view(np.int64) for i, m in zip(at, n, strict=True)]
+        return pa.record_batch({"_a": batch.column("_a").take(row), "_b": batch.column("_b").take(row), "at": at.astype(np.int64) - np.searchsorted(t.row, t.row[at]), "h": h.view(np.int64), "own": pa.array(raw, pa.list_(pa.int64()))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
@@ -153,9 +180,11 @@ def _hits(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
                     h, inside = windows(t, n)
                     at = np.flatnonzero(inside & passes(bits, h))
                     if len(at):
-                        row = pa.array(t.row[at])
-                        raw = [t.raw[i : i + n].view(np.int64) for i in at]
-                        yield pa.record_batch({"_a": batch.column("_a").take(row), "_b": batch.column("_b").take(row), "at": at.astype(np.int64) - np.searchsorted(t.row, t.row[at]), "h": h[at].view(np.int64), "own": pa.array(raw, pa.list_(pa.int64()))})
+                        yield told(batch, t, h[at], at, np.full(len(at), n))
+                if dense:
+                    h, at, n = spans(t, window)
+                    if (found := passes(bits, h)).any():
+                        yield told(batch, t, h[found], at[found], n[found])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     met = map_arrow(docs.select(*_row(docs), text), run, "_a long, _b long, at long, h long, own array<long>")
@@ -172,13 +201,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     A document is contaminated if a window of template units is also one of a benchmark item and the slots fit: a value
     of the item must be one value in the document's window; different ones may become equal, and each window is judged
     by itself. reparameterised says that some value then differs. Windows with few literals must have the item's own
-    words. An item of fewer units than a window is one window; one of fewer than WHOLE units is too common to be told
+    words; where slots are dense, stretches of as many literals as a window needs, and all that lies between them, count
+    as windows too, however long. An item of few literals as a whole is found in its own words alone. An item of fewer units than a window is one window; one of fewer than WHOLE units is too common to be told
     from other text and matches only texts of these units alone. Letters of scripts without blanks are units each.
 
     Null and empty documents are clean, null and empty items never match, items with one text are reported each, and a
     null item_id is left out. Repeated rows get the same values each. Very long texts are split between words.
 
-    Windows that pass a filter of fixed size are joined by hash with the table of all items' windows, so the benchmark
+    Windows that pass a filter sized by the benchmark's are joined by hash with the table of all items' windows, so the benchmark
     may be of any size.
     """
     hits = _hits(docs, benchmark, window)

@@ -187,6 +187,7 @@ class NearDuplicates:
         self.signed = cut(map_arrow(texts(docs, row.alias("row")), _signed(k), f"doc_id long, row {ROW}, n long, node long, small binary, large binary"))
         # Copies with one set are one node; partial aggregation settles large groups where they lie.
         self.nodes = cut(self.signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("small").alias("small"), F.first("large").alias("large")))
+        self.count = self.nodes.count()
         keyed = map_arrow(self.nodes.select("node", "small", "large"), _bands, "key long, band int, node long")
         shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).where("size > 1")
         self.buckets = cut(keyed.join(shared.select("key", "first"), "key"))
@@ -200,7 +201,7 @@ class NearDuplicates:
     def sets(self, ids: DataFrame) -> DataFrame:
         """node and its full set, read again from the texts of the nodes in ids alone."""
         wanted = self.nodes.select("node", "doc_id").join(ids, "node")
-        sent = self.docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.xxhash64("doc_id")))
+        sent = self.docs.sparkSession.sparkContext.broadcast(bit_filter(wanted, F.xxhash64("doc_id"), self.count))
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
