@@ -85,9 +85,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 for vectors of different length, without values or of length zero."""
+    """0 for vectors of different length, without values, of length zero or not finite."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.coalesce(F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm), F.lit(0.0))
+    return F.coalesce(F.when((F.size(a) == F.size(b)) & (norm > 0) & (norm < float("inf")), dot(a, b) / norm), F.lit(0.0))
 
 
 def chunks(c: Column, size: int = 800) -> Column:

@@ -90,8 +90,10 @@ def without_sparse(df: DataFrame, least: float = 0.05, keep: tuple[str, ...] = (
 
 
 def capped(df: DataFrame, rows: int = 5_000, columns: int = 50) -> DataFrame:
-    """At most so many rows and columns for display; a blank column name becomes col_i."""
-    names = [c if c.strip() else f"col_{i}" for i, c in enumerate(df.columns)]
+    """At most so many rows and columns for display; a blank column name becomes col_i, and one that comes again gets its place as well."""
+    names: list[str] = []
+    for i, c in enumerate(df.columns):
+        names.append(f"col_{i}" if not c.strip() else f"{c}_{i}" if c.lower() in [n.lower() for n in names] else c)
     return df.toDF(*names).select(*[F.col(f"`{c}`") for c in names[:columns]]).limit(rows)
 
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import nested
 
@@ -19,7 +20,7 @@ SLACK = 2e-6
 
 def centroids(vectors: DataFrame, cells: int, *, column: str = "embedding", key: str = "vec_id", seed: int = 3) -> np.ndarray:
     """Unit directions fitted to a sample of bounded size, chosen by a hash of the key; those that lose all vectors go."""
-    usable = vectors.where(_length(F.col(column)) > 0)
+    usable = vectors.where(_scores(F.col(column)))
     total = usable.count()
     share = min(1.0, 0.9 * SAMPLE / max(1, total))
     chosen = usable.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 20)) < int((1 << 20) * share)).limit(SAMPLE)
@@ -44,36 +45,45 @@ def _length(v: Column) -> Column:
     return F.sqrt(nested.dot(v, v))
 
 
+def _scores(v: Column) -> Column:
+    return F.coalesce((_length(v) > 0) & (_length(v) < float("inf")), F.lit(False))
+
+
 @dataclass
 class InvertedFile:
     """Where the cells are, their centroids, and a row a cell: how many vectors, and the widest angle to its centroid.
 
-    Vectors that have no angle to the centroids (of another length, or not finite) are in cell -1, which is always read;
-    null vectors and those of length zero score nothing and are left out.
+    Vectors of another length than the centroids are in cell -1, which is always read; null vectors, those of length zero
+    and those that aren't finite score nothing and are left out.
     """
 
     path: str
+    schema: StructType
     centroids: np.ndarray
     counts: dict[int, int]
     angles: dict[int, float]
 
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
+
 
 def build(vectors: DataFrame, path: str, *, cells: int = 64, column: str = "embedding", key: str = "vec_id") -> InvertedFile:
     """Writes the vectors in folders by cell, each to the centroid that it is most alike to."""
     c = centroids(vectors, cells, column=column, key=key)
     size = c.shape[1] if len(c) else 0
     lit = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in c]) if len(c) else F.array().cast("array<array<double>>")
-    norm = _length(F.col(column))
-    rows = vectors.select(key, column).withColumn("_norm", norm).where(F.coalesce(norm, F.lit(0.0)) > 0)
+    rows = vectors.select(key, column).where(_scores(F.col(column))).withColumn("_norm", _length(F.col(column)))
     likeness = F.transform(lit, lambda row: nested.dot(F.col(column), row) / F.col("_norm"))
-    usable = (F.size(column) == size) & (F.col("_norm") < float("inf")) & ~F.isnan("_norm")
+    usable = F.size(column) == size
     placed = rows.withColumn("_like", F.when(usable, likeness)).withColumn("_most", F.array_max("_like"))
     cell = F.when(usable, F.array_position("_like", F.col("_most")) - 1).otherwise(-1).cast("int")
     placed = placed.select(key, column, F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "_most"))).alias("_angle"), cell.alias("_cell"))
     # Cells of many vectors are several files: a hash of the key parts them, so no cell is one task.
     placed.repartition("_cell", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("_cell").parquet(path)
-    told = vectors.sparkSession.read.parquet(path).groupBy("_cell").agg(F.count("*").alias("n"), F.max("_angle").alias("angle")).collect()
-    return InvertedFile(path, c, {r["_cell"]: r["n"] for r in told}, {r["_cell"]: r["angle"] for r in told})
+    index = InvertedFile(path, placed.schema, c, {}, {})
+    for r in index.rows(vectors.sparkSession).groupBy("_cell").agg(F.count("*").alias("n"), F.max("_angle").alias("angle")).collect():
+        index.counts[r["_cell"]], index.angles[r["_cell"]] = r["n"], r["angle"]
+    return index
 
 
 def bounds(index: InvertedFile, query: list[float]) -> dict[int, float]:
@@ -107,7 +117,7 @@ def plan(spark: SparkSession, index: InvertedFile, query: list[float], k: int, *
 
 def _scored(spark: SparkSession, index: InvertedFile, cells: list[int], query: list[float], column: str, key: str) -> DataFrame:
     score = nested.cosine(F.col(column), F.array(*[F.lit(float(x)) for x in query]))
-    rows = spark.read.parquet(index.path).where(F.col("_cell").isin(cells))
+    rows = index.rows(spark).where(F.col("_cell").isin(cells))
     return rows.select(key, F.round(score, 6).alias("score")).where("score > 0").orderBy(F.desc("score"), key)
 
 
@@ -115,5 +125,5 @@ def cosine_top(spark: SparkSession, index: InvertedFile, query: list[float], k:
     """retrieval.cosine_top over an inverted file: the same rows, read from the folders of the cells that ``plan`` names alone."""
     k = max(1, k)
     if not index.counts:
-        return spark.read.parquet(index.path).select(key, F.lit(0.0).alias("score")).limit(0)
+        return index.rows(spark).select(key, F.lit(0.0).alias("score")).limit(0)
     return _scored(spark, index, plan(spark, index, query, k, column=column, key=key), query, column, key).limit(k)

@@ -222,6 +222,72 @@ def validate_documents(spark, sf_dir):
     return out.select("id", "confianca", "validacao", F.array_join("erros", ",").alias("erros"), F.array_join("avisos", ",").alias("avisos"), "reprocessar", "novo_status")
 
 
+@query(
+    """, l AS (
+        SELECT l_orderkey AS id, count(*) AS n, bool_or(l_partkey % 40 = 0) AS cfop, bool_or(l_partkey % 40 = 1) AS seis, bool_or(l_partkey % 40 > 1) AS cinco,
+               bool_or(l_suppkey % 30 = 0) AS forma, bool_or(l_suppkey % 30 = 1) AS fora, bool_or(l_partkey % 35 = 0) AS cst FROM lineitem GROUP BY 1
+    ), d AS (
+        SELECT m.id, n IS NOT NULL AS tem, cfop, forma, fora, cst, m.id % 6 <> 0 AS uf, m.id % 8 <> 0 AS municipio, m.id % 10 <> 0 AS endereco, m.id % 6 = 0 OR m.id % 7 = 0 AS chave, m.id % 11 <> 0 AS icms,
+               CASE WHEN m.id % 6 = 0 OR m.id % 9 = 0 THEN cinco ELSE seis END AS cruza FROM m LEFT JOIN l ON m.id = l.id
+    ), e AS (
+        SELECT *, round((1 + uf::INT + municipio::INT + endereco::INT + CASE WHEN tem THEN 4 + icms::INT ELSE 0 END) / (4.0 + chave::INT + CASE WHEN tem THEN 5 ELSE 0 END), 4) AS confianca,
+               concat_ws(',', CASE WHEN NOT uf THEN 'uf' END, CASE WHEN chave THEN 'uf_chave' END, CASE WHEN tem AND NOT icms THEN 'total_icms' END, CASE WHEN cfop THEN 'cfop' END, CASE WHEN forma THEN 'ncm' END,
+                         CASE WHEN cst THEN 'cst_icms' END, CASE WHEN cruza THEN 'cfop_uf' END, CASE WHEN NOT tem THEN 'obrigatorios' END) AS erros,
+               NOT tem OR coalesce(cruza, FALSE) OR chave AS estrutural FROM d
+    ), f AS (SELECT *, CASE WHEN erros = '' THEN 'valido' WHEN confianca >= 0.6 THEN 'parcial' ELSE 'invalido' END AS validacao FROM e)
+    SELECT id, confianca, validacao, erros, concat_ws(',', CASE WHEN NOT municipio THEN 'municipio' END, CASE WHEN NOT endereco THEN 'endereco' END, CASE WHEN fora THEN 'ncm' END) AS avisos,
+           estrutural OR (validacao <> 'valido' AND confianca < 0.65) AS reprocessar FROM f"""
+)
+def validate_codes_and_taxes(spark, sf_dir):
+    """The rule engine with codes, classes and taxes that vary by line, and regions, keys, places and tax totals by document."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    k, part, supplier = F.col("id"), F.col("l_partkey"), F.col("l_suppkey")
+    money = F.col("l_extendedprice").cast("decimal(18,2)")
+    tax = F.round(money * F.col("l_tax").cast("decimal(9,4)"), 2).cast("decimal(18,2)")
+    items = lines.select(
+        F.xxhash64(*lines.columns).alias("id"), F.col("l_orderkey").alias("documento_id"), F.when(part % 40 == 0, "9999").when(part % 40 == 1, "6108").otherwise("5102").alias("cfop"),
+        F.when(supplier % 30 == 0, "123").when(supplier % 30 == 1, "84713019").otherwise("22030000").alias("ncm"), money.alias("valor_total"),
+    )
+    situation = F.when(part % 35 == 0, "77").when(part % 35 == 1, "102").otherwise("00").alias("cst")
+    taxes = lines.select(F.xxhash64(*lines.columns).alias("item_id"), F.lit("ICMS").alias("tipo_imposto"), situation, F.col("l_tax").cast("decimal(18,4)").alias("aliquota"), tax.alias("valor")).withColumn("id", F.col("item_id"))
+    sums = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.sum(money).alias("soma"), F.sum(tax).alias("icms"))
+    key = F.concat(F.when(k % 7 == 0, "33").otherwise("35"), F.lpad("k", 42, "0"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("emitente_cpf", "destinatario_cnpj", "destinatario_cpf", "destinatario_municipio", "destinatario_endereco")]
+    docs = _orders(spark, sf_dir).join(sums, "id", "left").select(
+        "id", F.lit("NFe").alias("tipo"), F.lit("processando").alias("status"), F.lit("11222333000181").alias("emitente_cnpj"), *none, F.when(k % 6 == 0, "XX").otherwise("SP").alias("emitente_uf"),
+        F.when(k % 9 == 0, "RJ").otherwise("SP").alias("destinatario_uf"), F.when(k % 8 != 0, "Santos").alias("emitente_municipio"), F.when(k % 10 != 0, "Rua A").alias("emitente_endereco"), key.alias("chave_acesso"),
+        F.col("d").alias("data_emissao"), F.col("soma").cast("decimal(18,2)").alias("valor_total"), (F.col("icms") + F.when(k % 11 == 0, 5000).otherwise(0)).cast("decimal(18,2)").alias("total_icms"),
+        *[F.lit(None).cast("decimal(18,2)").alias(f"total_{c}") for c in ("servicos", "ipi", "pis", "cofins")],
+    )
+    out = validate.validate(docs, items, taxes, rules.dimension(spark), spark.createDataFrame([("22030000",)], "codigo string"))
+    return out.select("id", "confianca", "validacao", F.array_join("erros", ",").alias("erros"), F.array_join("avisos", ",").alias("avisos"), "reprocessar")
+
+
+@query(
+    "SELECT id, "
+    + ", ".join([f"d AS {c}" for c in normalize.DATES] + [f"CAST(v AS DOUBLE) AS {c}" for c in normalize.VALUES] + [f"{'p' if c.endswith('cpf') else 'c'} AS {c}" for c in normalize.TAX_IDS])
+    + ", CASE WHEN id % 2 = 0 THEN 'Santos' ELSE 'x' END AS municipio, CASE WHEN id % 2 = 0 THEN 'SP' END AS uf, 'Rua ' || k AS endereco FROM m"
+)
+def normalised_all_fields(spark, sf_dir):
+    """All dates, values and ids of the normaliser, each written in another way, and the place that a city carries."""
+    day = [F.date_format(F.to_date("d"), f) for f in ("dd/MM/yyyy", "yyyy/MM/dd", "'em 'yyyy-MM-dd", "dd-MM-yyyy", "yyyy-MM-dd'T'HH:mm:ss")]
+    comma = F.replace("v", F.lit("."), F.lit(","))
+    grouped = F.translate(F.format_number(F.col("v").cast("decimal(18,2)"), 2), ",.", ".,")
+    value = [F.concat(F.lit("R$ "), grouped), comma, F.concat(F.lit(" "), F.col("v"), F.lit(" "))]
+    cut = lambda c, *at: F.concat_ws("", *[x for a, b, mark in at for x in (F.substring(c, a, b), F.lit(mark))])
+    ids = {True: cut("p", (1, 3, "."), (4, 3, "."), (7, 3, "-"), (10, 2, " ")), False: cut("c", (1, 2, "."), (3, 3, "."), (6, 3, "/"), (9, 4, "-"), (13, 2, ""))}
+    raw = _orders(spark, sf_dir).select(
+        "id",
+        *[day[i % 5].alias(c) for i, c in enumerate(normalize.DATES)],
+        *[value[i % 3].alias(c) for i, c in enumerate(normalize.VALUES)],
+        *[ids[c.endswith("cpf")].alias(c) for c in normalize.TAX_IDS],
+        F.when(F.col("id") % 2 == 0, "Santos / sp").otherwise(" x ").alias("municipio"),
+        F.concat(F.lit("  Rua   "), "k").alias("endereco"),
+        F.lit(None).cast("string").alias("uf"),
+    )
+    return normalize.normalise(raw).select("id", *normalize.DATES, *normalize.VALUES, *normalize.TAX_IDS, "municipio", "uf", "endereco")
+
+
 @query(
     """SELECT -id AS id, id AS alvo_id, CASE WHEN id % 2 = 0 THEN 'chave' ELSE 'nenhum' END AS por, CASE WHEN id % 2 = 0 THEN 1.0 ELSE 0.0 END AS match_score, CASE WHEN id % 2 = 0 AND id % 3 <> 0 THEN 'Casa ' || k WHEN id % 3 = 0 THEN 'Outra' END AS emitente_nome FROM m WHERE id % 2 = 0
     UNION ALL SELECT -id, NULL, 'nenhum', 0.0, CASE WHEN id % 3 = 0 THEN 'Outra' END FROM m WHERE id % 2 = 1"""

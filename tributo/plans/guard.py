@@ -35,7 +35,7 @@ EXPRESSIONS = frozenset(
     # Windows and order.
     " WindowExpression WindowSpecDefinition SpecifiedWindowFrame UnspecifiedFrame$ CurrentRow$ UnboundedPreceding$ UnboundedFollowing$ RowNumber Rank DenseRank PercentRank CumeDist NTile Lag Lead NthValue SortOrder"
     # Subqueries; their plans are walked as well.
-    " ScalarSubquery Exists ListQuery InSubquery LateralSubquery PromotePrecision".split()
+    " ScalarSubquery Exists ListQuery InSubquery LateralSubquery PromotePrecision With CommonExpressionDef CommonExpressionRef TypedNullLiteral".split()
 )
 
 

@@ -25,16 +25,24 @@ def defaults() -> dict[str, dict[str, str]]:
     return {name: dict.fromkeys(codes, "") for name, codes in sections.items()}
 
 
+def _read(path: str) -> dict:
+    """The file's sections; none if it is missing, isn't YAML or holds anything else."""
+    try:
+        import yaml
+    except ImportError:
+        return {}
+    try:
+        loaded = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    except (OSError, ValueError, yaml.YAMLError):
+        return {}
+    return loaded if isinstance(loaded, dict) else {}
+
+
 def load(path: str | None = None) -> dict[str, dict[str, str]]:
     """Rules from a YAML file with the sections of defaults(); a missing file or section counts as empty, no path gives the defaults."""
     if path is None:
         return defaults()
-    try:
-        import yaml
-
-        loaded = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    except (ImportError, OSError, ValueError):
-        loaded = {}
+    loaded = _read(path)
     out = {k: {str(a): str(b) for a, b in (loaded.get(k) or {}).items()} for k in ("cfop", "cst_icms", "csosn_icms", "ncm")}
     return out | {"uf": {str(u): str(u) for u in loaded.get("ufs_validas") or ()}}
 

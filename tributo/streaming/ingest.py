@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.ingest import ingest
-from ..sources.schema import schema_of
+from ..sources.ledger import Ledger
 
 TABLES = ("documentos", "itens", "impostos", "documentos_detalhes", "extracoes", "metricas", "metricas_agente", "logs")
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -20,24 +20,22 @@ def file_stream(spark: SparkSession, path: str, *, delay: str = "1 day", pattern
     return named.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["hash"])
 
 
-def run_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Ingests what has arrived and stops. A batch that is run again writes the same files of its own number again."""
+def run_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, *, buckets: int = 64) -> StreamingQuery:
+    """Ingests what has arrived and stops. A batch that is run again writes the same files of its own number again.
+
+    Files that came before are told by the ledger of their hashes, beside the tables; documents are never read again.
+    """
+    ledger = Ledger(spark, f"{target}/hashes", buckets=buckets)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        files = batch.drop("modificationTime").persist()
+        fresh = ledger.fresh(batch.drop("modificationTime"), before=epoch).persist()
         try:
-            known = None
-            if epoch:
-                try:
-                    known = spark.read.schema(schema_of("documentos")).parquet(f"{target}/documentos").where(F.col("_epoch") < epoch)
-                except Exception as missing:  # noqa: BLE001 - the table's first rows are still to come
-                    if "PATH_NOT_FOUND" not in str(missing):
-                        raise
-            for name, rows in ingest(files, known).items():
+            for name, rows in ingest(fresh).items():
                 if name in TABLES:
                     rows.write.mode("overwrite").parquet(f"{target}/{name}/_epoch={epoch}")
+            ledger.add(fresh, epoch)
         finally:
-            files.unpersist()
+            fresh.unpersist()
 
     return file_stream(spark, source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
