@@ -58,7 +58,7 @@ def test_band_links_of_all_documents(spark, sf_dir):
     for r in docs:
         by_day[r.dia].append(r)
     near = lambda r: [x.id for d in (-1, 0, 1) for x in by_day[r.dia + timedelta(d)] if abs(x.valor_total - r.valor_total) <= 5]
-    got = {r.id: r.alvo_id for r in registry.queries()["link_value_date_band_all"](spark, sf_dir).collect()}
+    got = {r.id: r.alvo_id for r in registry.queries()["link_value_date_band"](spark, sf_dir).collect()}
     assert got == {r.id + 1: min(near(r)) for r in docs} and len(got) == len(docs)
 
 
@@ -67,7 +67,7 @@ def test_text_blocks_of_all_sources(spark, sf_dir):
     for r in registry.queries()["text_blocks_all"](spark, sf_dir).collect():
         got[r.source, r.documento_id] += len(r.texto.split("\n"))
     want = Counter()
-    for source, rows in (("detalhes", canonical.details), ("itens", canonical.items), ("impostos", canonical.taxes)):
+    for source, rows in (("detalhes", canonical.details), ("itens", canonical.items), ("impostos", canonical.item_values)):
         want.update((source, r.documento_id) for r in rows(spark, sf_dir).select("documento_id").collect())
     assert got == want and {s for s, _ in got} == {"detalhes", "itens", "impostos"}
 
@@ -75,3 +75,22 @@ def test_text_blocks_of_all_sources(spark, sf_dir):
 def test_entry(spark):
     assert len(entry.entry(spark).collect()) == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_pages_that_parse_are_read_and_others_are_kept_as_invalid(spark, sf_dir):
+    """What the strict parser of the standard library takes is read; what is no markup at all is registered as invalid."""
+    from xml.etree import ElementTree
+
+    pages = {str(r.page_id): r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = {r.nome_arquivo: r.status for r in registry.queries()["html_wellformed"](spark, sf_dir).collect()}
+    assert got.keys() == pages.keys()
+
+    def strict(text):
+        try:
+            ElementTree.fromstring(text)
+        except (ElementTree.ParseError, TypeError):
+            return False
+        return True
+
+    told = {(strict(pages[k]), s) for k, s in got.items()}
+    assert all(not ok or s != "erro" for ok, s in told) and len({s for _, s in told}) >= 1

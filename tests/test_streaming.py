@@ -19,7 +19,18 @@ def test_files_arrive_once(spark, tmp_path):
     kinds = sorted(r.tipo for r in spark.read.parquet(f"{target}/documentos").collect())
     assert kinds == ["CF-e", "NFe"]
     assert spark.read.parquet(f"{target}/itens").count() == 3
-    assert sorted(r.tipo_documento for r in spark.read.parquet(f"{target}/metricas").collect()) == ["CF-e", "NFe"]
+    rows = lambda table: spark.read.parquet(f"{target}/{table}").collect()
+    documents = {r.id: r for r in rows("documentos")}
+    metrics = {r.id: r for r in rows("metricas")}
+    assert metrics.keys() == documents.keys() and all(m.tipo_documento == documents[i].tipo and m.taxa_erro == 0.0 and 0 < m.acuracia_media <= 1 for i, m in metrics.items())
+    assert all(m.registrado_em is not None and '"status_evento"' in m.meta_json for m in metrics.values())
+    assert sorted((r.agente, r.doc_id, r.tipo_documento) for r in rows("metricas_agente")) == sorted(("xml_parser", d.id, d.tipo) for d in documents.values())
+    assert sorted((r.evento, r.detalhes) for r in rows("logs")) == sorted(("ingestao_xml", f"doc_id={d.id}|tipo={d.tipo}|status={d.status}") for d in documents.values())
+    assert {(r.documento_id, r.agente) for r in rows("extracoes")} == {(i, "xml_parser") for i in documents}
+    # Both batches' hashes are in the ledger, so nothing comes in a third time.
+    (source / "e.xml").write_text(S.CFE)
+    ingest.run_ingest(spark, str(source), str(target), str(mark)).awaitTermination()
+    assert spark.read.parquet(f"{target}/documentos").count() == 2
 
 
 def test_windowed_metrics(spark, tmp_path):

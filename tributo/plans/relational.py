@@ -387,12 +387,31 @@ def text_blocks(spark, sf_dir):
     return blocks.select("documento_id", F.size(lines).cast("long").alias("linhas"), F.aggregate(value, F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + x).cast("decimal(18,2)")).cast("double").alias("total"))
 
 
-@query(None)
+_LINE_ID = "CAST('0x' || md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT), CAST(l_extendedprice AS DECIMAL(18,2))))[1:15] AS BIGINT)"
+
+
+@query(
+    f"""WITH {_DETAILS}, linha AS (
+        SELECT {_LINE_ID} AS id, l_orderkey AS documento_id, l_linenumber AS n, p_name AS nome, l_returnflag AS cst, CAST(l_extendedprice AS DECIMAL(18,2)) AS valor FROM lineitem JOIN part ON p_partkey = l_partkey
+    ), bloco AS (
+        SELECT documento_id, 'detalhes' AS source, chave || ': ' || coalesce(valor, '') AS linha FROM detalhes
+        UNION ALL SELECT documento_id, 'itens', n || ' | ' || nome || ' |  |  |  |  |  | ' || valor FROM linha
+        UNION ALL SELECT documento_id, 'impostos', id || ' | ' || id || ' | ICMS | ' || cst || ' |  |  |  | ' || valor FROM linha
+    ) SELECT documento_id, source, count(*) AS linhas, string_agg(linha, chr(10) ORDER BY linha) AS texto FROM bloco GROUP BY 1, 2""",
+    views=False,
+)
 def text_blocks_all(spark, sf_dir):
-    """The blocks of details, items and taxes; without SQL, checked by brute force."""
-    taxes = canonical.taxes(spark, sf_dir).drop("documento_id").withColumns({"id": F.xxhash64("item_id", "tipo_imposto"), "origem": F.lit(None).cast("string")})
-    items = canonical.items(spark, sf_dir).withColumn("codigo_produto", F.lit(None).cast("string"))
-    return retrieval.text_blocks(canonical.details(spark, sf_dir), items, taxes)
+    """The blocks of details, items and taxes, their lines in order, with ids that both dialects can make of a line."""
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("bigint"), F.col("l_extendedprice").cast("decimal(18,2)"))), 1, 15), 16, 10).cast("bigint")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("descricao"))
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(part, "l_partkey")
+    lines = lines.select(number.alias("id"), F.col("l_orderkey").alias("documento_id"), F.col("l_linenumber").alias("numero_item"), "descricao", F.col("l_returnflag").alias("cst"), F.col("l_extendedprice").cast("decimal(18,2)").alias("valor_total"))
+    items = lines.drop("cst").select("*", *none("codigo_produto", "ncm", "cfop", "quantidade", "valor_unitario"))
+    taxes = lines.select("id", F.col("id").alias("item_id"), F.lit("ICMS").alias("tipo_imposto"), "cst", *none("origem", "base_calculo", "aliquota"), F.col("valor_total").alias("valor"))
+    blocks = retrieval.text_blocks(canonical.details(spark, sf_dir), items, taxes)
+    parts = F.array_sort(F.split("texto", "\n"))
+    return blocks.select("documento_id", "source", F.size(parts).cast("long").alias("linhas"), F.array_join(parts, "\n").alias("texto"))
 
 
 # Analytic families.
@@ -503,11 +522,17 @@ def manual_overrides(spark, sf_dir):
     return sinks.apply_overrides(docs, edits).select("id", "status")
 
 
-@query("SELECT tipo, count(*) AS n FROM documentos WHERE id % 10 <> 0 GROUP BY 1")
+@query(
+    """SELECT 'documentos' AS tabela, tipo AS chave, count(*) AS n FROM documentos WHERE id % 10 <> 0 GROUP BY 2
+    UNION ALL SELECT 'itens', cfop, count(*) FROM itens WHERE documento_id % 10 <> 0 GROUP BY 2
+    UNION ALL SELECT 'impostos', tipo_imposto, count(*) FROM impostos WHERE documento_id % 10 <> 0 GROUP BY 2"""
+)
 def cascade_delete(spark, sf_dir):
+    """What is left of documents, items and tax rows once a tenth of the documents is deleted."""
     c = canonical.catalog(spark, sf_dir).tables
     left = sinks.cascade({k: c[k] for k in ("documentos", "itens", "impostos")}, c["documentos"].where("id % 10 = 0"))
-    return left["documentos"].groupBy("tipo").agg(F.count("*").alias("n"))
+    count = lambda table, key: left[table].groupBy(F.lit(table).alias("tabela"), F.col(key).alias("chave")).agg(F.count("*").alias("n"))
+    return count("documentos", "tipo").unionByName(count("itens", "cfop")).unionByName(count("impostos", "tipo_imposto"))
 
 
 @query("SELECT event_id, lower(regexp_extract('f.' || CASE event_id % 3 WHEN 0 THEN 'XML' WHEN 1 THEN 'pdf' ELSE 'png' END, '\\.([a-zA-Z]+)$', 1)) AS ext, event_id % 3 = 0 AS lido FROM events", views=False)
