@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from tributo.sources import ingest, xml
+from tributo.sources import folder, ingest, xml
 
 from . import xml_samples as S
 
@@ -79,3 +79,43 @@ def test_ingest(spark):
     runs = {r.doc_id: r for r in out["metricas_agente"].collect()}
     assert runs[nfe.id].latency_s > 0 and runs[nfe.id].coverage > 0.5 and "4.00" in runs[nfe.id].extras
     assert f"doc_id={nfe.id}|tipo=NFe|status=processando" in {r.detalhes for r in out["logs"].collect()}
+
+
+def test_files_are_packed_by_bytes():
+    sizes = [(f"f{i}", 10 << 10) for i in range(40)] + [("large", 3 << 20), ("empty", 0)]
+    groups = folder.pack(sizes, 1 << 20)
+    assert sorted(p for g in groups for p in g) == sorted(p for p, _ in sizes) and groups[0] == ["large"]
+    cost = dict(sizes)
+    assert all(sum(cost[p] + folder.OPEN_BYTES for p in g) <= 1 << 20 for g in groups[1:]) and len(groups) == 5
+    assert folder.pack([], 1) == []
+
+
+def test_a_folder_is_read_alike_as_batch_and_stream(spark, tmp_path):
+    source = tmp_path / "in" / "deep"
+    source.mkdir(parents=True)
+    for i in range(12):
+        (source / f"n{i}.xml").write_text(S.NFE.replace("<nNF>123</nNF>", f"<nNF>{i}</nNF>"))
+    (source / "broken.xml").write_bytes(b"\xff<a")
+    (source / "empty.xml").write_bytes(b"")
+    (source / "_hidden.xml").write_text(S.CFE)
+    (source / "note.txt").write_text("x")
+    folder.register(spark)
+    told = lambda df: sorted((r.nome_arquivo, r.hash, r.kind, r.error, tuple(sorted((r.fields or {}).items())), len(r["items"] or []), len(r.payments or [])) for r in df.collect())
+    batch = spark.read.format(folder.NAME).option("pathGlobFilter", "*.xml").option("partitionBytes", 300_000).load(str(tmp_path / "in"))
+    want = told(xml.parse(ingest.read_files(spark, str(tmp_path / "in")).where("nome_arquivo like '%.xml' and nome_arquivo not like '\\\\_%'")))
+    # Spark's own readers pass over empty files; here one is a row, which is registered as invalid.
+    assert told(batch.where("bytes > 0")) == want and len(want) == 13 and batch.rdd.getNumPartitions() > 2
+    assert batch.where("bytes = 0").first().kind == "xml/invalido" and xml.documents(batch).count() == 14
+    want = told(batch)
+
+    def run():
+        query = spark.readStream.format(folder.NAME).option("pathGlobFilter", "*.xml").load(str(tmp_path / "in")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).start()
+        query.processAllAvailable()
+        query.stop()
+        return told(spark.read.parquet(str(tmp_path / "out")))
+
+    assert run() == want
+    (source / "late.xml").write_text(S.CFE)
+    assert [r[0] for r in run() if r not in want] == ["late.xml"] and len(run()) == 15
+    with pytest.raises(Exception, match="path"):
+        spark.read.format(folder.NAME).load().count()

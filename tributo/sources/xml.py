@@ -323,6 +323,12 @@ def _timed(content: bytes) -> dict:
     return read_document(content) | {"tempo": time.perf_counter() - start}
 
 
+def found(contents: list[bytes | None]) -> dict[str, pa.Array]:
+    """The columns of DOC_DDL, a row a content."""
+    docs = [_timed(b or b"") for b in contents]
+    return {c: pa.array([[*d[c].items()] if c in ("fields", "extras") else d[c] for d in docs], kind) for c, kind in _DOC_TYPE.items()}
+
+
 def parse(files: DataFrame) -> DataFrame:
     """files (nome_arquivo, content binary, and more) with what read_document finds in each, and tempo, its seconds.
 
@@ -333,11 +339,7 @@ def parse(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = [_timed(b or b"") for b in batch.column("content").to_pylist()]
-            columns = {f.name: batch.column(f.name) for f in others}
-            for c, kind in _DOC_TYPE.items():
-                columns[c] = pa.array([[*d[c].items()] if c in ("fields", "extras") else d[c] for d in docs], kind)
-            yield pa.record_batch(columns)
+            yield pa.record_batch({f.name: batch.column(f.name) for f in others} | found(batch.column("content").to_pylist()))
 
     return files.mapInArrow(run, f"{ddl}, {DOC_DDL}")
 
