@@ -52,9 +52,19 @@ _add(
     m=text.mask_tax_id,
 )
 _add("digits", f"concat('A-', {_K}, '/00 x')", f"'A-' || {_V} || '/00 x'", "regexp_replace(s, '[^0-9]', '', 'g') AS d, coalesce(nullif(ltrim(regexp_replace(s, '[^0-9]', '', 'g'), '0'), ''), '0') AS n", d=text.digits, n=text.invoice_number)
-_add("tokens", f"concat('  São JOÃO  &  Cia. nº ', {_K}, ' ')", f"'  São JOÃO  &  Cia. nº ' || {_V} || ' '", f"'sao joao cia n ' || {_V} AS t", t=text.word_tokens)
+_NAMES = ["São JOÃO  &  Cia. nº", "  ÁGUAS do Ribeirão--Sul", "D\\'Ávila e Irmãos (matriz)", "Açúcar+Café/3", "Über-Müller §", "niño; piñata: 100%", "PÃO...DE...QUEIJO", "¿Qué? ¡Sí!"]
+_NAMED = f"concat(' ', element_at({_spark_array(_NAMES)}, cast(o_orderkey % {len(_NAMES)} + 1 as int)), ' ', {_K}, ' ')"
+_NAMED_SQL = f"' ' || ({[n.replace(chr(92), '') for n in _NAMES]!r})[CAST(o_orderkey % {len(_NAMES)} + 1 AS INT)] || ' ' || {_V} || ' '".replace('"D\'Ávila e Irmãos (matriz)"', "'D''Ávila e Irmãos (matriz)'")
+_add("tokens", _NAMED, _NAMED_SQL, "trim(regexp_replace(lower(strip_accents(s)), '[^a-z0-9]+', ' ', 'g')) AS t", t=text.word_tokens)
 _add("squeezed", f"concat('  a \\t b\\n', {_K}, ' ')", f"'  a ' || chr(9) || ' b' || chr(10) || {_V} || ' '", "trim(regexp_replace(s, '\\s+', ' ', 'g')) AS t", t=text.squeeze)
-_add("company_suffix", f"concat('Casa ', {_K}, ' Ltda me s/a')", f"'Casa ' || {_V} || ' Ltda me s/a'", f"'Casa ' || {_V} || ' LTDA ME S/A' AS t", t=text.company_name)
+_SUFFIXES = ["Ltda", "me", "s/a", "EPP", "eireli"]
+_add(
+    "company_suffix",
+    f"concat('Casa ', {_K}, ' ', element_at({_spark_array(_SUFFIXES)}, cast(o_orderkey % 5 + 1 as int)), ' ', element_at({_spark_array(_SUFFIXES[::-1])}, cast(o_orderkey % 4 + 1 as int)))",
+    f"'Casa ' || {_V} || ' ' || ({_SUFFIXES})[CAST(o_orderkey % 5 + 1 AS INT)] || ' ' || ({_SUFFIXES[::-1]})[CAST(o_orderkey % 4 + 1 AS INT)]",
+    "'Casa ' || upper(substr(s, 6)) AS t",
+    t=text.company_name,
+)
 #: Words of payments in text around them; every order has another.
 _SAID = ["Pix", "QR Code", "instantâneo", "Crédito", "credito", "DÉBITO", "debito", "dinheiro", "cash", "Boleto", "cheque", "check", "Transferência", "TED", "doc", "à vista", "A VISTA", "imediato", "parcelado", "a prazo", "crediario", "vale", "x"]
 _ASKED = f"concat('pago ', element_at({_spark_array(_SAID)}, cast(o_orderkey % {len(_SAID)} + 1 as int)), ' n ', {_K})"
@@ -122,7 +132,13 @@ _add(
     f"CASE WHEN regexp_full_match(s, '0+') THEN FALSE ELSE ({_check_sql(list(range(10, 1, -1)), 's')} * 10 % 11) % 10 = CAST(s[10] AS INT) AND ({_check_sql(list(range(11, 1, -1)), 's')} * 10 % 11) % 10 = CAST(s[11] AS INT) END AS ok",
     ok=fiscal.valid_cpf,
 )
-_add("key_search", f"concat('https://x?chNFe=', lpad({_K}, 44, '7'), '&y=1')", f"'https://x?chNFe=' || lpad({_V}, 44, '7') || '&y=1'", f"lpad({_V}, 44, '7') AS k", k=fiscal.key_in_text)
+_add(
+    "key_search",
+    f"case o_orderkey % 4 when 0 then concat('https://x?chNFe=', lpad({_K}, 44, '7'), '&y=1') when 1 then concat('https://x?a=1&CHCTE=', lpad({_K}, 44, '3')) when 2 then concat('chave ', lpad({_K}, 44, '5'), ' ou ', lpad({_K}, 44, '6')) else concat('x', lpad({_K}, 45, '1'), ' 12') end",
+    f"CASE o_orderkey % 4 WHEN 0 THEN 'https://x?chNFe=' || lpad({_V}, 44, '7') || '&y=1' WHEN 1 THEN 'https://x?a=1&CHCTE=' || lpad({_V}, 44, '3') WHEN 2 THEN 'chave ' || lpad({_V}, 44, '5') || ' ou ' || lpad({_V}, 44, '6') ELSE 'x' || lpad({_V}, 45, '1') || ' 12' END",
+    "nullif(regexp_extract(s, '(^|[^0-9a-zA-Z])([0-9]{44})([^0-9a-zA-Z]|$)', 2), '') AS k",
+    k=fiscal.key_in_text,
+)
 _add("address_compose", f"concat('Rua ', {_K})", f"'Rua ' || {_V}", "s || ', 10, Centro' AS a", a=lambda s: text.joined_address(s, F.lit("10"), F.lit("  "), F.lit("Centro")))
 _add(
     "series_and_model",
@@ -132,4 +148,10 @@ _add(
     a=text.series,
     b=text.model,
 )
-_add("layout_print", f"concat('Nota ', {_K}, ' |  Série: 1')", f"'Nota ' || {_V} || ' |  Série: 1'", f"sha256('cols||nota ' || {_V} || ' | serie: 1')[1:32] AS f", f=lambda s: text.layout_fingerprint(F.lit("cols"), s))
+_add(
+    "layout_print",
+    f"concat('Nota ', {_K}, ' |  Série: ', element_at({_spark_array(_NAMES)}, cast(o_orderkey % {len(_NAMES)} + 1 as int)))",
+    f"'Nota ' || {_V} || ' |  Série: ' || " + _NAMED_SQL.split(" || ")[1],
+    "sha256('cols||' || trim(regexp_replace(regexp_replace(lower(strip_accents(s)), '[^a-z0-9|:;,.% -]', ' ', 'g'), ' +', ' ', 'g')))[1:32] AS f",
+    f=lambda s: text.layout_fingerprint(F.lit("cols"), s),
+)

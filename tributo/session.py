@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # What a job has cut into the shared folder goes once nothing refers to it.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
