@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import re
+import statistics
 import zlib
 
 GAP = re.compile(r"[\x20\x09-\x0D]+")
@@ -243,3 +244,60 @@ def _stretches(own: list[tuple], window: int, literals: int) -> list[tuple[int,
     """Start and length of what reaches from a literal unit to the literals-th, where that is longer than a window."""
     at = [i for i, u in enumerate(own) if not u[2]]
     return [(a, b - a + 1) for a, b in zip(at, at[literals - 1 :], strict=False) if b - a >= window]
+
+
+# The randomness battery, each test by its definition. Fixed values as in the operator: what ordinary text has.
+_LETTER_SHARES = {c: w for c, w in zip("etaoinsrhldcumfpgwybvkxjqz", (12.5, 8, 8, 7, 7.3, 7.5, 7, 7, 4.2, 4.2, 3.6, 3.2, 2.8, 2.6, 2, 2, 1.9, 1.4, 1.4, 1.4, 1.1, 0.8, 0.25, 0.25, 0.2, 0.4), strict=True)}
+_ORDER = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"}
+
+
+def _lag(x: list[float]) -> float | None:
+    m = statistics.fmean(x)
+    below = sum((v - m) ** 2 for v in x)
+    return None if below == 0 else sum((x[i] - m) * (x[i + 1] - m) for i in range(len(x) - 1)) / below
+
+
+def battery(token: str) -> float:
+    own = re.sub("[+/_-]", "", token)
+    letters = [c for c in own.lower() if c in _LETTER_SHARES]
+    if len(own) < 2 or not letters:
+        return 1.0
+    n, normal = len(own), statistics.NormalDist()
+    one_case = not (re.search("[a-z]", own) and re.search("[A-Z]", own))
+    size = 16 if one_case and set(own.lower()) <= set(_ORDER[16]) else 32 if set(own) <= set(_ORDER[32]) else 36 if set(own) <= set(_ORDER[36]) else 62
+    z_of = lambda p: -normal.inv_cdf(min(max(p, 1e-300), 1 - 1e-12)) if p > 1e-15 else 8.0
+    # Chi-squared of the alphabet, against what ordinary letters give.
+    agree = max(0.066, 2.5 / size)
+    triple = max(0.0054, 1.25 * agree**2)
+    chi = sum((own.count(c) - n / size) ** 2 / (n / size) for c in set(own)) + (size - len(set(own))) * n / size
+    expected = size * (1 + (n - 1) * agree) - n
+    spread = size / n * math.sqrt(2 * n * (n - 1) * agree * (1 - agree) + 4 * n * (n - 1) * (n - 2) * max(0.0, triple - agree**2))
+    uniform = z_of(normal.cdf((chi - expected) / spread))
+    if size != 16 and uniform > -2:
+        total = sum(_LETTER_SHARES.values())
+        share = {c: w / total for c, w in _LETTER_SHARES.items()}
+        mean = -sum(p * math.log(p) for p in share.values())
+        sd = 1.5 * math.sqrt(sum(p * (math.log(p) + mean) ** 2 for p in share.values()))
+        uniform = (statistics.fmean(-math.log(share[c]) for c in letters) - mean) / sd * math.sqrt(len(letters))
+    vowels = _lag([float(c in "aeiouAEIOU") for c in own])
+    tests = [uniform, ((-0.3 if vowels is None else vowels) + 0.3) * math.sqrt(n)]
+    kinds = ["a" if c.islower() else "A" if c.isupper() else "0" for c in own]
+    if len(set(kinds)) > 1:
+        turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+        tail = math.fsum(math.comb(n - 1, i) * 0.06**i * 0.94 ** (n - 1 - i) for i in range(turns, n)) if turns else 1.0
+        tests.append(z_of(min(1.0, tail)))
+    summed = sum(min(6.0, max(-3.0, z)) for z in tests)
+    values = _lag([float(_ORDER[size].index(c)) for c in (own.lower() if size == 16 else own)])
+    summed -= max(0.0, abs(values or 0.0) * math.sqrt(n) - 2)
+    return 1 - normal.cdf(summed / math.sqrt(2 * len(tests) - 1)) if summed < 6 else 0.5 * math.erfc(summed / math.sqrt(2 * (2 * len(tests) - 1)))
+
+
+def discoveries(p: list[float], lengths: list[int], rate: float) -> list[bool]:
+    """Benjamini and Hochberg's step-up rule by trying every number of discoveries, p-values weighted by length."""
+    mean = sum(lengths) / len(lengths) if p else 0
+    weighted = [x * mean / n for x, n in zip(p, lengths, strict=True)]
+    for k in range(len(p), 0, -1):
+        limit = rate * k / len(p)
+        if sum(x <= limit for x in weighted) >= k:
+            return [x <= limit for x in weighted]
+    return [False] * len(p)

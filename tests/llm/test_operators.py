@@ -377,6 +377,26 @@ def test_battery(prose):
     assert secrets.discoveries([], []) == [] and secrets.discoveries([1e-9, 0.5], [40, 20]) == [True, False]
 
 
+def test_battery_equals_its_definitions(prose):
+    rng = random.Random(12)
+    alphabets = [string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, "0123456789ABCDEF", "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.digits + "x"]
+    tokens_ = ["".join(rng.choice(a) for _ in range(rng.randint(16, 60))) for a in alphabets for _ in range(40)]
+    tokens_ += ["".join(prose(6).split())[:40] for _ in range(60)] + ["aaaaaaaaaaaaaaaa", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef0123456789abcdef", "2024-01-15-release-notes", "1234567890123456", "a1" * 10]
+    for token in tokens_:
+        assert secrets.battery(token) == pytest.approx(brute.battery(token), rel=1e-4, abs=1e-12), token
+    for _ in range(200):
+        p = [rng.choice([1e-9, 1e-5, 3e-4, 1e-3, 0.01, 0.5]) * rng.random() for _ in range(rng.randint(0, 12))]
+        lengths = [rng.randint(16, 80) for _ in p]
+        assert secrets.discoveries(p, lengths, 1e-3) == brute.discoveries(p, lengths, 1e-3)
+
+
+def test_what_rises_step_by_step_is_no_code():
+    rising = ["0123456789abcdefABCDEF0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0a1b2c3d4e5f6g7h8i9j", "AaBbCcDdEeFfGgHhIiJj"]
+    assert all(secrets.battery(x) > 1e-3 for x in rising[1:2]) and secrets.serial([1.0, 1.0]) is None
+    shuffled = "".join(random.Random(3).sample(rising[1], 32))
+    assert secrets.battery(shuffled) < 1e-2 < secrets.battery(rising[1])
+
+
 def test_battery_by_encoding(prose):
     alphabets = {"base32": string.ascii_uppercase + "234567", "base36": string.ascii_lowercase + string.digits, "hex": "0123456789ABCDEF", "base62": string.ascii_letters + string.digits, "lower": string.ascii_lowercase}
     least = {"base32": (25, 45, 65, 85), "base36": (45, 60, 78, 92), "hex": (35, 65, 80, 92), "base62": (85, 90, 95, 95), "lower": (5, 15, 25, 50)}

@@ -55,6 +55,21 @@ def encoding(token: str) -> tuple[str, int]:
     return "base64", 64
 
 
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: The letters of each encoding in the order of their values.
+ALPHABETS = {"hex": _DIGITS + "abcdef", "base32": _LOWER.upper() + "234567", "base36": _DIGITS + _LOWER, "base62": _LOWER.upper() + _LOWER + _DIGITS, "base64": _LOWER.upper() + _LOWER + _DIGITS + "+/"}
+_VALUES = {kind: {c: float(i) for i, c in enumerate(letters)} for kind, letters in ALPHABETS.items()}
+#: Standard deviations of serial correlation between values that a random code may well have.
+ORDERED = 2.0
+
+
+def serial(values: list[float]) -> float | None:
+    """Correlation of each value with the next; None if they are all one."""
+    mean = sum(values) / len(values)
+    var = sum((v - mean) ** 2 for v in values)
+    return sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / var if var else None
+
+
 def _below(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
@@ -88,10 +103,12 @@ def battery(token: str) -> float:
     """p-value of a token under ordinary text: small if its letters are spread, switched and ordered as a random code's.
 
     Three tests for the inferred encoding: uniformity of the alphabet (chi-squared, lower tail against the value that
-    ordinary letter shares give; but for hex, how rare the letters are in ordinary text, if they aren't repeated), runs of letter classes, and
-    serial correlation of vowels. A token of one class has no runs to test. Stouffer's sum joins them, with the variance
-    of dependent tests so that agreement between them isn't taken for evidence. Separators join words and paths, and
-    count for nothing; tokens without a letter have p = 1.
+    ordinary letter shares give; but for hex, how rare the letters are in ordinary text, if they aren't repeated), runs of
+    letter classes, and serial correlation: of vowels, which words alternate and codes don't, and of the values that the
+    letters have in the encoding, which a random code hasn't; what rises or falls step by step, as counters and alphabets
+    do, loses what its correlation is beyond ORDERED deviations. A token of one class has no runs to test. Stouffer's sum
+    joins the tests, with the variance of dependent ones so that agreement between them isn't taken for evidence.
+    Separators join words and paths, and count for nothing; tokens without a letter have p = 1.
     """
     own = _BREAK.sub("", token)
     letters = [_SURPRISE[c] for c in own.lower() if c in _SURPRISE]
@@ -104,15 +121,14 @@ def battery(token: str) -> float:
     if kind != "hex" and uniform > -2:
         uniform = (sum(letters) / len(letters) - _MEAN) / _SPREAD * math.sqrt(len(letters))
     kinds = [_class(c) for c in own]
-    vowels = [1.0 if c in "aeiouAEIOU" else 0.0 for c in own]
-    mean = sum(vowels) / n
-    var = sum((v - mean) ** 2 for v in vowels)
-    r = sum((a - mean) * (b - mean) for a, b in zip(vowels, vowels[1:], strict=False)) / var if var else VOWEL
-    z = [uniform, (r - VOWEL) * math.sqrt(n)]
+    vowels = serial([1.0 if c in "aeiouAEIOU" else 0.0 for c in own])
+    z = [uniform, ((VOWEL if vowels is None else vowels) - VOWEL) * math.sqrt(n)]
     if len(set(kinds)) > 1:
         z.append(_inverse(_at_least(sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)), n - 1, SWITCH)))
     # One test alone, however sure of a long token, doesn't outvote the other two.
     total = sum(min(6.0, max(-3.0, x)) for x in z)
+    ordered = serial([_VALUES[kind][c] for c in (own.lower() if kind == "hex" else own)])
+    total -= max(0.0, abs(ordered or 0.0) * math.sqrt(n) - ORDERED)
     return 0.5 * math.erfc(total / math.sqrt(2 * (2 * len(z) - 1)))
 
 
