@@ -31,18 +31,21 @@ def zscores(rows: DataFrame, keys: list[str], value: str, limit: float = 3.0) ->
 def _narrowed(rows: DataFrame, keys: list[str], at: dict[str, float], large: int) -> DataFrame:
     """keys, _v, _c and _gap of each group: counted values, those of a large group only around its wanted ranks.
 
-    A sketch gives values that surely lie below and above each rank. What lies between two such brackets of a large group
-    is counted under the upper end of the one before it, as one row with _gap set, so ranks stay what they are. Only the
-    HOTTEST largest groups are narrowed; each of the others has less than a HOTTEST-th of the rows.
+    Groups are counted first, and only large ones are sketched, which gives values that surely lie below and above each
+    rank. What lies between two such brackets is counted under the upper end of the one before it, as one row with _gap
+    set, so ranks stay what they are. Only the HOTTEST largest groups are narrowed; each of the others has less than a
+    HOTTEST-th of the rows. Without large groups the sketch is of nothing, which Spark sees when it has counted.
     """
     reach = REACH / SKETCH
     points = [x for p in at.values() for x in (max(0.0, p - reach), min(1.0, p + reach))]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.percentile_approx("_v", [float(x) for x in points], SKETCH).alias("_points"))
-    hot = sizes.where(F.col("_size") > large).orderBy(F.desc("_size"), *keys).limit(HOTTEST)
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_size"))
+    largest = sizes.where(F.col("_size") > large).orderBy(F.desc("_size"), *keys).limit(HOTTEST).select(*keys)
+    hot = rows.join(F.broadcast(largest), keys).groupBy(*keys).agg(F.percentile_approx("_v", [float(x) for x in points], SKETCH).alias("_points"))
     bound = lambda i, p, out: F.lit(float("-inf" if i % 2 == 0 else "inf")) if out else F.col("_points")[i]
     ends = [bound(i, x, (x <= 0.0) if i % 2 == 0 else (x >= 1.0)) for i, x in enumerate(points)]
     brackets = list(zip(ends[::2], ends[1::2], strict=True))
-    marked = rows.join(F.broadcast(hot.drop("_size")), keys, "left")
+    # A row for each of at most HOTTEST groups.
+    marked = rows.join(F.broadcast(hot), keys, "left")
     inside = F.col("_points").isNull()
     for low, high in brackets:
         inside = inside | F.col("_v").between(low, high)
