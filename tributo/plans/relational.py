@@ -234,7 +234,11 @@ def required_fields(spark, sf_dir):
     return docs.select("id", F.array_join(validate.required_missing(docs), ",").alias("faltando")).withColumn("faltando", F.when(F.col("faltando") == "", "completo").otherwise(F.col("faltando")))
 
 
-@query("SELECT DISTINCT l_linenumber AS ok, l_linenumber + CAST(l_quantity AS INT) % 9 AS total, CASE WHEN l_linenumber + CAST(l_quantity AS INT) % 9 = 0 THEN 0 ELSE round(least(1.0, l_linenumber / (l_linenumber + CAST(l_quantity AS INT) % 9) + CASE WHEN l_linenumber + CAST(l_quantity AS INT) % 9 >= 12 AND l_linenumber / (l_linenumber + CAST(l_quantity AS INT) % 9) > 0.7 THEN 0.05 ELSE 0 END), 4) END AS confianca FROM lineitem", views=False)
+@query(
+    """WITH t AS (SELECT DISTINCT l_linenumber AS ok, l_linenumber + CAST(l_quantity AS INT) % 9 AS total FROM lineitem)
+    SELECT ok, total, CASE WHEN total = 0 THEN 0 ELSE round(least(1.0, ok / total + CASE WHEN total >= 12 AND ok / total > 0.7 THEN 0.05 ELSE 0 END), 4) END AS confianca FROM t""",
+    views=False,
+)
 def confidence(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").alias("ok"), (F.col("l_linenumber") + F.col("l_quantity").cast("int") % 9).alias("total")).distinct()
     return rows.withColumn("confianca", F.round(validate.confidence(F.col("ok"), F.col("total")), 4))
