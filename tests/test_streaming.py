@@ -12,10 +12,10 @@ def test_files_arrive_once(spark, tmp_path):
     source.mkdir()
     (source / "a.xml").write_text(S.NFE)
     (source / "b.xml").write_text(S.NFE)
-    ingest.run_ingest(spark, str(source), str(target), str(mark)).awaitTermination()
+    ingest.run_ingest(spark, str(source), str(target), str(mark), buckets=2).awaitTermination()
     (source / "c.xml").write_text(S.CFE)
     (source / "d.xml").write_text(S.NFE)
-    ingest.run_ingest(spark, str(source), str(target), str(mark)).awaitTermination()
+    ingest.run_ingest(spark, str(source), str(target), str(mark), buckets=2).awaitTermination()
     kinds = sorted(r.tipo for r in spark.read.parquet(f"{target}/documentos").collect())
     assert kinds == ["CF-e", "NFe"]
     assert spark.read.parquet(f"{target}/itens").count() == 3
@@ -29,7 +29,7 @@ def test_files_arrive_once(spark, tmp_path):
     assert {(r.documento_id, r.agente) for r in rows("extracoes")} == {(i, "xml_parser") for i in documents}
     # Both batches' hashes are in the ledger, so nothing comes in a third time.
     (source / "e.xml").write_text(S.CFE)
-    ingest.run_ingest(spark, str(source), str(target), str(mark)).awaitTermination()
+    ingest.run_ingest(spark, str(source), str(target), str(mark), buckets=2).awaitTermination()
     assert spark.read.parquet(f"{target}/documentos").count() == 2
 
 
