@@ -25,7 +25,7 @@ LEAST_ROWS = 2
 #: Share of the labelled rows that only decide when training stops.
 INNER = 0.15
 #: Parts of the labelled rows that are scored by networks of the other parts, and the toxic rows that pull a threshold halfway.
-PARTS, POOL = 3, 20
+PARTS, POOL = 3, 60
 #: Share of words left out of each row in a step, factor by which weights shrink in one, and weight of a toxic row.
 DROP, DECAY, POSITIVE = 0.2, 2e-3, 3.0
 
