@@ -119,3 +119,25 @@ def test_a_folder_is_read_alike_as_batch_and_stream(spark, tmp_path):
     assert [r[0] for r in run() if r not in want] == ["late.xml"] and len(run()) == 15
     with pytest.raises(Exception, match="path"):
         spark.read.format(folder.NAME).load().count()
+
+
+def test_a_lookup_passes_over_no_other_elements(monkeypatch):
+    """Elements are named a few times each, however many fields are looked up: once below the root and once as a child."""
+    seen = []
+    real = xml._name
+    monkeypatch.setattr(xml, "_name", lambda e: seen.append(e) or real(e))
+    monkeypatch.setattr(xml, "_NAMES", {}, raising=False)
+    content = S.NFSE_ABRASF.replace("</CompNfse>", "<outro><a/><b/><c/></outro>" * 50 + "</CompNfse>")
+    xml.read_document(content.encode())
+    assert len(seen) < 4 * content.count("<")
+
+
+def test_items_may_be_left_out():
+    whole, rest = xml.read_document(S.NFE.encode()), xml.read_document(S.NFE.encode(), items=False)
+    assert whole["items"] and rest == whole | {"items": []}
+
+
+def test_documents_are_written_by_more_tasks_than_the_table_has_blocks(spark, sf_dir):
+    from tributo.plans import documents
+
+    assert documents._written(spark, sf_dir, "nfe").rdd.getNumPartitions() >= 4

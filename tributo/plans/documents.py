@@ -65,13 +65,23 @@ def _text(template: str):
     return F.concat(*parts)
 
 
+def _made(orders: DataFrame) -> DataFrame:
+    return orders.select("o_totalprice", *[F.expr(made).alias(name) for name, made, _ in MADE])
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_totalprice", *[F.expr(made).alias(name) for name, made, _ in MADE])
+    return _made(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """_orders, the short rows dealt to several tasks a core before documents are made of them: a table may be one block of a file."""
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return _made(table.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey"))
 
 
 def _written(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """id, k, nome_arquivo, content."""
-    return _orders(spark, sf_dir).select("id", "k", F.concat("k", F.lit(".xml")).alias("nome_arquivo"), _text(TEMPLATES[kind]).cast("binary").alias("content"))
+    return _dealt(spark, sf_dir).select("id", "k", F.concat("k", F.lit(".xml")).alias("nome_arquivo"), _text(TEMPLATES[kind]).cast("binary").alias("content"))
 
 
 def query(sql: str | None) -> Callable[[Query], Query]:
@@ -86,7 +96,7 @@ def _extraction(kind: str, **columns: str) -> None:
     """A query that reads documents of a layout; columns: what each field must be, in SQL."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = xml.documents(xml.parse(_written(spark, sf_dir, kind)))
+        docs = xml.documents(xml.parse(_written(spark, sf_dir, kind), items=False))
         types = dict(docs.dtypes)
         return docs.select("id", *[F.col(c).cast("double" if types[c].startswith("decimal") else types[c]).alias(c) for c in columns])
 
@@ -126,10 +136,10 @@ def xml_taxes(spark, sf_dir):
 )
 def completeness(spark, sf_dir):
     """Documents of two layouts, and a third of them cut short, which don't parse."""
-    made = _orders(spark, sf_dir)
+    made = _dealt(spark, sf_dir)
     nfe = _text(TEMPLATES["nfe"])
     content = F.when(F.col("id") % 3 == 0, nfe).when(F.col("id") % 3 == 1, _text(TEMPLATES["nfse"])).otherwise(F.left(nfe, F.lit(200)))
-    docs = xml.documents(xml.parse(made.select("id", F.col("k").alias("nome_arquivo"), content.cast("binary").alias("content"))))
+    docs = xml.documents(xml.parse(made.select("id", F.col("k").alias("nome_arquivo"), content.cast("binary").alias("content")), items=False))
     return docs.select("id", "completude", "cobertura", (F.col("status") == "quarentena").alias("quarentena"))
 
 
@@ -142,7 +152,7 @@ def union_quarantine(spark, sf_dir):
     k = F.col("id") % 4
     name = F.concat("k", F.when(k == 0, ".pdf").when(k == 1, ".XML").otherwise(".xml")).alias("nome_arquivo")
     content = F.when(k < 2, F.concat(F.lit("<a>"), "k")).otherwise(_text(TEMPLATES["cfe"])).cast("binary")
-    files = _orders(spark, sf_dir).select(name, F.lit("/in").alias("caminho_arquivo"), content.alias("content")).withColumn("hash", F.sha2(F.concat(F.col("nome_arquivo").cast("binary"), "content"), 256))
+    files = _dealt(spark, sf_dir).select(name, F.lit("/in").alias("caminho_arquivo"), content.alias("content")).withColumn("hash", F.sha2(F.concat(F.col("nome_arquivo").cast("binary"), "content"), 256))
     return ingest.ingest(files, day="2024-08-01")["documentos"].select("nome_arquivo", "tipo", "status")
 
 
