@@ -141,3 +141,10 @@ def test_documents_are_written_by_more_tasks_than_the_table_has_blocks(spark, sf
     from tributo.plans import documents
 
     assert documents._written(spark, sf_dir, "nfe").rdd.getNumPartitions() >= 4
+
+
+def test_contents_are_dealt_before_they_are_sorted(spark):
+    files = _files(spark, ("a.xml", S.NFE), ("again.xml", S.NFE), ("d.pdf", b"%PDF"))
+    plan = ingest.ingest(files, day="2024-08-01")["documentos"]._jdf.queryExecution().executedPlan().toString()
+    below = [b for a, b in zip(plan.splitlines(), plan.splitlines()[1:]) if "Exchange hashpartitioning(hash" in a]
+    assert below and not any("Aggregate" in line for line in below)

@@ -35,21 +35,25 @@ def ingest(files: DataFrame, existing: DataFrame | None = None, *, origin: str =
     row a document on how reading it went. Ids are hashes of content and place, so reading the same file again gives the
     same rows.
     """
-    fresh = files.dropDuplicates(["hash"])
+    # Dealt first: otherwise each task sorts its contents by hash before it hands them on, though hardly any are equal there.
+    fresh = files.repartition("hash").dropDuplicates(["hash"])
     if existing is not None:
         fresh = fresh.join(existing.select("hash"), "hash", "left_anti")
     readable, other = route(fresh)
     parsed = xml.parse(readable)
     number = F.xxhash64("hash").alias("id")
-    docs = xml.documents(parsed).unionByName(other, allowMissingColumns=True)
     when = F.lit(day) if day else F.date_format(F.current_date(), "yyyy-MM-dd")
-    docs = docs.withColumns({"id": F.xxhash64("hash"), "origem": F.lit(origin), "data_upload": when, "caminho_xml": F.when(F.col("tipo").isNotNull(), content_path(F.col("nome_arquivo"), F.col("hash"), F.replace(when, F.lit("-"), F.lit(""))))})
-    details = xml.details(parsed, "hash").unionByName(docs.where("natureza_operacao is not null").select("hash", F.lit("natureza_operacao").alias("chave"), F.col("natureza_operacao").alias("valor"), F.lit("xml").alias("origem")))
+    place = F.when(F.col("tipo").isNotNull(), content_path(F.col("nome_arquivo"), F.col("hash"), F.replace(when, F.lit("-"), F.lit(""))))
+    described = lambda found: xml.documents(found).unionByName(other, allowMissingColumns=True).withColumns({"id": F.xxhash64("hash"), "origem": F.lit(origin), "data_upload": when, "caminho_xml": place})
+    # Documents hold no items; the telemetry is of the whole reading, with its time.
+    brief = xml.parse(readable, items=False)
+    docs, whole = described(brief), described(parsed)
+    details = xml.details(brief, "hash").unionByName(docs.where("natureza_operacao is not null").select("hash", F.lit("natureza_operacao").alias("chave"), F.col("natureza_operacao").alias("valor"), F.lit("xml").alias("origem")))
     item_rows = xml.items(parsed, "hash")
     item_id = F.xxhash64("hash", "ordem")
     tax_rows = xml.taxes(item_rows, "hash").withColumns({"item_id": item_id, "id": F.xxhash64("hash", "ordem", "tipo_imposto", "cst", "valor")})
-    telemetry = docs.select("id", F.lit("xml_parser").alias("agente"), F.coalesce("completude", F.lit(0.0)).alias("confianca_media"), F.lit("pt").alias("linguagem"), F.round("tempo", 3).alias("tempo_processamento"))
-    seen = docs.select("id", "tipo", "status", "completude", "tempo", "versao_schema", *metrics.MEANS.values())
+    telemetry = whole.select("id", F.lit("xml_parser").alias("agente"), F.coalesce("completude", F.lit(0.0)).alias("confianca_media"), F.lit("pt").alias("linguagem"), F.round("tempo", 3).alias("tempo_processamento"))
+    seen = whole.select("id", "tipo", "status", "completude", "tempo", "versao_schema", *metrics.MEANS.values())
     told = F.concat(F.lit("doc_id="), "id", F.lit("|tipo="), "tipo", F.lit("|status="), "status")
     return {
         "documentos": conform(docs, "documentos"),
