@@ -148,3 +148,10 @@ def test_contents_are_dealt_before_they_are_sorted(spark):
     plan = ingest.ingest(files, day="2024-08-01")["documentos"]._jdf.queryExecution().executedPlan().toString()
     below = [b for a, b in zip(plan.splitlines(), plan.splitlines()[1:]) if "Exchange hashpartitioning(hash" in a]
     assert below and not any("Aggregate" in line for line in below)
+
+
+def test_known_files_are_not_hashed_where_the_table_is_read(spark, sf_dir):
+    from tributo.plans import documents
+
+    plan = documents.QUERIES["reprocessed"][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan and not any("sha2" in line for line in plan.splitlines() if "FileScan" in line or "Filter (" in line)
