@@ -94,3 +94,11 @@ def test_pages_that_parse_are_read_and_others_are_kept_as_invalid(spark, sf_dir)
 
     told = {(strict(pages[k]), s) for k, s in got.items()}
     assert all(not ok or s != "erro" for ok, s in told) and len({s for _, s in told}) >= 1
+
+
+def test_validation_reads_each_child_table_once_a_purpose(spark, sf_dir):
+    """Lines: their sums by document, their codes as items, the taxes and their owners, the classes; no more."""
+    from tributo.plans import documents
+
+    plan = documents.QUERIES["validate_codes_and_taxes"][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) <= 5

@@ -102,11 +102,11 @@ def item_sums(items: DataFrame) -> DataFrame:
     return items.groupBy("documento_id").agg(F.count("*").alias("n_itens"), F.sum(F.coalesce(F.col("valor_total").cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))).alias("soma_itens"))
 
 
-def tax_sums(taxes: DataFrame, items: DataFrame) -> DataFrame:
-    """For each document the number of tax rows and the sum of each kind that documents carry a total of."""
+def tax_sums(taxes: DataFrame, items: DataFrame, **more: Column) -> DataFrame:
+    """For each document the number of tax rows, the sum of each kind that documents carry a total of, and more sums by name."""
     owned = taxes.join(items.select(F.col("id").alias("item_id"), "documento_id"), "item_id")
     sums = [F.sum(F.when(F.col("tipo_imposto") == k, F.col("valor").cast("decimal(18,2)")).otherwise(F.lit(0).cast("decimal(18,2)"))).alias(f"soma_{k.lower()}") for k in ("ICMS", "IPI", "PIS", "COFINS")]
-    return owned.groupBy("documento_id").agg(F.count("*").alias("n_impostos"), *sums)
+    return owned.groupBy("documento_id").agg(F.count("*").alias("n_impostos"), *sums, *[c.alias(name) for name, c in more.items()])
 
 
 def tax_means(docs: DataFrame) -> DataFrame:

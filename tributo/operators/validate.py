@@ -35,6 +35,15 @@ def close(a: Column, b: Column, base: Column, *, tolerance: float = R.TOLERANCE,
     return near, F.coalesce(F.when(base > 0, gap.cast("double") / base.cast("double") <= share), F.lit(True))
 
 
+def violates(rows: DataFrame, column: str, dimension: DataFrame, kinds: list[str], pattern: str, name: str) -> DataFrame:
+    """rows with a flag of that name, true where code_violations would keep the row."""
+    known = dimension.where(F.col("kind").isin(*kinds)).select(F.col("code").alias("_code")).distinct()
+    code = F.trim(column)
+    if not known.limit(1).count():
+        return rows.withColumn(name, ~text.missing(code) & ~code.rlike(pattern))
+    return rows.join(F.broadcast(known), code == F.col("_code"), "left").withColumn(name, ~text.missing(code) & F.col("_code").isNull()).drop("_code")
+
+
 def code_violations(rows: DataFrame, column: str, dimension: DataFrame, kinds: list[str], pattern: str) -> DataFrame:
     """Rows whose code isn't in the dimension; with no codes of those kinds, whose code doesn't have the form.
 
@@ -99,14 +108,16 @@ def validate(docs: DataFrame, items: DataFrame, taxes: DataFrame, dimension: Dat
     Documents in a settled status are left as they are, with confidence 1, unless force. Errors and warnings are codes.
     Item, class and tax codes are judged by joins with the rule dimension, and only their counts a document come back.
     """
-    count = lambda df, name: df.groupBy("documento_id").agg(F.count("*").alias(name))
-    owner = items.select(F.col("id").alias("item_id"), "documento_id")
-    bad_codes = code_violations(items, "cfop", dimension, ["cfop"], r"^\d{4}$")
-    bad_taxes = code_violations(taxes.where("tipo_imposto = 'ICMS'"), "cst", dimension, ["cst_icms", "csosn_icms"], r"^\d{2,3}$").join(owner, "item_id")
-    parties = docs.select(F.col("id").alias("documento_id"), "emitente_uf", "destinatario_uf")
-    crossed = items.join(parties, "documento_id").where(crossing(F.trim("cfop"), F.col("emitente_uf"), F.col("destinatario_uf")))
+    # Each child table is joined and summed once: what its rows break is a flag beside their values.
+    money = lambda c: F.coalesce(F.col(c).cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
+    code = F.trim("cfop")
+    led = lambda digit: F.count_if((F.length(code) == 4) & (F.left(code, F.lit(1)) == digit))
+    item_rows = violates(items.select("documento_id", "valor_total", "cfop"), "cfop", dimension, ["cfop"], r"^\d{4}$", "_bad")
+    of_items = item_rows.groupBy("documento_id").agg(F.count("*").alias("n_itens"), F.sum(money("valor_total")).alias("soma_itens"), F.count_if("_bad").alias("n_cfop"), led("5").alias("_5"), led("6").alias("_6"))
+    tax_rows = violates(taxes, "cst", dimension, ["cst_icms", "csosn_icms"], r"^\d{2,3}$", "_bad").withColumn("_bad", F.col("_bad") & (F.col("tipo_imposto") == "ICMS"))
+    of_taxes = aggregates.tax_sums(tax_rows, items, n_cst=F.count_if("_bad"))
     wide = docs.withColumn("documento_id", F.col("id"))
-    extra = [aggregates.item_sums(items), aggregates.tax_sums(taxes, items), count(bad_codes, "n_cfop"), count(bad_taxes, "n_cst"), count(crossed, "n_cfop_uf")]
+    extra = [of_items, of_taxes]
     if catalogue is not None:
         found = class_findings(items, catalogue)
         extra += [found.groupBy("documento_id").agg(F.count("erro").alias("n_ncm"), F.count("aviso").alias("n_ncm_aviso"))]
@@ -114,13 +125,17 @@ def validate(docs: DataFrame, items: DataFrame, taxes: DataFrame, dimension: Dat
         wide = wide.join(part, "documento_id", "left")
     if catalogue is None:
         wide = wide.withColumns({"n_ncm": F.lit(0), "n_ncm_aviso": F.lit(0)})
+    # Only the first digit of a code meets the regions, so its lines are counted by it and held against them once a document.
+    against = lambda digit: F.when(crossing(F.lit(f"{digit}000"), F.col("emitente_uf"), F.col("destinatario_uf")), F.col(f"_{digit}")).otherwise(0)
+    wide = wide.withColumn("n_cfop_uf", against(5) + against(6))
     checks = _checks(strict_location)
     flags = {c: F.when(F.coalesce(applies, F.lit(False)), F.coalesce(ok, F.lit(False))) for c, applies, ok, _, _ in checks}
-    wide = wide.withColumn("_c", F.struct(*[v.alias(k) for k, v in flags.items()]))
+    # A column each: the fields of a struct would be put in place of their names, and judged again wherever they are asked for.
+    wide = wide.withColumns({f"_c_{k}": v for k, v in flags.items()})
     wide = wide.withColumn("_s", F.when(F.col("n_itens") > 0, ~next(ok for c, _, ok, _, _ in checks if c == "valor_total_estrutural")))
-    counts = lambda f: sum((F.when(f(F.col(f"_c.{c}")), 1).otherwise(0) for c in flags), F.lit(0))
+    counts = lambda f: sum((F.when(f(F.col(f"_c_{c}")), 1).otherwise(0) for c in flags), F.lit(0))
     passed, total = counts(lambda c: F.coalesce(c, F.lit(False))), counts(lambda c: c.isNotNull())
-    failed = lambda c: ~F.coalesce(F.col(f"_c.{c}"), F.lit(True))
+    failed = lambda c: ~F.coalesce(F.col(f"_c_{c}"), F.lit(True))
     listed = lambda pairs: F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in pairs]), lambda x: x.isNotNull())
     some = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
     wide = wide.withColumn("faltando", required_missing(wide))
