@@ -102,3 +102,15 @@ def test_validation_reads_each_child_table_once_a_purpose(spark, sf_dir):
 
     plan = documents.QUERIES["validate_codes_and_taxes"][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert sum("FileScan" in line and "lineitem" in line for line in plan.splitlines()) <= 5
+
+
+def test_rows_are_not_dealt_by_the_few_kinds_of_tax(spark, sf_dir):
+    from tributo.plans import relational
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables that Spark takes for large
+    try:
+        for name in ("ask_tax_outliers", "tax_iqr", "tax_zscore"):
+            plan = relational.QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in next(line for line in plan.splitlines() if "Join" in line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

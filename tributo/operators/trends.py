@@ -18,12 +18,14 @@ def _stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(v).alias("_mean"), F.stddev_samp(v).alias("_sd"))
 
 
-def zscores(rows: DataFrame, keys: list[str], value: str, limit: float = 3.0) -> DataFrame:
+def zscores(rows: DataFrame, keys: list[str], value: str, limit: float = 3.0, *, few: bool = False) -> DataFrame:
     """rows with z, the distance from their group's mean in standard deviations, of those beyond the limit.
 
-    Groups are summed first and joined back, so a large group is never sorted or held by one task.
+    Groups are summed first and joined back. Where there are few groups, as the caller knows, the sums go to the rows, which
+    otherwise are dealt by group.
     """
-    joined = rows.join(_stats(rows, keys, value), keys)
+    stats = _stats(rows, keys, value)
+    joined = rows.join(F.broadcast(stats) if few else stats, keys)
     z = F.when(F.col("_sd") > 0, (F.col(value).cast("double") - F.col("_mean")) / F.col("_sd"))
     return joined.withColumn("z", F.round(z, 6)).where(F.abs("z") > limit).drop("_mean", "_sd")
 
@@ -75,12 +77,12 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, at: dict[str, float]
     return found.select(*keys, F.col("_n").alias("n"), *[between(q, p).alias(q) for q, p in at.items()])
 
 
-def quartile_outliers(rows: DataFrame, keys: list[str], value: str, reach: float = 1.5) -> DataFrame:
-    """rows beyond reach interquartile ranges from their group's quartiles, with the two fences."""
+def quartile_outliers(rows: DataFrame, keys: list[str], value: str, reach: float = 1.5, *, few: bool = False) -> DataFrame:
+    """rows beyond reach interquartile ranges from their group's quartiles, with the two fences; few as in zscores."""
     v = F.col(value).cast("double")
     q = quantiles(rows, keys, value, {"_a": 0.25, "_b": 0.75})
     fences = q.select(*keys, F.round(F.col("_a") - reach * (F.col("_b") - F.col("_a")), 6).alias("abaixo"), F.round(F.col("_b") + reach * (F.col("_b") - F.col("_a")), 6).alias("acima"))
-    return rows.join(fences, keys).where((v < F.col("abaixo")) | (v > F.col("acima")))
+    return rows.join(F.broadcast(fences) if few else fences, keys).where((v < F.col("abaixo")) | (v > F.col("acima")))
 
 
 def price_quantiles(items: DataFrame, key: str = "ncm") -> DataFrame:

@@ -426,7 +426,7 @@ def text_blocks_all(spark, sf_dir):
     SELECT cst, count(*) AS n, round(max((CAST(valor AS DOUBLE) - m) / sd), 4) AS maior FROM impostos JOIN s USING (cst) WHERE tipo_imposto = 'ICMS' AND abs(round((CAST(valor AS DOUBLE) - m) / sd, 6)) > 3 GROUP BY 1"""
 )
 def tax_zscore(spark, sf_dir):
-    out = trends.zscores(canonical.taxes(spark, sf_dir).where("tipo_imposto = 'ICMS'"), ["cst"], "valor")
+    out = trends.zscores(canonical.taxes(spark, sf_dir).where("tipo_imposto = 'ICMS'"), ["cst"], "valor", few=True)
     return out.groupBy("cst").agg(F.count("*").alias("n"), F.round(F.max("z"), 4).alias("maior"))
 
 
@@ -435,7 +435,7 @@ def tax_zscore(spark, sf_dir):
     SELECT cst, round(a - 1.5 * (b - a), 4) AS abaixo, round(b + 1.5 * (b - a), 4) AS acima, count(*) AS n FROM impostos JOIN q USING (cst) WHERE tipo_imposto = 'ICMS' AND (CAST(valor AS DOUBLE) < round(a - 1.5 * (b - a), 6) OR CAST(valor AS DOUBLE) > round(b + 1.5 * (b - a), 6)) GROUP BY 1, 2, 3"""
 )
 def tax_iqr(spark, sf_dir):
-    out = trends.quartile_outliers(canonical.taxes(spark, sf_dir).where("tipo_imposto = 'ICMS'"), ["cst"], "valor")
+    out = trends.quartile_outliers(canonical.taxes(spark, sf_dir).where("tipo_imposto = 'ICMS'"), ["cst"], "valor", few=True)
     return out.groupBy("cst", F.round("abaixo", 4).alias("abaixo"), F.round("acima", 4).alias("acima")).agg(F.count("*").alias("n"))
 
 
