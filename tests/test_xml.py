@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from decimal import Decimal
 
 import pytest
@@ -137,6 +138,53 @@ def test_items_may_be_left_out():
     assert whole["items"] and rest == whole | {"items": []}
 
 
+def _told(found):
+    names = [c for c in found if c != "tempo"]
+    return [dict(zip(names, row, strict=True)) for row in zip(*[found[c].to_pylist() for c in names], strict=True)]
+
+
+def _in_full(content, items):
+    doc = xml.read_document(content, items=items)
+    return doc | {c: [(k, v) for k, v in doc[c].items() if v is not None] for c in ("fields", "extras")}
+
+
+@pytest.mark.parametrize("items", [True, False])
+def test_documents_of_one_shape_are_read_once(monkeypatch, items):
+    """Later documents of a shape are what reading them in full gives, without being read."""
+    samples = [v if isinstance(v, bytes) else v.encode() for v in (S.NFE, S.NFCE, S.CTE_OK, S.CFE, S.NFSE_ABRASF, S.NFSE_NACIONAL, S.GENERIC, S.PREFIXED)]
+    contents = [re.sub(rb"(?<=>)([^<]*[0-9]{3})(?=<)", rb"\g<1>%d " % i, c.replace(b'Id="', b'Id="%d' % i)) if i else c for c in samples for i in range(6)]
+    want = [_in_full(c, items) for c in contents]
+    read = []
+    real = xml.read_document
+    counted = lambda content, items=True: read.append(content) or real(content, items=items)
+    monkeypatch.setattr(xml, "read_document", counted)
+    monkeypatch.setattr(xml, "_SHAPES", {items: xml.Shapes(lambda c: counted(c, items), lambda e: xml._name(e) in xml._DECIDING)}, raising=False)
+    assert _told(xml.found(contents, items=items)) == want
+    read.clear()
+    assert _told(xml.found(contents, items=items)) == want and not read
+
+
+def test_what_is_no_plain_text_is_read_in_full():
+    doc = "<q><ide><mod>{mod}</mod></ide><emit><xNome>{a}</xNome></emit><enderEmit><xLgr>{b}</xLgr><UF>SP</UF></enderEmit><total><vNF>{c}</vNF></total></q>"
+    odd = ("x", " ", "", "a &amp; b", "&#65;", "<![CDATA[<x>]]>", "u<!--c-->v", "u<?p?>v", "]]>", "\x01", "a\r\nb", "a > b", 'p="q"', "\ue0000\ue001", "\xa0", "\uffff", "<b/>c", "&x;")
+    contents = [doc.format(mod=m, a=a, b=b, c="1.00").encode() for m in ("55", "65", "57", "59", "", "x") for a in odd for b in ("Rua", a)]
+    contents += [c.replace(b"<q>", head) for c in contents for head in (b'<?xml version="1.0" encoding="UTF-8"?><q a="1" versao=\'4\'>', b'<?xml version="1.0" encoding="latin-1"?><q>', b'<q xmlns="">', b'<q xmlns:n="">', b'<q versao="a&lt;b">', b'<q versao="a\tb">', b'<q versao="x>y">')]
+    contents += ["<q><emit><xNome>Jo\xe3o</xNome></emit></q>".encode("latin-1")] * 3
+    for _ in range(2):
+        assert _told(xml.found(contents * 2)) == [_in_full(c, True) for c in contents] * 2
+
+
+def test_shapes_are_kept_within_bounds(monkeypatch):
+    from tributo.sources import shapes
+
+    monkeypatch.setattr(shapes, "KEPT", 4)
+    monkeypatch.setattr(shapes, "SEEN", 4)
+    kept = xml.Shapes(xml.read_document, lambda e: False)
+    for i in range(200):
+        kept.find(f"<q><a{i // 3}>x</a{i // 3}></q>".encode())
+        assert len(kept.shapes) <= 4 and len(kept.seen) <= 4
+
+
 def test_documents_are_written_by_more_tasks_than_the_table_has_blocks(spark, sf_dir):
     from tributo.plans import documents
 
