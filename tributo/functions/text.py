@@ -70,9 +70,11 @@ def plain_or_zero(c: Column) -> Column:
 
 def strict_decimal(c: Column, scale: int) -> Column:
     """As document XML writes it: blanks dropped, a comma is decimal and then dots group; other symbols give null."""
+    number, kind = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", f"decimal(18,{scale})"
     text = F.regexp_replace(c, r"\s+", "")
     text = F.when(F.instr(text, ",") > 0, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text)
-    return F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast(f"decimal(18,{scale})"))
+    # Most are plain already: one match instead of one a mention of text, which branches evaluate anew.
+    return F.when(c.rlike(number), c.try_cast(kind)).when(text.rlike(number), text.try_cast(kind))
 
 
 def positive_int(c: Column) -> Column:
@@ -84,7 +86,8 @@ def iso_date(c: Column) -> Column:
     ymd = F.regexp_extract(c, r"(\d{4})[-/](\d{2})[-/](\d{2})", 0)
     dmy = F.regexp_extract(c, r"(\d{2})[-/](\d{2})[-/](\d{4})", 0)
     part = lambda text, i: F.substring(text, *i)
-    return F.when(ymd != "", F.concat_ws("-", part(ymd, (1, 4)), part(ymd, (6, 2)), part(ymd, (9, 2)))).when(dmy != "", F.concat_ws("-", part(dmy, (7, 4)), part(dmy, (4, 2)), part(dmy, (1, 2))))
+    # Most begin with it: one match instead of four.
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), part(c, (1, 10))).when(ymd != "", F.concat_ws("-", part(ymd, (1, 4)), part(ymd, (6, 2)), part(ymd, (9, 2)))).when(dmy != "", F.concat_ws("-", part(dmy, (7, 4)), part(dmy, (4, 2)), part(dmy, (1, 2))))
 
 
 def as_date(c: Column) -> Column:
@@ -183,7 +186,13 @@ def postal_code(c: Column) -> Column:
 
 def joined_address(*parts: Column) -> Column:
     """The non-blank parts in order, comma-separated; null if there are none."""
-    return blank_to_null(F.concat_ws(", ", *[blank_to_null(squeeze(p)) for p in parts]))
+    nul = F.lit("\0")
+    # Most parts are squeezed already: between marks, no two blanks or marks then follow each other.
+    as_written = ~F.concat(nul, F.concat_ws("\0", *parts), nul).rlike(r"[ \x00]{2}|[\t\n\x0B\f\r]")
+    # Over an array each part is squeezed once; as arguments they would be again wherever nullif mentions them.
+    squeezed = F.transform(F.array(*parts), squeeze)
+    joined = F.aggregate(squeezed, F.lit(None).cast("string"), lambda joined, p: F.when(p == "", joined).otherwise(F.concat_ws(", ", joined, p)))
+    return F.when(as_written, F.concat_ws(", ", *parts)).otherwise(joined)
 
 
 def first_filled(*columns: Column) -> Column:
