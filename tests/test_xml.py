@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tributo.functions import text
 from tributo.sources import folder, ingest, xml
 
 from . import xml_samples as S
@@ -191,6 +192,31 @@ def test_documents_are_written_by_more_tasks_than_the_table_has_blocks(spark, sf
     assert documents._written(spark, sf_dir, "nfe").rdd.getNumPartitions() >= 4
 
 
+def test_no_method_is_too_long_to_be_compiled(spark, sf_dir):
+    """The JVM interprets methods of over 8,000 bytes."""
+    from tributo.plans import documents
+
+    printer = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("xml_extract_nfe", "xml_extract_nfse", "xml_extract_nfce", "xml_extract_cfe", "xml_items", "xml_taxes"):
+            plan = documents.QUERIES[name][0](spark, sf_dir)._jdf.queryExecution().executedPlan()
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", printer.codegenString(plan))]
+            assert sizes and max(sizes) < 8000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_values_not_written_plainly(value):
+    texts = lambda *parts: [F.lit(p).cast("string") for p in parts]
+    assert [value(text.strict_decimal(F.lit(v), 2)) for v in ("1.50", "1.234,56", " 7 ", "1 0,5", "1e2", "x", "", "12\n")] == [Decimal(v) if v else None for v in ("1.50", "1234.56", "7.00", "10.50", "100.00", None, None, "12.00")]
+    assert [value(text.iso_date(F.lit(v))) for v in ("2024-01-05T10:00", "em 2024/01/05", "05/01/2024", "x", "")] == ["2024-01-05"] * 3 + [None] * 2
+    assert value(text.joined_address(*texts("Rua A", "7", None, "Santos"))) == "Rua A, 7, Santos"
+    assert value(text.joined_address(*texts(" Rua  A", "", " ", "\tSantos\n"))) == "Rua A, Santos"
+    assert value(text.joined_address(*texts(None, None))) is None and value(text.joined_address(*texts("", " "))) is None
+
+
 def test_contents_are_dealt_before_they_are_sorted(spark):
     files = _files(spark, ("a.xml", S.NFE), ("again.xml", S.NFE), ("d.pdf", b"%PDF"))
     plan = ingest.ingest(files, day="2024-08-01")["documentos"]._jdf.queryExecution().executedPlan().toString()

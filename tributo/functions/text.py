@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,13 +70,20 @@ def plain_or_zero(c: Column) -> Column:
     return F.coalesce(_number(F.trim(c.cast("string"))), F.lit(0.0))
 
 
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f mentions it, and outside the method that whole-stage code is fused into.
+
+    Branches evaluate what they mention anew, and the JVM leaves a method of over 8,000 bytes uncompiled.
+    """
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strict_decimal(c: Column, scale: int) -> Column:
     """As document XML writes it: blanks dropped, a comma is decimal and then dots group; other symbols give null."""
-    number, kind = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$", f"decimal(18,{scale})"
-    text = F.regexp_replace(c, r"\s+", "")
-    text = F.when(F.instr(text, ",") > 0, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text)
-    # Most are plain already: one match instead of one a mention of text, which branches evaluate anew.
-    return F.when(c.rlike(number), c.try_cast(kind)).when(text.rlike(number), text.try_cast(kind))
+    plain = lambda text: F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text.try_cast(f"decimal(18,{scale})"))
+    marks = lambda text: F.when(F.instr(text, ",") > 0, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(text)
+    # Most are plain already and need one match.
+    return F.coalesce(plain(c), F.when(c.isNotNull(), _once(_once(F.regexp_replace(c, r"\s+", ""), marks), plain)))
 
 
 def positive_int(c: Column) -> Column:
@@ -83,11 +92,11 @@ def positive_int(c: Column) -> Column:
 
 def iso_date(c: Column) -> Column:
     """The first year-month-day, else day-month-year, as YYYY-MM-DD; the calendar isn't checked."""
-    ymd = F.regexp_extract(c, r"(\d{4})[-/](\d{2})[-/](\d{2})", 0)
-    dmy = F.regexp_extract(c, r"(\d{2})[-/](\d{2})[-/](\d{4})", 0)
-    part = lambda text, i: F.substring(text, *i)
-    # Most begin with it: one match instead of four.
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), part(c, (1, 10))).when(ymd != "", F.concat_ws("-", part(ymd, (1, 4)), part(ymd, (6, 2)), part(ymd, (9, 2)))).when(dmy != "", F.concat_ws("-", part(dmy, (7, 4)), part(dmy, (4, 2)), part(dmy, (1, 2))))
+    part = lambda text, *places: F.concat_ws("-", *[F.substring(text, *p) for p in places])
+    dmy = _once(F.regexp_extract(c, r"(\d{2})[-/](\d{2})[-/](\d{4})", 0), lambda d: F.when(d != "", part(d, (7, 4), (4, 2), (1, 2))))
+    ymd = _once(F.regexp_extract(c, r"(\d{4})[-/](\d{2})[-/](\d{2})", 0), lambda d: F.when(d != "", part(d, (1, 4), (6, 2), (9, 2))))
+    # Most begin with it and need one match.
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(c, 1, 10)).when(c.isNotNull(), F.coalesce(ymd, dmy))
 
 
 def as_date(c: Column) -> Column:
@@ -189,7 +198,6 @@ def joined_address(*parts: Column) -> Column:
     nul = F.lit("\0")
     # Most parts are squeezed already: between marks, no two blanks or marks then follow each other.
     as_written = ~F.concat(nul, F.concat_ws("\0", *parts), nul).rlike(r"[ \x00]{2}|[\t\n\x0B\f\r]")
-    # Over an array each part is squeezed once; as arguments they would be again wherever nullif mentions them.
     squeezed = F.transform(F.array(*parts), squeeze)
     joined = F.aggregate(squeezed, F.lit(None).cast("string"), lambda joined, p: F.when(p == "", joined).otherwise(F.concat_ws(", ", joined, p)))
     return F.when(as_written, F.concat_ws(", ", *parts)).otherwise(joined)
